@@ -126,13 +126,25 @@ def shingle_order(docs: DataFrame, bits: int = ORDER_BITS, piece: int = 1 << 14)
 # -- exact comparison of pairs -------------------------------------------------
 
 
+_WORD, _BIT = "_place div 64", "shiftleft(1L, cast(_place % 64 as int))"
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), column), F.lit(1 << FILTER_BITS)).alias("_place")
+
+
+def _filter_words(ids: DataFrame) -> DataFrame:
+    """A Bloom filter of ``ids(id)``: at most 2**(FILTER_BITS - 6) words of 64 bits, 1 MB of bits however many ids there are."""
+    return ids.select(_place("id")).select(F.expr(_WORD).alias("_word"), F.expr(_BIT).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def _marked(docs: DataFrame, filled: DataFrame) -> DataFrame:
+    return docs.withColumn("_place", _place("doc_id")).withColumn("_word", F.expr(_WORD)).join(F.broadcast(filled), "_word", "left")
+
+
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that may be among ``ids``: a Bloom filter of a fixed 1 MB keeps most other texts from being shuffled."""
-    place = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(1 << FILTER_BITS))
-    word, bit = F.expr("_place div 64"), F.expr("shiftleft(1L, cast(_place % 64 as int))")
-    filled = ids.select(place("id").alias("_place")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = docs.withColumn("_place", place("doc_id")).withColumn("_word", word)
-    return marked.join(F.broadcast(filled), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+    """Rows of ``docs`` that may be among ``ids``; the filter keeps most other texts from being shuffled."""
+    return _marked(docs, _filter_words(ids)).where(F.col("_bits").bitwiseAND(F.expr(_BIT)) != 0).select(*docs.columns)
 
 
 def exact_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -363,3 +375,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return jaccard_components(load(spark, sf_dir, "documents"))
+
+
+def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: that of the least id.  All columns stay.
+
+    Only rows that a fixed-size filter takes for droppable are shuffled, to
+    be settled exactly; the others pass where they are.  Rows with a null id
+    stay.
+    """
+    found = saved(jaccard_components(docs))
+    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("c")).where((F.col("m") > 1) | (F.col("c") != F.col("doc_id")))
+    doubtful = saved(repeated.select(F.col("doc_id").alias("id"), (F.col("c") != F.col("doc_id")).alias("drop")))
+    filled = _filter_words(doubtful)
+    marked = _marked(docs, filled)
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr(_BIT)) != 0, F.lit(False))
+    plain = marked.where(~hit).select(*docs.columns)
+    settled = marked.where(hit).select(*docs.columns).join(doubtful, F.col("doc_id") == F.col("id"), "left")
+    kept = settled.where(~F.coalesce("drop", F.lit(False)))
+    single = kept.where(F.col("id").isNull()).select(*docs.columns).unionByName(kept.where(F.col("id").isNotNull()).dropDuplicates(["doc_id"]).select(*docs.columns))
+    return plain.unionByName(single)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op3_decontamination
 from tessera.llm.fingerprint import op2_fingerprints
 from tessera.llm.jaccard import op8_jaccard_join
 from tessera.llm.language import op4_language
@@ -10,6 +11,6 @@ from tessera.llm.quality import op10_quality
 from tessera.llm.secret_scan import op6_secret_scan
 from tessera.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op4_language, op5_source_mixing, op6_secret_scan, op8_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_decontamination, op4_language, op5_source_mixing, op6_secret_scan, op8_jaccard_join, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
