@@ -6,11 +6,13 @@ from tessera.llm.decontaminate import op3_decontamination
 from tessera.llm.fingerprint import op2_fingerprints
 from tessera.llm.jaccard import op8_jaccard_join
 from tessera.llm.language import op4_language
+from tessera.llm.licenses import op7_licenses
 from tessera.llm.mixing import op5_source_mixing
 from tessera.llm.quality import op10_quality
 from tessera.llm.secret_scan import op6_secret_scan
+from tessera.llm.token_count import op9_token_counts
 from tessera.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_decontamination, op4_language, op5_source_mixing, op6_secret_scan, op8_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_decontamination, op4_language, op5_source_mixing, op6_secret_scan, op7_licenses, op8_jaccard_join, op9_token_counts, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
