@@ -31,7 +31,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("aggregates",)
 
 for _module in MODULES:
     importlib.import_module(f"tessera.plans.{_module}")
