@@ -12,9 +12,10 @@ likeness of ``percent`` / 100 or more.  The join is exact.  What it skips:
    of all shingles from rare to frequent, two linked sets share a shingle
    among their first n - ceil(t n) + 1.  A list of the index is dropped when
    its sets are all of one component.  Within a list, sets stand by size, and
-   the blocks whose sizes, or whose positions of the shingle, can't reach the
-   overlap needed are skipped; what is left passes a bit-parity bound on the
-   symmetric difference before whole texts are compared.
+   what can't reach the overlap needed by its size or by the shingle's position
+   is skipped; what is left passes a bit-parity bound on the symmetric
+   difference, in the list and again with bits in proportion to the sets,
+   before whole texts are compared.
 
 The order is by counts of all shingles of all documents in a fixed number of
 hashed counters, then by hash.  Any order gives exact results; this one keeps
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -61,6 +62,20 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def parity_bits(s: np.ndarray, size: int) -> bytes:
+    """For each of ``size`` (a power of two) hash buckets whether it holds an odd number of the set."""
+    return np.packbits(np.bincount((s & W.U64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def odd_buckets(a: bytes, b: bytes) -> int:
+    """In how many buckets two sets differ in parity, over the smaller one's buckets: at most their symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):  # halves of the larger one lie on each other
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many first shingles of a set of n must be indexed."""
     return n - -(-percent * n // 100) + 1
@@ -74,7 +89,7 @@ def needed_overlap(a, b, percent: int = PERCENT):
 # -- profiles ------------------------------------------------------------------
 
 
-PROFILE = "n long, hi long, lo long, least array<long>, parity array<long>"
+PROFILE = "n long, hi long, lo long, least array<long>, parity binary, wide binary"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -83,16 +98,16 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hi, lo, least, parity = [], [], [], [], []
+            n, hi, lo, least, parity, wide = [], [], [], [], [], []
             for s in _sets(b.column(1)):
                 x, y = _digest(s)
                 n.append(len(s))
                 hi.append(x)
                 lo.append(y)
                 least.append(s[:PROBES].view(np.int64))
-                bits = np.bincount((s & W.U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
-                parity.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "least", "parity"])
+                parity.append(parity_bits(s, PARITY_BITS))
+                wide.append(parity_bits(s, max(PARITY_BITS, 1 << (2 * len(s)).bit_length())) if 2 * len(s) >= PARITY_BITS else parity[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(parity, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "hi", "lo", "least", "parity", "wide"])
 
     return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {id_type}, {PROFILE}")
 
@@ -180,12 +195,16 @@ def exact_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.repartition("at", "part").sortWithinPartitions("at", "part", "second").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _may_link(a: str, b: str, parity_a: str, parity_b: str) -> Column:
-    """Sizes fit, and the sets' parity bits differ in no more places than a linked pair's symmetric difference."""
-    na, nb = F.col(a), F.col(b)
-    sizes = (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb))
-    apart = F.aggregate(F.zip_with(parity_a, parity_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return sizes & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` whose sizes fit and whose parity bits differ in no more buckets than linked sets can."""
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+
+    @F.arrow_udf("long")
+    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([odd_buckets(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int64())
+
+    return known.where((100 + PERCENT) * apart("wa", "wb") <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 # -- components ----------------------------------------------------------------
@@ -223,17 +242,16 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     probes = sets.select("rid", "n", F.explode("least").alias("h"))
     first = probes.groupBy("h").agg(F.min("rid").alias("a"), F.count("*").alias("m")).where("m > 1").select("h", "a")
     pairs = probes.join(first, "h").where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-    left = sets.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    right = sets.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    fit = pairs.join(left, "a").join(right, "b").where(_may_link("na", "nb", "pa", "pb")).select("a", "b")
-    return exact_links(docs, saved(fit))
+    return exact_links(docs, saved(plausible(pairs, sets)))
 
 
 def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
-    """Index lists with more than one set: ``token, lo, n, pos`` rows.
+    """Index lists with more than one set: ``token, lo, pos`` rows.
 
     A list entry names a set by 64 bits of its digest; two sets that share
-    them are both candidates, which an exact comparison settles.
+    them are both candidates, which an exact comparison settles.  So does it
+    for two shingles of a range that share 32 bits.  A position beyond 16
+    bits is stored as the last one that fits, which only weakens the bound.
     """
     sent = docs.sparkSession.sparkContext.broadcast(order)
     mask = W.U64((1 << ORDER_BITS) - 1)
@@ -241,7 +259,7 @@ def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
         for b in batches:
-            token, lo, n, pos = [], [], [], []
+            token, lo, pos = [], [], []
             for s in _sets(b.column(0)):
                 name = _digest(s)[1]
                 if len(s) and name not in seen:  # a task sends copies of a set once
@@ -256,91 +274,87 @@ def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
                     first = near[np.lexsort((s[near], rank[near]))[:p]]
                     token.append(s[first])
                     lo.append(np.full(p, name))
-                    n.append(np.full(p, len(s), np.int64))
-                    pos.append(np.arange(p, dtype=np.int64))
+                    pos.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
             if not token:
                 continue
             t = W.mix(np.concatenate(token))
             r = (t >> W.U64(32)).astype(np.int64) * ranges >> 32
             by = np.argsort(r, kind="stable")
-            t, r, l, n, pos = t[by], r[by], np.concatenate(lo)[by], np.concatenate(n)[by].astype(np.int32), np.concatenate(pos)[by].astype(np.int32)
+            t, r, l, pos = t[by].astype(np.uint32), r[by], np.concatenate(lo)[by], np.concatenate(pos)[by]
             cut = np.flatnonzero(np.diff(r, prepend=-1))
             ends = np.append(cut[1:], len(r))
-            yield pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l, n, pos)], ["r", "token", "lo", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l, pos)], ["r", "token", "lo", "pos"])
 
     def lists(rows: pd.DataFrame) -> pd.DataFrame:
-        t, l, n, pos = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("token", np.uint64), ("lo", np.int64), ("n", np.int32), ("pos", np.int32)))
+        t, l, pos = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("token", np.uint32), ("lo", np.int64), ("pos", np.uint16)))
         by = np.lexsort((l, t))
-        t, l, n, pos = t[by], l[by], n[by], pos[by]
+        t, l, pos = t[by], l[by], pos[by]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (l[1:] != l[:-1])  # copies of a set say the same
-        t, l, n, pos = t[new], l[new], n[new], pos[new]
+        t, l, pos = t[new], l[new], pos[new]
         same = t[1:] == t[:-1]
         shared = np.append(same, False) | np.append(False, same)
-        return pd.DataFrame({"token": t[shared].view(np.int64), "lo": l[shared], "n": n[shared].astype(np.int64), "pos": pos[shared].astype(np.int64)})
+        return pd.DataFrame({"token": t[shared].astype(np.int64) + (int(rows["r"].iloc[0]) << 32), "lo": l[shared], "pos": pos[shared].astype(np.int64)})
 
-    packed = docs.select("text").mapInArrow(pack, "r long, token binary, lo binary, n binary, pos binary")
-    return packed.groupBy("r").applyInPandas(lists, "token long, lo long, n long, pos long")
+    packed = docs.select("text").mapInArrow(pack, "r long, token binary, lo binary, pos binary")
+    return packed.groupBy("r").applyInPandas(lists, "token long, lo long, pos long")
 
 
 def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of different components that share a list and pass sizes, positions and parity.
 
-    ``entries(token, rid, comp, n, pos)``.  A list is cut into blocks by a
-    hash of its sets; a row pairs two blocks, and a list of one block is one
-    row.  Within a row sets stand by size.
+    ``entries(token, rid, comp, n, pos)``.  Lists of one component are
+    dropped.  A list is cut into blocks by a hash of its sets; a row pairs two
+    blocks, and a list of one block is one row.  Within a row sets stand by
+    size.
     """
-    sized = entries.groupBy("token").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
-    placed = entries.join(sized, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    w = Window.partitionBy("token")
+    mixed = entries.withColumns({"c0": F.min("comp").over(w), "c1": F.max("comp").over(w), "m": F.count("*").over(w)}).where("c0 <> c1").drop("c0", "c1")
+    placed = mixed.withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     with_parity = placed.join(sets.select("rid", "parity"), "rid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_parity.withColumn("other", other).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rid", "comp", "n", "pos", "parity")
 
+    def pairs(key: np.ndarray, side: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Pairs of rows that stand d apart in one group, for d = 1, 2, ...; sizes ascend, so a row that meets too large a set is done."""
+        found, i, d = [], np.arange(len(n)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(n)]
+            j = i + d
+            on = (key[i] == key[j]).all(axis=1) & (100 * n[i] >= PERCENT * n[j])
+            i, j = i[on], j[on]
+            fit = (comp[i] != comp[j]) & ((side[i] != side[j]) | (key[i, 1] == key[i, 2]))
+            fit &= np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= needed_overlap(n[i], n[j])
+            x, y = i[fit], j[fit]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            fit = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[x] + n[y])
+            x, y = rid[x[fit]], rid[y[fit]]
+            found.append(np.column_stack((np.minimum(x, y), np.maximum(x, y))))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs() -> tuple[np.ndarray, np.ndarray]:
-            rid, comp, n, pos = (np.array([h[k] for h in held], np.int64) for k in (4, 5, 6, 7))
-            side, bits = np.array([h[3] for h in held]), np.array([h[8] for h in held], np.int64)
-            by = np.argsort(n, kind="stable")
-            rid, comp, n, pos, side, bits = rid[by], comp[by], n[by], pos[by], side[by], bits[by]
-            one_block = held[0][1] == held[0][2]
-            to = np.searchsorted(n, 100 * n // PERCENT, "right")  # sizes beyond can't link
-            a, b = [], []
-            for i in range(len(n) - 1):
-                j = np.arange(i + 1, to[i])
-                j = j[comp[j] != comp[i]]
-                if not one_block:
-                    j = j[side[j] != side[i]]
-                j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= needed_overlap(n[i], n[j])]
-                if len(j):
-                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                    j = j[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[i] + n[j])]
-                    a += [rid[i]] * len(j)
-                    b += rid[j].tolist()
-            return np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-
-        known: set[tuple[int, int]] = set()
-        for batch in [*batches, None]:
-            out_a, out_b = [], []
-            rows = zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True) if batch is not None else [None]
-            for row in rows:
-                if held and (row is None or row[:3] != held[0][:3]):
-                    if len(held) > 1:
-                        for p in zip(*(x.tolist() for x in pairs()), strict=True):
-                            if p not in known:
-                                known.add(p)
-                                out_a.append(p[0])
-                                out_b.append(p[1])
-                    held = []
-                    if len(known) > 200_000:
-                        known.clear()
-                if row is not None:
-                    held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        held = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
+                bits = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(batch.num_rows, PARITY_BITS // 64)
+                rows = [np.column_stack(cols[:3]), *cols[3:], bits]
+                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            # The last group may go on in the next batch.
+            end = len(held[0]) if batch is None else int(np.flatnonzero((held[0] != held[0][-1]).any(axis=1))[-1] + 1) if (held[0] != held[0][-1]).any() else 0
+            out = pairs(*(x[:end] for x in held))
+            held = [x[end:] for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    return dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n").mapInArrow(find, "a long, b long").distinct()
+
 
-    return dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(find, "a long, b long").distinct()
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -354,18 +368,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = saved(profiles(docs))
     full = prof.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    sets = saved(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity")))
+    sets = saved(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.first("wide").alias("wide")))
     # An id with several texts stands for several sets: they are one node.
     same_id = full.select("doc_id", "hi", "lo").join(sets.select("hi", "lo", "rid"), ["hi", "lo"]).where("doc_id <> rid").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
-    linked = saved(_first_links(docs, sets.select("rid", "n", "least", "parity")))
+    linked = saved(_first_links(docs, sets))
     comps = saved(components(sets.select(F.col("rid").alias("id")).distinct(), linked))
     entries_total = full.agg(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
     ranges = max(1, math.ceil(entries_total / RANGE_ENTRIES))
     index = _index(docs, shingle_order(docs), ranges)
-    named = index.join(sets.select("lo", "rid"), "lo").join(comps.withColumnRenamed("id", "rid"), "rid").select("token", "rid", "comp", "n", "pos")
-    named = saved(named)
-    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    pairs = saved(_list_pairs(named.join(mixed, "token"), sets))
+    names = sets.select("lo", "rid", "n").join(comps.withColumnRenamed("id", "rid"), "rid")
+    entries = index.join(names, "lo").select("token", "rid", "comp", "n", "pos")
+    pairs = saved(plausible(_list_pairs(entries, sets), sets))
     links = linked.unionByName(exact_links(docs, pairs))
     nodes = full.select(F.col("doc_id").alias("id")).distinct()
     final = saved(components(nodes, links.unionByName(same_id)))
