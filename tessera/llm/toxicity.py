@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import bounded_sample, held_out, load
+from tessera.llm.common import bounded_sample, held_out, load, saved
 from tessera.llm.linear import fit_sigmoid, sigmoid
 
 #: Documents of each class that the fit uses at most, about.
@@ -108,38 +108,46 @@ class Model:
         return sigmoid(self.slope * statistic + self.shift)
 
 
-def _log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Token scores with the informative Dirichlet prior; 0 where not significant."""
-    both = toxic + clean
-    prior = PRIOR * (both + 0.01) / (both + 0.01).sum()
-    n1, n0, a0 = toxic.sum(), clean.sum(), prior.sum()
-    y1, y0 = toxic + prior, clean + prior
-    odds = np.log(y1 / (n1 + a0 - y1)) - np.log(y0 / (n0 + a0 - y0))
-    z = odds / np.sqrt(1 / y1 + 1 / y0)
-    return np.where((z >= LEAST_Z) & (odds > GAP), odds, 0.0).astype(np.float32)
-
-
-def _solve_lambda(token: np.ndarray, clean: np.ndarray) -> float:
-    """The positive root of E[exp(lambda * score)] = 1 under clean text."""
-    share = (clean + 1e-9) / (clean + 1e-9).sum()
-    positive = token > 0
-    value, mass, rest = token[positive], share[positive], float(share[~positive].sum())
-    excess = lambda x: float((mass * np.exp(np.minimum(x * value, 500))).sum()) + rest * np.exp(-x * GAP) - 1
-    if not positive.any() or float((mass * value).sum()) - rest * GAP >= 0:
-        return 1.0
-    low, high = 1e-6, 1.0
-    while excess(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    return high
-
-
-def _base_model(counts: np.ndarray) -> Model:
-    """``counts[label]``: by bucket, the documents' distinct tokens."""
-    token = _log_odds(counts[1], counts[0])
-    return Model(token, lam=_solve_lambda(token, counts[0]))
+@dataclass
+class Counts:
+    """Documents that hold a token of a bucket, by class, for the buckets that may score; ``n``: sums over all buckets."""
+
+    bucket: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+    n_toxic: float
+    n_clean: float
+
+    def odds(self) -> np.ndarray:
+        """Token scores with the informative Dirichlet prior; 0 where not significant."""
+        share = PRIOR / (self.n_toxic + self.n_clean + 0.01 * (1 << BITS))
+        prior = share * (self.toxic + self.clean + 0.01)
+        y1, y0 = self.toxic + prior, self.clean + prior
+        odds = np.log(y1 / (self.n_toxic + PRIOR - y1)) - np.log(y0 / (self.n_clean + PRIOR - y0))
+        z = odds / np.sqrt(1 / y1 + 1 / y0)
+        return np.where((z >= LEAST_Z) & (odds > GAP), odds, 0.0)
+
+    def model(self) -> Model:
+        token = np.zeros(1 << BITS, np.float32)
+        odds = self.odds()
+        token[self.bucket] = odds
+        return Model(token, lam=self._lambda(odds))
+
+    def _lambda(self, odds: np.ndarray) -> float:
+        """The positive root of E[exp(lambda * score)] = 1 under clean text."""
+        positive = odds > 0
+        mass = (self.clean[positive] + 1e-3) / max(self.n_clean, 1.0)
+        value, rest = odds[positive], max(0.0, 1.0 - float(mass.sum()))
+        excess = lambda x: float((mass * np.exp(np.minimum(x * value, 500))).sum()) + rest * np.exp(-x * GAP) - 1
+        if not positive.any() or float((mass * value).sum()) - rest * GAP >= 0:
+            return 1.0
+        low, high = 1e-6, 1.0
+        while excess(high) < 0 and high < 64:
+            high *= 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+        return high
 
 
 def _fit_k(model: Model, best: np.ndarray, n: np.ndarray) -> float:
@@ -178,11 +186,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["g", "bucket", "n"])
 
-    # At most 4 << BITS rows come back, however many documents there are.
-    table = found.mapInArrow(count, "g int, bucket int, n bigint").groupBy("g", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, 2, 1 << BITS))
-    counts[table["g"] // 2, table["g"] % 2, table["bucket"]] = table["n"]
-    models = [_base_model(counts[:, 1 - h]) for h in (0, 1)]  # models[h] has not seen half h
+    part = lambda y, half: F.sum(F.when(F.col("g") == 2 * y + half, F.col("n")).otherwise(0)).alias(f"y{y}h{half}")
+    names = [f"y{y}h{h}" for y in (0, 1) for h in (0, 1)]
+    table = saved(found.mapInArrow(count, "g int, bucket int, n bigint").groupBy("bucket").agg(*(part(y, h) for y in (0, 1) for h in (0, 1))))
+    n = {k: float(v or 0) for k, v in table.agg(*(F.sum(c).alias(c) for c in names)).first().asDict().items()}
+    # Only buckets that lean to toxic text in either half can score; the bar is far below the one that counts.
+    leaning = F.lit(False)
+    for halves in ((0,), (1,), (0, 1)):
+        y1, y0 = (sum((F.col(f"y{y}h{h}") for h in halves), F.lit(0.5)) for y in (1, 0))
+        n1, n0 = (max(1.0, sum(n[f"y{y}h{h}"] for h in halves)) for y in (1, 0))
+        leaning = leaning | ((F.log(y1 / n1) - F.log(y0 / n0)) / F.sqrt(1 / y1 + 1 / y0) > LEAST_Z / 2)
+    rows = table.where(leaning).orderBy("bucket").toPandas()
+
+    def counts(halves: tuple[int, ...]) -> Counts:
+        y1, y0 = (sum(rows[f"y{y}h{h}"].to_numpy(float) for h in halves) for y in (1, 0))
+        return Counts(rows["bucket"].to_numpy(), y1, y0, *(sum(n[f"y{y}h{h}"] for h in halves) for y in (1, 0)))
+
+    models = [counts((1 - h,)).model() for h in (0, 1)]  # models[h] has not seen half h
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +216,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
 
     seen = found.mapInArrow(measure, "y int, half int, n bigint, found array<double>").toPandas()
     best = np.array([max(x, default=0.0) for x in seen["found"]])
-    y, half, n = (seen[c].to_numpy() for c in ("y", "half", "n"))
+    y, half, size = (seen[c].to_numpy() for c in ("y", "half", "n"))
     statistic = np.zeros(len(seen))
     for h in (0, 1):
-        models[h].k = _fit_k(models[h], best[(half == h) & (y == 0)], n[(half == h) & (y == 0)])
+        models[h].k = _fit_k(models[h], best[(half == h) & (y == 0)], size[(half == h) & (y == 0)])
     for i, x in enumerate(seen["found"]):
         m = models[half[i]]
-        statistic[i] = m.statistic([(0, 0, s, m.k * max(1, n[i]) * float(np.exp(-m.lam * s))) for s in x])
-    final = _base_model(counts.sum(axis=1))
+        statistic[i] = m.statistic([(0, 0, s, m.k * max(1, size[i]) * float(np.exp(-m.lam * s))) for s in x])
+    final = counts((0, 1)).model()
     final.k = float(np.sqrt(models[0].k * models[1].k))
     drawn = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.where(y == 1, by_class[1] / drawn[1], by_class[0] / drawn[0])
