@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load
+from tessera.llm.common import fresh_name, load
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.jaccard import near_duplicate_representatives
 from tessera.llm.mixing import mix_sources
@@ -39,7 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return find_leaks(docs, load(spark, sf_dir, "benchmark"), "_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = fresh_name(docs, "_leaks")
+    return find_leaks(docs, load(spark, sf_dir, "benchmark"), leaks).where(F.size(leaks) == 0).drop(leaks)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def add_fields(df: DataFrame, value: Column, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with fields ``names`` of the struct ``value`` as columns; they replace columns of the same name."""
+    held = fresh_name(df, "_value")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    return df.withColumn(held, value).select(*kept, *(F.col(held)[n].alias(n) for n in names))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0.  A null id counts as an empty text, whose remainder is 0."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0

@@ -395,16 +395,15 @@ def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
 
     Only rows that a fixed-size filter takes for droppable are shuffled, to
     be settled exactly; the others pass where they are.  Rows with a null id
-    stay.
+    stay.  Of rows with one id the least stays, by its columns in order.
     """
     found = saved(jaccard_components(docs))
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("c")).where((F.col("m") > 1) | (F.col("c") != F.col("doc_id")))
     doubtful = saved(repeated.select(F.col("doc_id").alias("id"), (F.col("c") != F.col("doc_id")).alias("drop")))
-    filled = _filter_words(doubtful)
-    marked = _marked(docs, filled)
+    # The rows travel as one struct, so their column names can't clash with those used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marked = _marked(rows, _filter_words(doubtful))
     hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr(_BIT)) != 0, F.lit(False))
-    plain = marked.where(~hit).select(*docs.columns)
-    settled = marked.where(hit).select(*docs.columns).join(doubtful, F.col("doc_id") == F.col("id"), "left")
-    kept = settled.where(~F.coalesce("drop", F.lit(False)))
-    single = kept.where(F.col("id").isNull()).select(*docs.columns).unionByName(kept.where(F.col("id").isNotNull()).dropDuplicates(["doc_id"]).select(*docs.columns))
-    return plain.unionByName(single)
+    settled = marked.where(hit).select("doc_id", "row").join(doubtful, F.col("doc_id") == F.col("id"), "left").where(~F.coalesce("drop", F.lit(False)))
+    single = settled.where(F.col("id").isNull()).select("row").unionByName(settled.where(F.col("id").isNotNull()).groupBy("doc_id").agg(F.min("row").alias("row")).select("row"))
+    return marked.where(~hit).select("row").unionByName(single).select("row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import bounded_sample, held_out, load
+from tessera.llm.common import add_fields, bounded_sample, held_out, load
 from tessera.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 #: Documents of each language that the fit uses at most, about.
@@ -199,7 +199,7 @@ def identify_language(docs: DataFrame, model: Model | None, text: str = "text")
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "lang_score"])
 
-    return docs.withColumn("_lang", identify(F.col(text))).select(*docs.columns, "_lang.lang_pred", "_lang.lang_score")
+    return add_fields(docs, identify(F.col(text)), ("lang_pred", "lang_score"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load
+from tessera.llm.common import add_fields, load
 
 #: Known licence sentences, normalised, and their identifiers.
 SENTENCES = {
@@ -131,7 +131,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             strings = pa.list_(pa.string())
             yield pa.StructArray.from_arrays([pa.array(ids, strings), pa.array([match_rules(x) for x in ids], strings)], ["license_sentences", "licenses"])
 
-    return docs.withColumn("_found", scan(F.col(text))).select(*docs.columns, "_found.license_sentences", "_found.licenses")
+    return add_fields(docs, scan(F.col(text)), ("license_sentences", "licenses"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load
+from tessera.llm.common import add_fields, load
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
@@ -127,7 +127,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                 words += w
             yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(words, pa.int64())], ["n_tokens", "n_words"])
 
-    return docs.withColumn("_counts", count(F.col(text))).select(*docs.columns, "_counts.n_tokens", "_counts.n_words")
+    return add_fields(docs, count(F.col(text)), ("n_tokens", "n_words"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

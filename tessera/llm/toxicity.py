@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import bounded_sample, held_out, load, saved
+from tessera.llm.common import add_fields, bounded_sample, held_out, load, saved
 from tessera.llm.linear import fit_sigmoid, sigmoid
 
 #: Documents of each class that the fit uses at most, about.
@@ -248,7 +248,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
                     passages.append([{"start": a, "end": b, "score": s} for a, b, s, e in segments if e < m.alpha])
             yield pa.StructArray.from_arrays([pa.array(m.score(np.array(values, dtype=float)), pa.float64()), pa.array(passages, passage)], ["toxicity", "toxic_passages"])
 
-    return docs.withColumn("_toxic", measure(F.col(text))).select(*docs.columns, "_toxic.toxicity", "_toxic.toxic_passages")
+    return add_fields(docs, measure(F.col(text)), ("toxicity", "toxic_passages"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

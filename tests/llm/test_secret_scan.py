@@ -1,0 +1,54 @@
+import random
+import re
+
+from tessera.llm.secret_scan import BASE_KINDS, Rule, Scanner, base_sha256, redact_secrets, scan_secrets
+
+BASE = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)),
+    ("access", re.compile(r"AKIA[A-Z0-9]+")),
+    ("hex", re.compile(r"[0-9a-f]+")),
+)
+
+
+def brute(text):
+    out = []
+    for k, (kind, rule) in enumerate(BASE):
+        for m in rule.finditer(text):
+            if kind == "assign" and len(m[2]) < 6 or kind == "access" and len(m[0]) < 20 or kind == "hex" and len(m[0]) < 24:
+                continue
+            out.append((m.start(), k, m.end()))
+    return [(BASE[k][0], a, b) for a, k, b in sorted(out)]
+
+
+def test_base_kinds_agree_with_plain_regular_expressions():
+    r = random.Random(3)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef0123456789", "é", "\n", "x", "abc", "/", "_", "AK", "IA", "tok", "ſecret", "日本"]
+    scan = Scanner()
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(25)))
+        assert [s for s in scan.spans(text) if s[0] in BASE_KINDS] == brute(text), text
+
+
+def test_dropped_match_uses_up_its_text():
+    assert [s for s in Scanner().spans("password=token:abcdefgh") if s[0] == "assign"] == []
+
+
+def test_own_rules_and_further_kinds():
+    scan = Scanner((Rule("n", "a(b|c)+d?"),))
+    assert scan.spans("xabcbd abq") == [("n", 1, 6), ("n", 7, 9)]
+    assert ("github", 0, 40) in Scanner().spans("ghp_" + "a1B2" * 9)
+
+
+def test_columns_and_redaction(docs_of, odd_rows):
+    docs = docs_of([*odd_rows, (9, "é token = abcdef0123456789abcdef012345 end", "en", "a")])
+    rows = scan_secrets(docs).select("doc_id", "spans", "comp").collect()
+    assert len(rows) == docs.count()
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in rows}
+    assert found[9] == [("assign", 2, 38), ("hex", 10, 38)] and found[1] == []
+    assert base_sha256([]) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert clean[9] == "é [SECRET] end" and clean[1] is None
+
+
+def test_empty_table(docs_of):
+    assert scan_secrets(docs_of([])).count() == 0
