@@ -48,6 +48,8 @@ SHINGLE_WORDS, PERCENT = 5, 75
 PROBES, ORDER_BITS, PARITY_BITS, FILTER_BITS = 6, 20, 1024, 23
 #: Index entries that one range of shingle hashes holds, about, and sets in one block of a long list.
 RANGE_ENTRIES, LIST_BLOCK = 100_000, 2048
+#: Index entries that a task gathers before it sends them.
+PACK_ENTRIES = 150_000
 #: Pairs of one set that are compared in one group.
 GROUP_PAIRS = 500
 
@@ -256,10 +258,20 @@ def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(order)
     mask = W.U64((1 << ORDER_BITS) - 1)
 
+    def packed_rows(token: list, lo: list, pos: list) -> pa.RecordBatch:
+        """One row for each range that has an entry; its entries as arrays."""
+        t = W.mix(np.concatenate(token))
+        r = (t >> W.U64(32)).astype(np.int64) * ranges >> 32
+        by = np.argsort(r, kind="stable")
+        t, r, l, p = t[by].astype(np.uint32), r[by], np.concatenate(lo)[by], np.concatenate(pos)[by]
+        cut = np.flatnonzero(np.diff(r, prepend=-1))
+        ends = np.append(cut[1:], len(r))
+        return pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l, p)], ["r", "token", "lo", "pos"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sent.value, set()
+        counts, seen, held = sent.value, set(), 0
+        token, lo, pos = [], [], []
         for b in batches:
-            token, lo, pos = [], [], []
             for s in _sets(b.column(0)):
                 name = _digest(s)[1]
                 if len(s) and name not in seen:  # a task sends copies of a set once
@@ -271,19 +283,15 @@ def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
                         near = np.flatnonzero(rank <= rank[near[p - 1]])  # with all ties of the last rank
                     else:
                         near = np.arange(len(s))
-                    first = near[np.lexsort((s[near], rank[near]))[:p]]
-                    token.append(s[first])
+                    token.append(s[near[np.lexsort((s[near], rank[near]))[:p]]])
                     lo.append(np.full(p, name))
                     pos.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
-            if not token:
-                continue
-            t = W.mix(np.concatenate(token))
-            r = (t >> W.U64(32)).astype(np.int64) * ranges >> 32
-            by = np.argsort(r, kind="stable")
-            t, r, l, pos = t[by].astype(np.uint32), r[by], np.concatenate(lo)[by], np.concatenate(pos)[by]
-            cut = np.flatnonzero(np.diff(r, prepend=-1))
-            ends = np.append(cut[1:], len(r))
-            yield pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l, pos)], ["r", "token", "lo", "pos"])
+                    held += p
+                    if held > PACK_ENTRIES:
+                        yield packed_rows(token, lo, pos)
+                        token, lo, pos, held = [], [], [], 0
+        if token:
+            yield packed_rows(token, lo, pos)
 
     def lists(rows: pd.DataFrame) -> pd.DataFrame:
         t, l, pos = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("token", np.uint32), ("lo", np.int64), ("pos", np.uint16)))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are looked at together; a longer text goes alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
