@@ -15,4 +15,16 @@ from tessera.llm.toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_decontamination, op4_language, op5_source_mixing, op6_secret_scan, op7_licenses, op8_jaccard_join, op9_token_counts, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The fitted scores, fingerprints, tilings, random rounding, spans and trie counts have no SQL form; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.comp FROM r JOIN u ON u.a = r.node),
+c AS (SELECT node, min(comp) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id""",
+}
