@@ -45,7 +45,9 @@ from tessera.llm.common import load, saved
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Least hashes of a set that stage 2 probes; counters of the shingle order; bits of the parity filter and of the text filter.
-PROBES, ORDER_BITS, PARITY_BITS, FILTER_BITS = 6, 20, 1024, 23
+PROBES, ORDER_BITS, PARITY_BITS, FILTER_BITS = 6, 20, 512, 23
+#: Bits of a set's digest by which index entries name it.
+NAME_BITS = 40
 #: Index entries that one range of shingle hashes holds, about, and sets in one block of a long list.
 RANGE_ENTRIES, LIST_BLOCK = 100_000, 2048
 #: Index entries that a task gathers before it sends them.
@@ -248,32 +250,32 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
-    """Index lists with more than one set: ``token, lo, pos`` rows.
+    """Index lists with more than one set: ``token, name, pos`` rows.
 
-    A list entry names a set by 64 bits of its digest; two sets that share
-    them are both candidates, which an exact comparison settles.  So does it
-    for two shingles of a range that share 32 bits.  A position beyond 16
+    A list entry names a set by ``NAME_BITS`` of its digest; several sets of
+    one name are all candidates, which an exact comparison settles.  So does
+    it for two shingles of a range that share 32 bits.  A position beyond 16
     bits is stored as the last one that fits, which only weakens the bound.
     """
     sent = docs.sparkSession.sparkContext.broadcast(order)
     mask = W.U64((1 << ORDER_BITS) - 1)
 
-    def packed_rows(token: list, lo: list, pos: list) -> pa.RecordBatch:
+    def packed_rows(token: list, names: list, pos: list) -> pa.RecordBatch:
         """One row for each range that has an entry; its entries as arrays."""
         t = W.mix(np.concatenate(token))
         r = (t >> W.U64(32)).astype(np.int64) * ranges >> 32
         by = np.argsort(r, kind="stable")
-        t, r, l, p = t[by].astype(np.uint32), r[by], np.concatenate(lo)[by], np.concatenate(pos)[by]
+        t, r, l, p = t[by].astype(np.uint32), r[by], np.concatenate(names)[by], np.concatenate(pos)[by]
         cut = np.flatnonzero(np.diff(r, prepend=-1))
         ends = np.append(cut[1:], len(r))
-        return pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l, p)], ["r", "token", "lo", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(r[cut])] + [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (t, l.astype(np.uint32), (l >> 32).astype(np.uint8), p)], ["r", "token", "low", "high", "pos"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, held = sent.value, set(), 0
-        token, lo, pos = [], [], []
+        token, names, pos = [], [], []
         for b in batches:
             for s in _sets(b.column(0)):
-                name = _digest(s)[1]
+                name = _digest(s)
                 if len(s) and name not in seen:  # a task sends copies of a set once
                     seen.add(name)
                     p = prefix_length(len(s))
@@ -284,28 +286,29 @@ def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
                     else:
                         near = np.arange(len(s))
                     token.append(s[near[np.lexsort((s[near], rank[near]))[:p]]])
-                    lo.append(np.full(p, name))
+                    names.append(np.full(p, name[1] & ((1 << NAME_BITS) - 1)))
                     pos.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
                     held += p
                     if held > PACK_ENTRIES:
-                        yield packed_rows(token, lo, pos)
-                        token, lo, pos, held = [], [], [], 0
+                        yield packed_rows(token, names, pos)
+                        token, names, pos, held = [], [], [], 0
         if token:
-            yield packed_rows(token, lo, pos)
+            yield packed_rows(token, names, pos)
 
     def lists(rows: pd.DataFrame) -> pd.DataFrame:
-        t, l, pos = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("token", np.uint32), ("lo", np.int64), ("pos", np.uint16)))
-        by = np.lexsort((l, t))
+        t, low, high, pos = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("token", np.uint32), ("low", np.uint32), ("high", np.uint8), ("pos", np.uint16)))
+        l = low.astype(np.int64) | high.astype(np.int64) << 32
+        by = np.lexsort((pos, l, t))
         t, l, pos = t[by], l[by], pos[by]
         new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (l[1:] != l[:-1])  # copies of a set say the same
+        new[1:] = (t[1:] != t[:-1]) | (l[1:] != l[:-1]) | (pos[1:] != pos[:-1])  # copies of a set say the same
         t, l, pos = t[new], l[new], pos[new]
         same = t[1:] == t[:-1]
         shared = np.append(same, False) | np.append(False, same)
-        return pd.DataFrame({"token": t[shared].astype(np.int64) + (int(rows["r"].iloc[0]) << 32), "lo": l[shared], "pos": pos[shared].astype(np.int64)})
+        return pd.DataFrame({"token": t[shared].astype(np.int64) + (int(rows["r"].iloc[0]) << 32), "name": l[shared], "pos": pos[shared].astype(np.int64)})
 
-    packed = docs.select("text").mapInArrow(pack, "r long, token binary, lo binary, pos binary")
-    return packed.groupBy("r").applyInPandas(lists, "token long, lo long, pos long")
+    packed = docs.select("text").mapInArrow(pack, "r long, token binary, low binary, high binary, pos binary")
+    return packed.groupBy("r").applyInPandas(lists, "token long, name long, pos long")
 
 
 def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
@@ -384,8 +387,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries_total = full.agg(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
     ranges = max(1, math.ceil(entries_total / RANGE_ENTRIES))
     index = _index(docs, shingle_order(docs), ranges)
-    names = sets.select("lo", "rid", "n").join(comps.withColumnRenamed("id", "rid"), "rid")
-    entries = index.join(names, "lo").select("token", "rid", "comp", "n", "pos")
+    names = sets.select(F.col("lo").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"), "rid", "n").join(comps.withColumnRenamed("id", "rid"), "rid")
+    entries = index.join(names, "name").select("token", "rid", "comp", "n", "pos")
     pairs = saved(plausible(_list_pairs(entries, sets), sets))
     links = linked.unionByName(exact_links(docs, pairs))
     nodes = full.select(F.col("doc_id").alias("id")).distinct()
