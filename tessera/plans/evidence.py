@@ -66,7 +66,7 @@ TECHNICAL = (r"(?i)\b0x[0-9a-f]{4,}\b", r"\b[A-Z]{2,}-\d{3,}\b", r"(?i)\b(?:erro
 LEAST_DIAGNOSTIC = 150
 
 #: Literal messages.
-MESSAGES = ("Please look into this", "Restart the AE service on 10.0.0.3", "", "ok\nOn Monday 3 Aug 2026, Jane wrote:\n> old text\n> more", "see v8.2.5 notes", "x" * 200, "answer\n---- Original Message ----\nhistory here", "> only quoted\nfresh line")
+MESSAGES = ("Please look into this", "Restart the print service on 10.0.0.3", "", "ok\nOn Monday 3 Aug 2026, Jane wrote:\n> old text\n> more", "see v8.2.5 notes", "x" * 200, "answer\n---- Original Message ----\nhistory here", "> only quoted\nfresh line")
 _MESSAGE_ROWS = ", ".join(f"({i}, '" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for i, m in enumerate(MESSAGES))
 
 
@@ -82,7 +82,7 @@ def _messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(MESSAGES)), "id int, text string")
 
 
-@query("f19_f22_quote_strip", "SELECT id, strip_len FROM (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate((21, 34, 0, 2, 16, 200, 6, 10))) + ") v(id, strip_len)")
+@query("f19_f22_quote_strip", "SELECT id, strip_len FROM (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate((21, 37, 0, 2, 16, 200, 6, 10))) + ") v(id, strip_len)")
 def quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark).select("id", F.length(fresh_text(F.col("text"))).alias("strip_len"))
 

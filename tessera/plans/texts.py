@@ -56,9 +56,9 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("hits > 0").select("doc_id", F.round(F.col("hits") / (F.col("words") + 10.0), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("f06_lexical_relevance", "SELECT o_orderkey, round(0.6 + 0.3 * least(o_totalprice / 1e7 / 0.04, 1), 9) AS relevance FROM orders")
+@query("f06_lexical_relevance", "SELECT o_orderkey, round(0.6 + 0.3 * least(o_totalprice / 1e7 / 0.04, 1), 12) AS relevance FROM orders")
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(0.6 + 0.3 * F.least(F.col("o_totalprice") / 1e7 / 0.04, F.lit(1.0)), 9).alias("relevance"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(0.6 + 0.3 * F.least(F.col("o_totalprice") / 1e7 / 0.04, F.lit(1.0)), 12).alias("relevance"))
 
 
 _DTOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
