@@ -98,7 +98,7 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.groupBy("id").agg(F.min(F.struct("prio", "rank")).alias("k")).orderBy("k", "id").limit(60).select("id", "k.prio")
 
 
-_HIT = " + ".join(f"len(regexp_extract_all(lower(text), '\\b{t}\\b'))" for t in QUERY_TERMS)
+_HIT = "len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w IN (" + ", ".join(f"'{t}'" for t in QUERY_TERMS) + ")))"
 _HYBRID = f"""WITH lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(({_HIT}) / (len(regexp_extract_all(lower(text), '[a-z0-9]+')) + 10.0), 9) AS score FROM documents) WHERE score > 0 QUALIFY rank <= 200),
    vec AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(distance, 9), vec_id) AS rank FROM ({_DIST}) QUALIFY rank <= 200),
    rrf AS (SELECT id, sum(w / (60 + rank)) / (2.0 / 61) AS rrf FROM (SELECT id, rank, 1.0 AS w FROM lex UNION ALL SELECT id, rank, 1.0 FROM vec) GROUP BY id),
@@ -110,8 +110,8 @@ _HYBRID = f"""WITH lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY scor
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector arms fused with quality, freshness, applicability and negative feedback: the 20 best."""
     docs = load(spark, sf_dir, "documents")
-    hits = sum((F.regexp_count(F.lower("text"), F.lit(rf"\b{t}\b")) for t in QUERY_TERMS), F.lit(0))
-    words = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    hits, words = F.size(F.filter(tokens, lambda w: w.isin(*QUERY_TERMS))), F.size(tokens)
     lexical = _arm(docs.select(F.col("doc_id").alias("id"), F.round(hits / (words + 10.0), 9).alias("score")).where("score > 0"), "lexical", 1.0, 200)
     vector = _arm(distances(load(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), (-F.round("distance", 9)).alias("score")), "vector", 1.0, 200)
     fused = reciprocal_rank_fusion(lexical.unionByName(vector))

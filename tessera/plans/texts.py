@@ -47,12 +47,12 @@ _TERMS = ("the", "tion", "that", "with", "and", "ererth")
 
 @query(
     "f05_lexical_rank",
-    "WITH s AS (SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(lower(text), '\\b{t}\\b'))" for t in _TERMS) + " AS hits, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM documents) SELECT doc_id, round(hits / (words + 10.0), 6) AS score FROM s WHERE hits > 0 ORDER BY score DESC, doc_id LIMIT 50",
+    "WITH s AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w IN (" + ", ".join(f"'{t}'" for t in _TERMS) + "))) AS hits, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM documents) SELECT doc_id, round(hits / (words + 10.0), 6) AS score FROM s WHERE hits > 0 ORDER BY score DESC, doc_id LIMIT 50",
 )
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-term hits over text length; ranks are what counts further on."""
-    hits = sum((F.regexp_count(F.lower("text"), F.lit(rf"\b{t}\b")) for t in _TERMS), F.lit(0))
-    scored = load(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).alias("words"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    scored = load(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(tokens, lambda w: w.isin(*_TERMS))).alias("hits"), F.size(tokens).alias("words"))
     return scored.where("hits > 0").select("doc_id", F.round(F.col("hits") / (F.col("words") + 10.0), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
