@@ -45,7 +45,7 @@ from tessera.llm.common import load, saved
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Least hashes of a set that stage 2 probes; counters of the shingle order; bits of the parity filter and of the text filter.
-PROBES, ORDER_BITS, PARITY_BITS, FILTER_BITS = 6, 20, 512, 23
+PROBES, ORDER_BITS, PARITY_BITS, FILTER_BITS = 6, 20, 1024, 23
 #: Bits of a set's digest by which index entries name it.
 NAME_BITS = 40
 #: Index entries that one range of shingle hashes holds, about, and sets in one block of a long list.
@@ -315,12 +315,19 @@ def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of different components that share a list and pass sizes, positions and parity.
 
     ``entries(token, rid, comp, n, pos)``.  Lists of one component are
-    dropped.  A list is cut into blocks by a hash of its sets; a row pairs two
+    dropped, and entries that nothing in their list can link to by size.  A list is cut into blocks by a hash of its sets; a row pairs two
     blocks, and a list of one block is one row.  Within a row sets stand by
     size.
     """
     w = Window.partitionBy("token")
-    mixed = entries.withColumns({"c0": F.min("comp").over(w), "c1": F.max("comp").over(w), "m": F.count("*").over(w)}).where("c0 <> c1").drop("c0", "c1")
+    by_size = w.orderBy("n", "rid")
+    beside = {f"{c}_{side}": f(c).over(by_size) for c in ("n", "pos") for side, f in (("before", F.lag), ("after", F.lead))}
+    listed = entries.withColumns({"c0": F.min("comp").over(w), "c1": F.max("comp").over(w), "m": F.count("*").over(w), **beside})
+    # Sizes ascend: if neither neighbour's size can link, no set of the list can.  In a list of two the position tells more.
+    sizes_fit = F.coalesce(100 * F.col("n_before") >= PERCENT * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= PERCENT * F.col("n_after"), F.lit(False))
+    n, pos, other_n, other_pos = F.col("n"), F.col("pos"), F.coalesce("n_before", "n_after"), F.coalesce("pos_before", "pos_after")
+    place_fits = (100 + PERCENT) * (F.least(n - pos, other_n - other_pos) + F.least(pos, other_pos)) >= PERCENT * (n + other_n)
+    mixed = listed.where((F.col("c0") != F.col("c1")) & sizes_fit & ((F.col("m") > 2) | place_fits)).select("token", "rid", "comp", "n", "pos", "m")
     placed = mixed.withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     with_parity = placed.join(sets.select("rid", "parity"), "rid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
