@@ -1,13 +1,18 @@
 """License scan by sentence-rule recognition.
 
-A text is split into sentences.  A sentence is normalised (lower case, words
-only, years and numbers of versions kept, the holder after "copyright" cut)
-and looked up among the known licence sentences, each of which has an
-identifier.  What is left of a document is its sequence of identifiers.
-Ordered rules name a licence by an identifier sequence: a rule matches where
-its identifiers follow each other with nothing but other licence sentences
-between them, a longer rule goes before a shorter one, and an identifier that
-a rule has used is not used again.
+Known licence sentences, each with an identifier, are looked for as runs of
+words: lower case, and whatever stands between two words (blanks, line ends,
+comment marks, quotes) counts as one separator, so a sentence wrapped over
+lines of a comment is the same sentence.  A run starts where a line or a
+sentence does, after any comment marks and item number, or right after
+another known sentence; it ends before a mark, a line end or the end of the
+text; the longest known sentence wins.  ``{holder}`` in a known sentence
+stands for up to ``HOLDER_WORDS`` words.  A copyright line goes to the end of
+its line or sentence.  What is left of a document is its sequence of
+identifiers.  Ordered rules name a licence by an identifier sequence: a rule
+matches where its identifiers follow each other with nothing but other
+licence sentences between them, a longer rule goes before a shorter one, and
+an identifier that a rule has used is not used again.
 
 Both tables are small and fixed, so a task holds them; texts are scanned
 where they are.  A null text has no sentence.  Repeated rows are scanned each
@@ -25,9 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import add_fields, load
 
-#: Known licence sentences, normalised, and their identifiers.
+#: Known licence sentences and their identifiers.  The first part of a sentence stands where the rest may differ.
 SENTENCES = {
-    "copyright": "copyright",
     "all rights reserved": "all-rights",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under the apache license version 2 0 the license": "apache-2",
@@ -57,6 +61,35 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "You may obtain a copy of the License at http": "apache-copy",
+    "You may obtain a copy of the License at https": "apache-copy",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.": "apache-warranty",
+    "See the License for the specific language governing permissions and limitations under the License.": "apache-see",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:": "mit-grant",
+    "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.": "mit-notice",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "as-is",
+    "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.": "mit-liability",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": "bsd-binary",
+    "Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
+    "Neither the name of {holder} nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
+    "The name of {holder} may not be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
+    "THIS SOFTWARE IS PROVIDED BY {holder} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.": "bsd-warranty",
+    "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.": "bsd-liability",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.": "gpl-3-name",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.": "gpl-2-name",
+    "Licensed under the GNU General Public License version 3 or later": "gpl-3-later-name",
+    "Licensed under the GNU General Public License version 2 or later": "gpl-2-later-name",
+    "Licensed under the GNU General Public License version 3 or (at your option) any later version": "gpl-3-later-name",
+    "Licensed under the GNU General Public License version 2 or (at your option) any later version": "gpl-2-later-name",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gpl-warranty",
+    "See the GNU General Public License for more details.": "gpl-see",
+    "You should have received a copy of the GNU General Public License along with this program": "gpl-copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http": "mpl-2-copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https": "mpl-2-copy",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc-grant",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc-grant",
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND {holder} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": "isc-warranty",
+    "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.": "isc-liability",
 }
 
 #: Licences and the identifier sequences that name them; the first match of the longest goes first.
@@ -73,6 +106,8 @@ RULES = (
     ("Apache-2.0", ("apache-2",)),
     ("MIT", ("mit-name",)),
     ("MIT", ("mit-grant",)),
+    ("GPL-3.0-or-later", ("gpl-3-later-name",)),
+    ("GPL-2.0-or-later", ("gpl-2-later-name",)),
     ("GPL-3.0-only", ("gpl-3-name",)),
     ("GPL-2.0-only", ("gpl-2-name",)),
     ("MPL-2.0", ("mpl-2",)),
@@ -82,28 +117,64 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 
-_SPLIT = re.compile(r"(?<=[.;:!?])\s+|\n+")
-_WORD = re.compile(r"[a-z0-9]+")
-_HOLDER = re.compile(r"^copyright (?:c )?(?:\d{4} )*.*?(all rights reserved)?$")
-#: First words of known sentences: other sentences are not normalised further.
-_FIRST = {s.split(" ", 1)[0] for s in SENTENCES}
+#: Most words of a name where a known sentence has ``{holder}``.
+HOLDER_WORDS = 12
+#: What a sentence of the table that starts with "licensed" or "released" may have before it.
+SUBJECTS = ("this work is", "this project is", "this software is", "this program is", "this library is", "this code is", "this file is", "it is")
+
+_WORD = re.compile(r"[a-z0-9]+|\{holder\}")
+# Bounded, so that long runs of marks or of another script cost no more than their length.
+_GAP = r"[^a-z0-9]{1,80}+(?:(?<=\n)(?:dnl|rem)[^a-z0-9]{1,80}+)?"
+_ITEM = r"(?:(?:[a-z0-9]{1,3}[.)]|dnl\b|rem\b)[^a-z0-9]{1,80}+)?"
+_END = r"(?![a-z0-9])(?=[^a-z0-9\n.;:!?,(]{0,80}+(?:\Z|[\n(]|[.;:!?,](?:[^a-z0-9]|\Z)))"
+#: A copyright line, but not a sentence on notices or holders.
+_COPYRIGHT = re.compile(r"copyright(?![a-z0-9])(?!\s+(?:notice|holder|owner|law|licen[sc]e)s?\b)(?:[^\n.;:!?]|[.;:!?](?!\s))*")
+
+
+def _pattern(words: list[str]) -> re.Pattern:
+    name = rf"(?:[a-z0-9]++{_GAP}){{1,{HOLDER_WORDS}}}?"
+    parts = [name if w == "{holder}" else w + (_GAP if k + 1 < len(words) else "") for k, w in enumerate(words)]
+    return re.compile("".join(parts) + _END)
+
+
+def _table() -> dict[str, list[tuple[re.Pattern, str]]]:
+    """Patterns of the known sentences by first word, the longest first."""
+    known = {tuple(_WORD.findall(s.lower())): name for s, name in SENTENCES.items()}
+    known |= {(*x.split(), *words): name for words, name in known.items() if words[0] in ("licensed", "released") for x in SUBJECTS}
+    out: dict[str, list[tuple[re.Pattern, str]]] = {}
+    for words in sorted(known, key=lambda w: (-len(w), w)):
+        out.setdefault(words[0], []).append((_pattern(words), known[words]))
+    return out
+
+
+_KNOWN = _table()
+_FIRST = "(" + "|".join(sorted({*_KNOWN, "copyright"})) + ")(?![a-z0-9])"
+_START = re.compile(r"(?:\A|\n|[.;:!?]\s)[^a-z0-9]{0,80}+" + _ITEM + _FIRST)
+_NOT = re.compile(r"\b(?:not|never)[^a-z0-9]+\Z")
+_NEXT = re.compile(r"[^a-z0-9]{1,80}+" + _ITEM + _FIRST)
 
 
-def normalise(sentence: str) -> str:
-    """Lower-case words with single blanks; a copyright line loses its years and holder."""
-    words = " ".join(_WORD.findall(sentence.lower()))
-    if words.startswith("copyright") and (m := _HOLDER.match(words)):
-        return m[1] or "copyright"
-    return words
+def _sentence(low: str, at: int, first: str) -> tuple[int, str] | None:
+    """End and identifier of the known sentence that starts at ``at``, unless the line before it ends in "not"."""
+    if _NOT.search(low, max(0, at - 90), at):
+        return None
+    if first == "copyright":
+        m = _COPYRIGHT.match(low, at)
+        return m and (m.end(), "all-rights" if re.search(r"all[^a-z0-9]+rights[^a-z0-9]+reserved[^a-z0-9]*\Z", m[0]) else "copyright")
+    return next(((m.end(), name) for pattern, name in _KNOWN[first] if (m := pattern.match(low, at))), None)
 
 
 def sentence_ids(text: str | None) -> list[str]:
     """Identifiers of the licence sentences of a text, in order."""
-    out = []
-    for s in _SPLIT.split(text or ""):
-        first = _WORD.search(s[:40].lower())
-        if first and first[0] in _FIRST and (name := SENTENCES.get(normalise(s))):
-            out.append(name)
+    low, out = (text or "").lower(), []
+    m = _START.search(low)
+    while m:
+        found = _sentence(low, m.start(1), m[1])
+        if found:
+            out.append(found[1])
+            m = _NEXT.match(low, found[0]) or _START.search(low, found[0])
+        else:
+            m = _START.search(low, m.end())
     return out
 
 
