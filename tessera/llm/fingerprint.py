@@ -2,10 +2,10 @@
 
 The lexicon holds the terms within a band of document frequency (equally, of
 inverse document frequency): not so rare that one typing slip makes the term,
-not so common that it tells nothing.  Document frequencies come from all
-documents, in a fixed number of hashed counters: a term's count is at most
-too high, by the mean number of distinct terms of a document over the number
-of counters, relative to all documents; so the size is the same at any scale.
+not so common that it tells nothing.  Document frequencies are counted
+exactly over all documents, by 64-bit hashes of terms in a shuffle, so a term
+of one document is never in the lexicon, whatever the size of the corpus.
+Tasks hold the lexicon as a sorted array, 8 bytes a term within the band.
 
 A document keeps its distinct terms in the lexicon, sorted, and hashes them:
 the first part of the fingerprint, equal for equal term sets.  The other
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from tessera.llm import words as W
 from tessera.llm.common import load, saved
 
-BITS = 18
 SLOTS, LEVELS = 32, 5
 SLOT_BITS = SLOTS.bit_length() - 1
 #: A term of the lexicon is in two documents at least and in at most this share of all.
@@ -41,37 +40,65 @@ LEAST_DF, MOST_SHARE = 2, 0.1
 MOST_PARTS = 100_000
 
 
-def document_frequencies(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.ndarray, int]:
-    """Hashed document frequencies over all rows, and the number of rows."""
+#: Distinct terms that a task of the count holds before it sends them on.
+COUNT_TERMS = 1_000_000
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << bits, np.int64), 0
-        for b in batches:
-            rows += b.num_rows
-            for _, _, words in W.tokens(b.column(0), W.LETTERS_AND_MARKS):
-                row = np.repeat(np.arange(len(words)), np.diff(words.offsets))
-                once = np.unique(row << bits | (words.hashes >> W.U64(64 - bits)).astype(np.int64))
-                total += np.bincount(once & ((1 << bits) - 1), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
 
-    # At most 1 + 2**bits rows come back, whatever the number of documents.
-    table = docs.select(text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(1 << bits, np.int64)
-    known = table["bucket"] >= 0
-    df[table["bucket"][known]] = table["n"][known]
-    return df, int(table["n"][~known].sum())
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    terms, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    return terms, np.bincount(at, np.concatenate([n for _, n in parts]), len(terms)).astype(np.int64)
 
 
-def lexicon(df: np.ndarray, rows: int, least: int = LEAST_DF, most_share: float = MOST_SHARE) -> np.ndarray:
-    """Which buckets are within the band."""
-    return (df >= least) & (df <= max(least, most_share * rows))
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term`` (its hash) and ``n``: in how many rows it is, exactly."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
 
-def fingerprints(col: pa.Array, inside: np.ndarray, bits: int = BITS) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for b in batches:
+            for _, _, words in W.tokens(b.column(0), W.LETTERS_AND_MARKS):
+                row = np.repeat(np.arange(len(words)), np.diff(words.offsets))
+                order = np.lexsort((row, words.hashes))
+                h, r = words.hashes[order], row[order]
+                first = np.ones(len(h), bool)
+                first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+                terms, n = np.unique(h[first], return_counts=True)
+                held.append((terms, n))
+                size += len(terms)
+                if size > 2 * COUNT_TERMS:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > COUNT_TERMS:
+                        yield batch(*held[0])
+                        held, size = [], 0
+        if held:
+            yield batch(*_merged(held))
+
+    return docs.select(text).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DF, most_share: float = MOST_SHARE) -> np.ndarray:
+    """Hashes of the terms within the band, sorted."""
+    found = document_frequencies(docs, text).where((F.col("n") >= least) & (F.col("n") <= max(least, most_share * docs.count())))
+    terms = found.select("term").toArrow()["term"].to_numpy().astype(np.int64).view(np.uint64)
+    terms.sort()
+    return terms
+
+
+def _inside(hashes: np.ndarray, lex: np.ndarray) -> np.ndarray:
+    if not len(lex):
+        return np.zeros(len(hashes), bool)
+    # Sorted, distinct keys walk through the lexicon in order.
+    keys, at = np.unique(hashes, return_inverse=True)
+    return (lex[np.minimum(np.searchsorted(lex, keys), len(lex) - 1)] == keys)[at]
+
+
+def fingerprints(col: pa.Array, lex: np.ndarray) -> Iterator[np.ndarray]:
     """For each text its parts: the whole lexicon's hash, then ``LEVELS * SLOTS`` of 16 bits (0: no term)."""
     for _, _, words in W.tokens(col, W.LETTERS_AND_MARKS):
-        kept = inside[words.hashes >> W.U64(64 - bits)]
+        kept = _inside(words.hashes, lex)
         for i in range(len(words)):
             h, keep = words.hashes[words.offsets[i] : words.offsets[i + 1]], kept[words.offsets[i] : words.offsets[i + 1]]
             terms = np.unique(h[keep])
@@ -150,8 +177,7 @@ def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
 
     Ids sort ascending, null first; rows with equal ids by their text.
     """
-    df, rows = document_frequencies(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon(df, rows))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     cols = RESULT.replace("held long", f"doc_id {id_type}")
 

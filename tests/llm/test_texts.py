@@ -38,6 +38,17 @@ def test_fingerprints_of_odd_rows(docs_of, odd_rows):
     assert fingerprint_with_edit(docs_of([])).count() == 0
 
 
+def test_a_term_of_one_document_is_never_in_the_lexicon(docs_of):
+    for size in (300, 1500):
+        rows = []
+        for i in range(size):
+            text = " ".join(f"d{i}x{k}" for k in range(200))
+            rows += [(2 * i, text, "en", "a"), (2 * i + 1, f"{text} slip{i}", "en", "a")]
+        found = {r.doc_id: r.fingerprint for r in fingerprint_with_edit(docs_of(rows)).select("doc_id", "fingerprint").collect()}
+        assert [i for i in range(size) if found[2 * i] != found[2 * i + 1]] == []
+        assert len(set(found.values())) == size
+
+
 def test_license_sentences_and_rules(docs_of, odd_rows):
     text = "Intro.\nCopyright (c) 2020 Some Holder. Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://x"
     assert sentence_ids(text) == ["copyright", "apache-2", "apache-comply", "apache-copy"]
