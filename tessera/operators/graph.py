@@ -73,3 +73,43 @@ def degree_ranked(edges: DataFrame, budget: int) -> DataFrame:
     """At most ``budget`` edges of each source, the heaviest first."""
     rn = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     return edges.withColumn("rn", rn).where(F.col("rn") <= budget).drop("rn")
+
+
+def decision_chains(decisions: DataFrame, most: int = 20) -> DataFrame:
+    """``root, id, depth, place``: the chain of every one of ``decisions(id, parent, at)``.
+
+    First its ancestors, ``most`` at most and the farthest first (depth below
+    0), then itself, then descendants in breadth, children by ``at`` and id;
+    a decision's children join as long as the chain is shorter than ``most``
+    before them.  A cycle ends the way up, and nothing is in a chain twice.
+    """
+    nodes = saved(decisions.select("id", "parent", "at"))
+    level = nodes.select(F.col("id").alias("root"), "id", "parent")
+    found = None
+    for depth in range(1, most + 1):
+        above = nodes.select("id", F.col("parent").alias("next"))
+        level = level.select("root", F.col("parent").alias("id")).join(above, "id").select("root", "id", F.col("next").alias("parent"), F.lit(-depth).alias("depth"))
+        level = saved(level if found is None else level.join(found, ["root", "id"], "left_anti"))
+        if not level.limit(1).count():
+            break
+        found = level.select("root", "id", "depth") if found is None else found.unionByName(level.select("root", "id", "depth"))
+    own = nodes.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
+    if found is not None:
+        own = own.join(found.select("root", "id"), ["root", "id"], "left_anti").unionByName(found)
+    upper = saved(own.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("depth"))))
+    lengths = upper.groupBy("root").agg(F.max("place").alias("length"))
+    level = nodes.select(F.col("id").alias("root"), "id").join(lengths, "root").select("root", "id", "length", F.lit(0).alias("place"))
+    out = upper
+    children = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("over"), F.col("id").alias("child"), "at")
+    by_parent, within = Window.partitionBy("root").orderBy("place"), Window.partitionBy("root").orderBy("place", "at", "child")
+    for depth in range(1, most + 1):
+        # With one parent each, only an ancestor or the root itself can come back.
+        pairs = level.where(F.col("length") < most).join(children, F.col("id") == F.col("over")).select("root", F.col("child"), "at", "length", "place")
+        pairs = pairs.join(upper.select("root", F.col("id").alias("child")), ["root", "child"], "left_anti")
+        kept = pairs.select("root", "child", "length", F.rank().over(by_parent).alias("rank"), F.row_number().over(within).alias("nth")).where(F.col("length") + F.col("rank") - 1 < most)
+        kept = saved(kept.select("root", F.col("child").alias("id"), F.lit(depth).alias("depth"), (F.col("length") + F.col("nth")).alias("place")))
+        if not kept.limit(1).count():
+            break
+        out = out.unionByName(kept)
+        level = kept.select("root", "id", "place", F.max("place").over(Window.partitionBy("root")).alias("length"))
+    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import saved
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in ``order`` (end it with an id, for a total order)."""
@@ -31,3 +35,22 @@ def close_and_replace(current: DataFrame, new: DataFrame, keys: list[str], momen
 def orphans(rows: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose parent is gone."""
     return rows.join(parents, keys, "left_anti")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the row number in ``order``, without one task that holds all rows.
+
+    Rows are dealt by ranges and numbered in their range; a range starts after
+    the rows of those before it, which takes one count for each range.
+    """
+    at, place = "_range", "_place"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Kept once, as sampled range bounds may differ in another run.
+    ranged = saved(ranged.select("*", F.spark_partition_id().alias(at), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place)))
+    counts = {r[at]: r["count"] for r in ranged.groupBy(at).count().collect()}
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    before = df.sparkSession.createDataFrame(starts, f"{at} int, _before long")
+    return ranged.join(F.broadcast(before), at).select(*df.columns, (F.col("_before") + F.col(place) + 1).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import components, decay_expand, degree_ranked, neighbours
+from tessera.operators.graph import components, decay_expand, decision_chains, degree_ranked, neighbours
 from tessera.operators.tables import latest_per_key
 from tessera.plans.registry import load, query
 
@@ -78,6 +78,13 @@ def decision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("g10_decision_chain_all")
+def decision_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of every order, up and down; the parent of a decision is half its number, where there is one."""
+    parent = F.when(F.col("o_orderkey") > 1, F.expr("o_orderkey div 2"))
+    return decision_chains(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), parent.alias("parent"), F.col("o_orderdate").alias("at")))
+
+
 @query(
     "g12_situation_components",
     """WITH RECURSIVE l AS (SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_type = 'error' AND a.event_id < b.event_id AND b.ts <= a.ts + INTERVAL 24 HOUR AND b.ts >= a.ts - INTERVAL 24 HOUR),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import RISK_RANK, excluded_free, risk_rank, strict_scope, open_scope, valid_at
-from tessera.operators.tables import close_and_replace, insert_missing, latest_per_key, new_rows_by_hash, orphans
+from tessera.operators.tables import close_and_replace, global_rank, insert_missing, latest_per_key, new_rows_by_hash, orphans
 from tessera.plans.registry import load, query
 
 
@@ -416,6 +416,17 @@ def null_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.select("o_custkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("late"), "o_custkey")).alias("rank_asc"), F.row_number().over(Window.orderBy(F.desc_nulls_first("late"), "o_custkey")).alias("rank_desc"))
 
 
+@query(
+    "t09_null_placement_all",
+    "SELECT o_custkey, row_number() OVER (ORDER BY late ASC NULLS LAST, o_custkey) AS rank_asc, row_number() OVER (ORDER BY late DESC NULLS FIRST, o_custkey) AS rank_desc FROM (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN o_orderdate END) AS late FROM orders GROUP BY 1)",
+)
+def null_placement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of every customer; ``t09_null_placement`` is the same over the first 200."""
+    late = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"), F.col("o_orderdate"))).alias("late"))
+    up = global_rank(late, (F.asc_nulls_last("late"), F.asc_nulls_last("o_custkey")), "rank_asc")
+    return global_rank(up, (F.desc_nulls_first("late"), F.asc_nulls_last("o_custkey")), "rank_desc").select("o_custkey", "rank_asc", "rank_desc")
+
+
 @query("s01_union_all", "SELECT l_partkey AS id FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT l_suppkey FROM lineitem WHERE l_quantity = 50")
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").where("l_quantity = 50")
