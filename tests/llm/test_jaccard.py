@@ -66,6 +66,54 @@ def test_long_lists_are_compared_block_by_block(docs_of, prose, monkeypatch):
     assert got(docs_of([(i, t, "en", "a") for i, t in rows])) == brute(rows)
 
 
+def test_hot_shingles_take_the_salted_way(docs_of, prose, monkeypatch):
+    """One passage in every set, with lists over many blocks, ranges and batches."""
+    for name, value in (("LIST_BLOCK", 4), ("HOT_LEAST", 3), ("HOT_MEANS", 0), ("RANGE_ENTRIES", 50), ("PACK_ENTRIES", 300), ("PROBES", 1)):
+        monkeypatch.setattr(J, name, value)
+    rows = [(i, t + " " + prose(77, 40)) for i, t in near_copies(prose, 9)]
+    assert got(docs_of([(i, t, "en", "a") for i, t in rows]).repartition(5)) == brute(rows)
+    monkeypatch.setattr(J, "HOT_LEAST", 10**9)  # all by the streaming way
+    assert got(docs_of([(i, t, "en", "a") for i, t in rows]).repartition(5)) == brute(rows)
+
+
+def test_members_are_answered_through_representatives(docs_of, monkeypatch):
+    """Two groups of similar sets that only some members of each tie together."""
+    monkeypatch.setattr(J, "PROBES", 1)
+    r, rows = random.Random(3), []
+    for base in range(6):
+        words = [f"b{base}x{k}" for k in range(120)]
+        for k in range(8):
+            other = list(words)
+            for x in range(r.randrange(0, 5)):
+                other[r.randrange(len(other))] = f"e{base}{k}{x}"
+            cut = r.randrange(0, 9) * 2
+            rows.append(" ".join(other[: 120 - cut] + [f"b{base + 1}y{j}" for j in range(cut)]))
+    rows = list(enumerate(rows))
+    assert got(docs_of([(i, t, "en", "a") for i, t in rows])) == brute(rows)
+
+
+def test_every_text_of_a_repeated_id_is_compared(docs_of, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (5, a + " x"), (7, b + " y"), (9, prose(3, 60)), (9, "")]
+    for order in (rows, rows[::-1]):
+        found = {(r.doc_id, r.component_id) for r in J.jaccard_components(docs_of([(i, t, "en", "a") for i, t in order])).collect()}
+        assert found == {(1, 1), (5, 1), (7, 1), (9, 9)}
+
+
+def test_ids_may_be_strings(spark, prose):
+    text = prose(1, 60)
+    docs = spark.createDataFrame([("b", text), ("a", text + " x"), ("c", None), ("d", prose(4, 50))], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    assert sorted(r.doc_id for r in J.near_duplicate_representatives(docs).collect()) == ["a", "c", "d"]
+
+
+def test_many_rows_of_one_id(docs_of, prose):
+    text = prose(1, 40)
+    rows = [(3, text)] * 3000 + [(None, text)] * 3000 + [(4, text + " z")]
+    found = J.jaccard_components(docs_of([(i, t, "en", "a") for i, t in rows])).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in found} == {(3, 3, 3000), (4, 3, 1), (None, None, 3000)}
+
+
 def test_odd_rows(docs_of, odd_rows):
     rows = got(docs_of([x for x in odd_rows if x[0] is not None]))
     assert rows[1] == (0, 1) and rows[2] == (0, 2) and rows[3] == (0, 3)
