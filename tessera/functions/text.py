@@ -65,6 +65,8 @@ BOUNCE_PHRASES = (
 NEGATION_CUES = ("do not", "don't", "does not", "doesn't", "never", "must not", "mustn't", "should not", "shouldn't", "cannot", "can't", "avoid", "refrain from", "is not permitted", "are not permitted", "not allowed", "not supported", "not recommended", "we do not suggest", "do not suggest")
 CLAUSE_BREAKS = ("but", "however", "although", "whereas", "otherwise", "unless")
 
+#: Fixed value: shorter lines tell no error.
+LEAST_ERROR_LINE = 12
 EXCEPTION = r"\b([A-Z][A-Za-z0-9]{2,60}(?:Exception|Error|Fault))\b"
 VENDOR_CODE = r"\b(ORA-\d{3,6}|SQLSTATE\s*\[?\w{5}\]?|0x[0-9A-Fa-f]{4,16}|errno\s*[=:]?\s*\d{1,5})\b"
 HTTP_5XX = r"(?i)\b(?:HTTP|status(?:\s+code)?)[\s:]*([5]\d\d)\b"
@@ -152,6 +154,12 @@ def outcome(text: Column) -> Column:
     return F.coalesce(out, F.lit("unknown"))
 
 
+def outcome_recognised(text: Column) -> Column:
+    """Whether any rule is met."""
+    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.coalesce(reduce(lambda a, rule: a | t.rlike(rule[1]), OUTCOME_RULES, F.lit(False)), F.lit(False))
+
+
 def delivery_failure(text: Column) -> Column:
     return reduce(lambda n, p: n + text.rlike("(?i)" + p).cast("int"), BOUNCE_PHRASES, F.lit(0)) >= 2
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A temporary folder where Spark runs on one machine, as in tests; a cluster must name a folder that all machines share."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared checkpoint folder; the loops below cut their lineage with it."""
-    import tempfile
-
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark))
     return df.checkpoint(eager=True)
 
 

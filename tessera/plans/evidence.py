@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks as C
+from tessera.functions import messages as M
 from tessera.operators.graph import degree_ranked, neighbours
 from tessera.operators.ranking import mmr
 from tessera.operators.tables import latest_per_key
@@ -59,67 +60,12 @@ def salient_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- messages ------------------------------------------------------------------
 
-#: Where quoted history starts in a message.
-QUOTE_BOUNDARIES = (r"(?im)^-{2,}\s*Original Message\s*-{2,}\s*$", r"(?m)^\s*_{10,}\s*$", r"(?im)^\s*-*\s*on\b.{5,160}?\bwrote\b\s*[-:]*\s*$")
-#: Signs of technical content.
-TECHNICAL = (r"(?i)\b0x[0-9a-f]{4,}\b", r"\b[A-Z]{2,}-\d{3,}\b", r"(?i)\b(?:error|status|exit)\s*(?:code)?\s*[:=#]?\s*\d{3,}\b", r"\bv?\d+\.\d+(?:\.\d+)+\b", r"\bhttps?://\S+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b[\w.-]+@[\w.-]+\.\w{2,}\b", r"\b\w+\.\w+\.\w+\b")
-LEAST_DIAGNOSTIC = 150
 
-#: Literal messages.
-MESSAGES = ("Please look into this", "Restart the print service on 10.0.0.3", "", "ok\nOn Monday 3 Aug 2026, Jane wrote:\n> old text\n> more", "see v8.2.5 notes", "x" * 200, "answer\n---- Original Message ----\nhistory here", "> only quoted\nfresh line")
-_MESSAGE_ROWS = ", ".join(f"({i}, '" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for i, m in enumerate(MESSAGES))
-
-
-def fresh_text(text):
-    """Up to the first boundary, without quoted lines."""
-    head = text
-    for boundary in QUOTE_BOUNDARIES:
-        head = F.split(head, boundary, 2)[0]
-    return F.regexp_replace(F.array_join(F.filter(F.split(head, "\n"), lambda x: ~x.rlike(r"^\s*>")), "\n"), r"^\s+|\s+$", "")
-
-
-def _messages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(MESSAGES)), "id int, text string")
-
-
-@query("f19_f22_quote_strip", "SELECT id, strip_len FROM (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate((21, 37, 0, 2, 16, 200, 6, 10))) + ") v(id, strip_len)")
-def quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark).select("id", F.length(fresh_text(F.col("text"))).alias("strip_len"))
-
-
-@query("f23_technical_signal", "SELECT id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in TECHNICAL) + f" AS technical FROM (VALUES {_MESSAGE_ROWS}) m(id, text)")
-def technical_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark).select("id", reduce(lambda a, p: a | F.col("text").rlike(p), TECHNICAL, F.lit(False)).alias("technical"))
-
-
-@query("pf15_noise_gate", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 150 AND NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in TECHNICAL) + ") THEN 'coordination_only' END AS reason FROM conversations")
+@query("pf15_noise_gate", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) < 150 AND NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in M.TECHNICAL) + ") THEN 'coordination_only' END AS reason FROM conversations")
 def noise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short and featureless, never short alone."""
-    technical = reduce(lambda a, p: a | F.col("text").rlike(p), TECHNICAL, F.lit(False))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.trim("text") == "", "empty").when((F.length("text") < LEAST_DIAGNOSTIC) & ~technical, "coordination_only").alias("reason"))
-
-
-_IDENT = "(?:[A-Z]{2,5}-?[0-9]{3,10}|[a-z]+[0-9]{2,})"
-
-
-@query("f32_f36_identifiers", f"SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(text, '{_IDENT}'))), 1, 8), ' ') AS ids FROM documents")
-def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to eight distinct identifier-shaped tokens of a text, the rule's own bound."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(_IDENT), 0))), 1, 8), " ").alias("ids"))
-
-
-@query("f28_environment_labels", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'prod' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'test' ELSE 'other' END AS env FROM customer")
-def environment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases of an environment name from a small map."""
-    aliases = F.create_map(*[F.lit(x) for pair in {"building": "prod", "machinery": "prod", "household": "test"}.items() for x in pair])
-    return load(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.try_element_at(aliases, F.lower(F.trim("c_mktsegment"))), F.lit("other")).alias("env"))
-
-
-@query("f31_case_frame", "SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_concat(regexp_extract_all(lower(left(text, 200)), '[a-z]{5,}'), [lang, source]))), 1, 24), ' ') AS terms FROM documents")
-def case_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 24 terms: words of the title (the first 200 characters stand for it) and facets."""
-    words = F.regexp_extract_all(F.lower(F.left("text", F.lit(200))), F.lit("[a-z]{5,}"), 0)
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_sort(F.array_distinct(F.concat(words, F.array("lang", "source")))), 1, 24), " ").alias("terms"))
+    technical = reduce(lambda a, p: a | F.col("text").rlike(p), M.TECHNICAL, F.lit(False))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.trim("text") == "", "empty").when((F.length("text") < M.LEAST_DIAGNOSTIC) & ~technical, "coordination_only").alias("reason"))
 
 
 @query("f39_name_shape", "SELECT c_custkey, CASE WHEN c_name IS NULL OR trim(c_name) = '' THEN 'empty' WHEN regexp_matches(c_name, '[0-9]{5,}') THEN 'identifier' WHEN regexp_matches(c_name, '@') THEN 'address' ELSE 'name' END AS shape FROM customer")
@@ -150,20 +96,6 @@ def change_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("change_id", "incident_id", F.when(F.col("gap") < -5, "remediation").when(F.abs("gap") <= 120, "suspected").when(F.col("gap") <= 1440, "candidate").otherwise("weak_candidate").alias("status"))
 
 
-#: Weights of the fix-applicability score.
-FIX_WEIGHTS = {"error_signature": 0.25, "component": 0.20, "version": 0.15, "os_build": 0.10, "model": 0.10, "recent_change": 0.10, "same_class": 0.10}
-
-
-@query("f50_fix_applicability", "SELECT a.p_partkey AS fix, b.p_partkey AS target, round((CASE WHEN a.p_name = b.p_name THEN 0.25 ELSE 0 END) + (CASE WHEN a.p_type = b.p_type THEN 0.2 ELSE 0 END) + (CASE WHEN a.p_size = b.p_size THEN 0.15 ELSE 0 END) + CAST(0.1 AS DOUBLE), 4) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 200")
-def fix_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additive score of a fix for a target of the same class (brand)."""
-    parts = load(spark, sf_dir, "part")
-    a, b = parts.where("p_partkey < 200").alias("a"), parts.alias("b")
-    same = lambda c, w: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(FIX_WEIGHTS[w])).otherwise(0.0)
-    score = same("p_name", "error_signature") + same("p_type", "component") + same("p_size", "version") + FIX_WEIGHTS["same_class"]
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("fix"), F.col("b.p_partkey").alias("target"), F.round(score, 4).alias("score"))
-
-
 @query("f51_risk_floor", "SELECT l_orderkey, max(CASE l_returnflag WHEN 'R' THEN 4 WHEN 'A' THEN 2 ELSE 1 END) AS floor_rank FROM lineitem GROUP BY 1")
 def risk_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest risk of a plan's steps."""
@@ -236,18 +168,6 @@ def lifecycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.when(F.col("last") < F.col("now") - F.expr("INTERVAL 3 DAY"), "closed").when(F.col("last") < F.col("now") - F.expr("INTERVAL 1 DAY"), "quiet").when(F.col("recent") >= 3, "escalating").otherwise("active").alias("state"))
 
 
-@query(
-    "g31_ticket_bridge",
-    """WITH t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS token FROM conversations), c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS token FROM documents), k AS (SELECT token, min(doc_id) AS doc_id FROM c GROUP BY token HAVING count(*) = 1)
-       SELECT conv_id, doc_id, count(*) AS tokens FROM t JOIN k USING (token) GROUP BY 1, 2""",
-)
-def ticket_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads and cases by tokens that name exactly one case; an ambiguous token links nothing."""
-    tokens = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))).alias("token")).distinct()
-    named = tokens(load(spark, sf_dir, "documents"), "doc_id").groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return tokens(load(spark, sf_dir, "conversations"), "conv_id").join(named, "token").groupBy("conv_id", "doc_id").agg(F.count("*").alias("tokens"))
-
-
 @query("g35_knowledge_for_pattern", f"SELECT label, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rn FROM ({_DIST})) WHERE rn <= 6 AND label IN (SELECT label FROM (SELECT label, min(round(distance, 9)) AS d FROM ({_DIST}) GROUP BY 1 ORDER BY d, label LIMIT 5))")
 def knowledge_for_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five documents and six sections of each."""
@@ -281,14 +201,6 @@ def extraction_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.agg(F.count("*").alias("cases"), F.round(F.avg(common / F.size("got")), 6).alias("precision_"), F.round(F.avg(common / F.size("want")), 6).alias("recall"))
 
 
-@query("g45_reference_edges", "SELECT l_orderkey, l_partkey, CASE WHEN p_partkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS state, count(*) AS refs FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) ON p_partkey = l_partkey WHERE l_quantity = 50 GROUP BY 1, 2, 3")
-def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to their targets; those without one are joined again on the next run, when it may be there."""
-    targets = load(spark, sf_dir, "part").where("p_size > 5").select("p_partkey")
-    refs = load(spark, sf_dir, "lineitem").where("l_quantity = 50").join(targets, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return refs.groupBy("l_orderkey", "l_partkey", F.when(F.col("p_partkey").isNull(), "unresolved").otherwise("resolved").alias("state")).agg(F.count("*").alias("refs"))
-
-
 @query("g53_currency", "SELECT o_orderkey FROM orders WHERE (CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END) IS NULL OR o_orderstatus = 'O'")
 def currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No lifecycle state counts as current."""

@@ -31,7 +31,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES: tuple[str, ...] = ("aggregates", "relational", "texts", "ranking", "graphs", "streams", "evidence", "content")
+MODULES: tuple[str, ...] = ("aggregates", "relational", "texts", "ranking", "graphs", "streams", "evidence", "content", "mail", "library", "cases")
 
 for _module in MODULES:
     importlib.import_module(f"tessera.plans.{_module}")

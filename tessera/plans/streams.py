@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.streaming import streams as S
@@ -47,3 +48,10 @@ def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def state_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain(S.state_changes(S.events_stream(spark, f"{sf_dir}/events.parquet")))
+
+
+@query("st05_growth_gate_stream", "SELECT user_id AS cluster, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS size FROM events GROUP BY 1 HAVING max(CAST(json_extract_string(props, '$.k') AS BIGINT)) >= 3")
+def growth_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one batch of the table passes every cluster once, at its greatest size; tests go through several batches."""
+    sizes = S.events_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("cluster"), F.get_json_object("props", "$.k").cast("long").alias("size"))
+    return S.drain(S.growth_gate(sizes))

@@ -87,23 +87,6 @@ def pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("y", F.lag("x").over(Window.orderBy("item_id"))).where("y IS NOT NULL").select("item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-#: Literal clauses for polarity, outcome and error rules.
-CLAUSES = (
-    "Do not restart the service", "Restart the service but never on Friday", "You should not delete logs", "Avoid scaling down", "Restart it, however do not wait",
-    "The issue is resolved now", "Ticket closed due to lack of user response", "Workaround applied", "still failing after reboot", "unresolved", "access was provided to user", "closed", "Information provided, ticket closed", "under internal investigation", "patched and restarted", "",
-)
-_CLAUSE_ROWS = ", ".join(f"({i}, '{_q(c)}')" for i, c in enumerate(CLAUSES))
-
-
-def _clauses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CLAUSES)), "id int, text string")
-
-
-@query("f10_polarity", f"SELECT id, regexp_matches(regexp_split_to_array(lower(text), '\\b(?:{'|'.join(T.CLAUSE_BREAKS)})\\b')[1], '\\b(?:{_q('|'.join(T.NEGATION_CUES))})\\b') AS negated FROM (VALUES {_CLAUSE_ROWS}) c(id, text)")
-def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clauses(spark).select("id", T.negated(F.col("text")).alias("negated"))
-
-
 @query("f11_action_normalisation", f"SELECT conv_id, turn, array_to_string(list_sort({_DTOK}), ' ') AS action FROM conversations")
 def action_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.tokens(F.col("text"))), " ").alias("action"))
@@ -162,35 +145,6 @@ def error_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.md5(T.normalize_error_line(F.col("line")).cast("binary")).alias("line"))
 
 
-#: Literal log lines for the error rules.
-ERROR_LINES = (
-    "2026-08-07 10:22:01 ERROR com.foo.Bar: java.lang.NullPointerException: value at /opt/app/lib/x.jar was null",
-    "ORA-12154: TNS could not resolve the connect identifier for host 10.1.2.3:1521", "HTTP 503 Service Unavailable after 30000 ms", "exit errno=13 permission denied", "all good today", "FATAL: disk full on 'node-7'",
-    "status code: 502 from upstream", "SQLSTATE[HY000] general error", "driver returned 0x8007007E while loading",
-)
-_ERROR_ROWS = ", ".join(f"({i}, '{_q(c)}')" for i, c in enumerate(ERROR_LINES))
-
-
-@query(
-    "f16_error_classify",
-    f"""SELECT id, CASE WHEN regexp_extract(line, '{T.EXCEPTION}', 1) <> '' THEN regexp_extract(line, '{T.EXCEPTION}', 1)
-               WHEN regexp_extract(line, '{T.VENDOR_CODE}', 1) <> '' THEN CASE WHEN upper(regexp_extract(line, '{T.VENDOR_CODE}', 1)) LIKE 'ORA-%' THEN replace(regexp_extract(line, '{T.VENDOR_CODE}', 1), '-', '_')
-                    WHEN upper(regexp_extract(line, '{T.VENDOR_CODE}', 1)) LIKE 'SQLSTATE%' THEN 'SQLSTATE' WHEN upper(regexp_extract(line, '{T.VENDOR_CODE}', 1)) LIKE '0X%' THEN 'HEX_CODE' ELSE 'ERRNO_' || regexp_extract(regexp_extract(line, '{T.VENDOR_CODE}', 1), '\\d+') END
-               WHEN regexp_extract(line, '{T.HTTP_5XX}', 1) <> '' THEN 'HTTP_' || regexp_extract(line, '{T.HTTP_5XX}', 1) WHEN regexp_matches(line, '{T.LOG_LEVEL}') THEN 'LOG_ERROR' END AS kind FROM (VALUES {_ERROR_ROWS}) e(id, line)""",
-)
-def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ERROR_LINES)), "id int, line string").select("id", T.error_type(F.col("line")).alias("kind"))
-
-
-@query("f17_f18_error_fingerprints")
-def error_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three distinct signatures among the first 500 lines of each document's first 40,000 characters, the rule's own bounds."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.left("text", F.lit(40_000)), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"), 1, 500)).alias("pos", "line"))
-    found = lines.withColumn("kind", T.error_type(F.col("line"))).where("kind IS NOT NULL").withColumn("signature", T.signature_key(F.col("kind"), T.normalize_error_line(F.col("line"))))
-    first = found.groupBy("doc_id", "signature").agg(F.min("pos").alias("pos"))
-    return first.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "signature"))).where("rn <= 3").drop("rn")
-
-
 @query("f21_bounce_detection", "SELECT conv_id, turn, " + " + ".join(f"CASE WHEN regexp_matches(text, '(?i){_q(p)}') THEN 1 ELSE 0 END" for p in T.BOUNCE_PHRASES) + " >= 2 AS bounce FROM conversations")
 def bounce_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.delivery_failure(F.col("text")).alias("bounce"))
@@ -215,24 +169,6 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.content_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-#: Literal (article, target, compatible) versions.
-VERSIONS = (("7*", "7.6.3"), ("8.2.5", "8.2.4"), ("8.2.4", "8.2.5"), ("8.x", "9.1"), ("V8.*", "8.0"), ("abc", "8.1"), ("7", "7.1"), ("10.2.1", "10.2.1"), ("9.10.0", "9.9.9"))
-
-
-@query("f27_version_compatible", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, false), (4, true), (5, NULL), (6, true), (7, true), (8, false)) v(id, ok)")
-def version_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(VERSIONS)], "id int, article string, target string")
-    return rows.select("id", T.version_compatible(F.col("article"), F.col("target")).alias("ok"))
-
-
-_OUT = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
-
-
-@query("f33_outcome_classification", "SELECT id, CASE " + " ".join(f"WHEN regexp_matches({_OUT}, '{_q(rule)}') THEN '{label}'" for label, rule in T.OUTCOME_RULES) + f" ELSE 'unknown' END AS outcome FROM (VALUES {_CLAUSE_ROWS}) c(id, text)")
-def outcome_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clauses(spark).select("id", T.outcome(F.col("text")).alias("outcome"))
-
-
 @query("f34_resolution_signal", "SELECT doc_id, regexp_matches(left(lower(text), 4000) || CASE WHEN length(text) > 4000 THEN right(lower(text), 4000) ELSE '' END, '\\b(resolved|fixed|solution|root cause|licensed|released)\\b') AS signal FROM documents")
 def resolution_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule looks at the first 4,000 characters and, of longer texts, the last 4,000."""

@@ -7,7 +7,6 @@ service starts the same DataFrames with its own trigger, sink and folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.graph import scratch_folder
+
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
     """The files at ``path`` (a folder or one file) as a stream; watermarks need ``ts`` with a time zone, the session's."""
@@ -24,7 +25,7 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def drain(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or scratch_folder(spark)
     place = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,6 +1,7 @@
 """Exports, office files and keyed state of the streams, from small files."""
 
 import json
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -44,5 +45,17 @@ def test_growth_gate_over_batches(spark, tmp_path):
     src.mkdir()
     for k, size in enumerate((2, 3, 4, 5, 9)):
         (src / f"{k}.json").write_text(json.dumps({"cluster": 1, "size": size, "n": k}) + "\n")
+        os.utime(src / f"{k}.json", (10**9 + k, 10**9 + k))  # files of one tick may be read in any order
     stream = spark.readStream.schema("cluster long, size long, n int").option("maxFilesPerTrigger", 1).json(str(src))
     assert [r["size"] for r in drain(growth_gate(stream.select("cluster", "size"))).orderBy(F.col("size")).collect()] == [3, 5, 9]
+
+
+def test_growth_gate_takes_sizes_as_they_arrive(spark, tmp_path):
+    """A smaller size that arrives late is below what was sent and passes nothing."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, size in enumerate((9, 5, 3, 13, 14)):
+        (src / f"{k}.json").write_text(json.dumps({"cluster": 1, "size": size}) + "\n")
+        os.utime(src / f"{k}.json", (10**9 + k, 10**9 + k))
+    stream = spark.readStream.schema("cluster long, size long").option("maxFilesPerTrigger", 1).json(str(src))
+    assert [r["size"] for r in drain(growth_gate(stream)).orderBy("size").collect()] == [9, 14]
