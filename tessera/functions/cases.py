@@ -129,8 +129,3 @@ def fix_verdict(required: Column, excluded: Column, traits: Column, exact: Colum
     floor = F.when(level == "exact_ci", LEVEL_FLOORS["exact_ci"]).when(level == "same_model_and_configuration", LEVEL_FLOORS["same_model_and_configuration"]).otherwise(0.0)
     return F.struct(level.alias("level"), F.round(F.least(F.greatest(score, floor, F.lit(0.0)), F.lit(1.0)), 2).alias("score"), rejected.alias("rejected"))
 
-
-def literal_fragments(text: Column) -> Column:
-    """Up to eight paths, flags and dotted names of a text, in order."""
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), 0), lambda p: F.regexp_replace(p, r"""^[.,;:"'()\[\]]+|[.,;:"'()\[\]]+$""", ""))
-    return F.slice(F.filter(pieces, lambda p: (F.length(p) >= 4) & p.rlike(r"[/\\.\-_=]")), 1, 8)

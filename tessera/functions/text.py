@@ -113,6 +113,15 @@ def tokens(text: Column, pattern: str = r"[a-z0-9]+", least: int = 1) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)), lambda t: F.length(t) >= least)
 
 
+def count_tokens(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+"))
+
+
+def count_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """How many tokens are one of ``terms``."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?<![a-z0-9])(?:" + "|".join(terms) + r")(?![a-z0-9])"))
+
+
 def query_terms(text: Column, most: int = 24) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9._-]{1,}"), 0)), 1, most)
 

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def contained_sets(rows: DataFrame) -> DataFrame:
     """Ids of ``rows(id, item)`` whose items another id has as well; of equal sets all but the least id.
 
-    Only ids that share an item are compared.
+    Equal sets are found by their digest.  Of different sets, another that
+    holds all items holds the rarest one, so a set meets only those larger
+    ones that share it, and their common items are counted.
     """
     sets = rows.distinct()
-    sized = sets.withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    a, b = sized.alias("a"), sized.alias("b")
-    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.id") != F.col("b.id")) & (F.col("a.n") <= F.col("b.n"))).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("common"))
-    return pairs.where((F.col("common") == F.col("n")) & ((F.col("m") > F.col("n")) | (F.col("other") < F.col("id")))).select("id").distinct()
+    digest = sets.groupBy("id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item").cast("string"))), ","), 256).alias("digest"))
+    kept = digest.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    equal = digest.join(kept.select("digest", F.col("id").alias("kept")), "digest").where("id <> kept").select("id", "kept")
+    distinct = sets.join(kept.select("id", "n"), "id")
+    commonness = distinct.groupBy("item").agg(F.count("*").alias("holders"))
+    rarest = distinct.join(commonness, "item").groupBy("id", "n").agg(F.min_by("item", F.struct("holders", "item")).alias("item"))
+    larger = distinct.select(F.col("id").alias("other"), "item", F.col("n").alias("m"))
+    pairs = rarest.join(larger, "item").where("m > n").select("id", "n", "other")
+    held = pairs.join(distinct.select("id", "item"), "id").join(distinct.select(F.col("id").alias("other"), "item"), ["other", "item"]).groupBy("id", "other", "n").agg(F.count("*").alias("common"))
+    contained = held.where("common = n").select("id").distinct()
+    # A copy of a contained set is contained as well; a copy of another one goes too.
+    return contained.unionByName(equal.select("id")).distinct()

@@ -273,12 +273,15 @@ def fix_outcomes_by_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT change_id, count(*) AS incidents, list_slice(list_sort(list(incident)), 1, 200)[1] AS first_incident, sum(incident) AS checksum FROM i GROUP BY 1 HAVING count(*) >= 3""",
 )
 def fleet_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct incidents on the same item within seven days after a change; at most 200 members are listed."""
-    events = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", _k().alias("k"))
-    s, e = events.where("event_type = 'signup'").alias("s"), events.where("event_type = 'error'").alias("e")
-    pairs = s.join(e, (F.col("s.k") == F.col("e.k")) & (F.col("e.ts") > F.col("s.ts")) & (F.col("e.ts") <= F.col("s.ts") + F.expr("INTERVAL 7 DAY"))).select(F.col("s.user_id").alias("change_id"), F.col("e.user_id").alias("incident")).distinct()
-    groups = pairs.groupBy("change_id").agg(F.count("*").alias("incidents"), F.slice(F.array_sort(F.collect_list("incident")), 1, 200).alias("members"), F.sum("incident").alias("checksum"))
-    return groups.where("incidents >= 3").select("change_id", "incidents", F.element_at("members", 1).alias("first_incident"), "checksum")
+    """Distinct incidents on the same item within seven days after a change, and the first of them."""
+    week = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (7 * 86_400_000_000)).alias("week")
+    events = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", _k().alias("k"), week)
+    # An incident within seven days stands in the change's week or in the next one.
+    s = events.where("event_type = 'signup'").withColumn("week", F.explode(F.array("week", F.col("week") + 1))).alias("s")
+    e = events.where("event_type = 'error'").alias("e")
+    pairs = s.join(e, (F.col("s.k") == F.col("e.k")) & (F.col("s.week") == F.col("e.week")) & (F.col("e.ts") > F.col("s.ts")) & (F.col("e.ts") <= F.col("s.ts") + F.expr("INTERVAL 7 DAY"))).select(F.col("s.user_id").alias("change_id"), F.col("e.user_id").alias("incident")).distinct()
+    groups = pairs.groupBy("change_id").agg(F.count("*").alias("incidents"), F.min("incident").alias("first_incident"), F.sum("incident").alias("checksum"))
+    return groups.where("incidents >= 3").select("change_id", "incidents", "first_incident", "checksum")
 
 
 _SEVERITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

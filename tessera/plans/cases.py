@@ -9,6 +9,7 @@ from tessera.functions import cases as K
 from tessera.functions import text as T
 from tessera.operators.references import heal, newest, resolve
 from tessera.operators.selection import select_connected
+from tessera.plans.content import literal_fragments
 from tessera.plans.registry import load, query
 
 
@@ -182,7 +183,7 @@ def literal_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of a step with its source's claim, at least 0.85 where the step repeats a literal of the claim."""
     step, claim = F.col("step"), F.col("claim")
     rows = load(spark, sf_dir, "orders").select("o_orderkey", F.expr(_STEP).alias("step"), F.expr(_CLAIM.replace("''/", "\\'/").replace("'''.'", "\\'.'")).alias("claim"))
-    fragments = K.literal_fragments(claim)
+    fragments = literal_fragments(claim)
     hit = F.exists(fragments, lambda g: F.lower(step).contains(F.lower(g)))
     return rows.select("o_orderkey", F.array_join(fragments, " ").alias("fragments"), F.round(F.greatest(T.overlap_coefficient(T.tokens(step), T.tokens(claim)), F.when(hit, 0.85).otherwise(0.0)), 6).alias("support"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import canonical_json
 from tessera.plans.registry import load, query
 
 #: Marks around a word, and the rule for what looks like a path, flag or dotted name.
@@ -82,9 +83,14 @@ def content_hash(fields: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
 
 
-@query("f54_content_hash", "SELECT p_partkey, sha256(json_object('brand', p_brand, 'name', p_name, 'size', p_size, 'type', p_type)::VARCHAR) AS content_hash FROM part")
+_CANONICAL = """'{"Ab":"' || p_brand || '","a":{"c":"eA","k":-0.25},"b' || p_partkey % 3 || '":[3,100,0.5,{"x":true,"y":null}],"n":' || p_size || ',"z":1}'"""
+
+
+@query("f54_content_hash", f"SELECT p_partkey, sha256({_CANONICAL}) AS content_hash FROM part")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").select("p_partkey", content_hash({"name": F.col("p_name"), "size": F.col("p_size"), "brand": F.col("p_brand"), "type": F.col("p_type")}).alias("content_hash"))
+    """The hash of every record's canonical JSON, whatever the order of keys and the form of numbers."""
+    parts = F.concat(F.lit('{"z": 1.0, "b'), (F.col("p_partkey") % 3).cast("string"), F.lit('": [3, 1e2, 0.5, {"y": null, "x": true}], "Ab": "'), "p_brand", F.lit('", "n": '), F.col("p_size").cast("string"), F.lit(r', "a": {"k": -0.25, "c": "e\u0041"}}'))
+    return load(spark, sf_dir, "part").select("p_partkey", F.sha2(canonical_json(parts), 256).alias("content_hash"))
 
 
 @query(

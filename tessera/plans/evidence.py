@@ -16,7 +16,7 @@ from tessera.plans.graphs import supply_edges
 from tessera.plans.ranking import _DIST, distances
 from tessera.plans.registry import load, query
 
-_EDGE = "SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst, round(0.2 + (l_partkey % 8) / 10.0, 2) AS weight FROM lineitem WHERE l_quantity >= 48"
+_EDGE = "SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst, round(0.2 + (l_partkey % 8) / 10.0, 2) AS weight FROM lineitem"
 
 
 # -- chunks --------------------------------------------------------------------

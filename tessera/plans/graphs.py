@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import components, decay_expand, decision_chains, degree_ranked, neighbours
+from tessera.operators.graph import decay_expand, decision_chains, degree_ranked, neighbours
 from tessera.operators.tables import latest_per_key
 from tessera.plans.registry import load, query
 
-#: Edges supplier - part of large lines, supplier nodes as negative numbers.
-_EDGES = "SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst, round(0.2 + (l_partkey % 8) / 10.0, 2) AS weight FROM lineitem WHERE l_quantity >= 48"
+#: Edges supplier - part, supplier nodes as negative numbers.
+_EDGES = "SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst, round(0.2 + (l_partkey % 8) / 10.0, 2) AS weight FROM lineitem"
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    lines = load(spark, sf_dir, "lineitem")
     return lines.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.round(0.2 + (F.col("l_partkey") % 8) / 10.0, 2).alias("weight")).distinct()
 
 
@@ -67,10 +67,10 @@ def edge_materialiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("g10_decision_chain", "WITH RECURSIVE c(root, id, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 500 = 7 UNION ALL SELECT c.root, c.id // 2, c.depth + 1 FROM c WHERE c.id > 1 AND c.depth < 6) SELECT root, id, depth FROM c")
+@query("g10_decision_chain", "WITH RECURSIVE c(root, id, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders UNION ALL SELECT c.root, c.id // 2, c.depth + 1 FROM c WHERE c.id > 1 AND c.depth < 6) SELECT root, id, depth FROM c")
 def decision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors up to six levels; the parent of a decision is half its number."""
-    level = load(spark, sf_dir, "orders").where("o_orderkey % 500 = 7").select(F.col("o_orderkey").alias("root"), F.col("o_orderkey").alias("id"), F.lit(0).alias("depth"))
+    """Every decision's ancestors up to six levels; the parent of a decision is half its number.  ``g10_decision_chain_all`` has the descendants as well."""
+    level = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("root"), F.col("o_orderkey").alias("id"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, 7):
         level = level.where("id > 1").select("root", F.expr("id div 2").alias("id"), F.lit(depth).alias("depth"))
@@ -92,14 +92,16 @@ def decision_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT comp, count(*) AS members, CASE WHEN count(*) >= 5 THEN 'incident_storm' ELSE 'correlated' END AS kind FROM (SELECT node, min(comp) AS comp FROM r GROUP BY node) GROUP BY comp""",
 )
 def situation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of one item within 24 hours of each other, chained; groups of two or more."""
-    errors = load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
-    a, b = errors.alias("a"), errors.alias("b")
-    near = (F.col("a.event_id") < F.col("b.event_id")) & (F.col("b.ts") <= F.col("a.ts") + F.expr("INTERVAL 24 HOUR")) & (F.col("b.ts") >= F.col("a.ts") - F.expr("INTERVAL 24 HOUR"))
-    links = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & near).select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    comps = components(nodes, links)
-    return comps.groupBy("comp").agg(F.count("*").alias("members")).select("comp", "members", F.when(F.col("members") >= 5, "incident_storm").otherwise("correlated").alias("kind"))
+    """Errors of one item within 24 hours of each other, chained; groups of two or more.
+
+    In order of time a chain breaks only at a gap of more than 24 hours, so
+    no pairs are made.  Undated errors never merge.
+    """
+    errors = load(spark, sf_dir, "events").where("event_type = 'error' AND ts IS NOT NULL").select("event_id", "user_id", "ts")
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    fresh = F.coalesce(F.col("ts") > F.lag("ts").over(by_time) + F.expr("INTERVAL 24 HOUR"), F.lit(True))
+    chains = errors.withColumn("fresh", fresh.cast("int")).withColumn("chain", F.sum("fresh").over(by_time))
+    return chains.groupBy("user_id", "chain").agg(F.min("event_id").alias("comp"), F.count("*").alias("members")).where("members > 1").select("comp", "members", F.when(F.col("members") >= 5, "incident_storm").otherwise("correlated").alias("kind"))
 
 
 @query(

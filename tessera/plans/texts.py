@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.canonical import uuid5
 from tessera.functions.stats import interpolate
+from tessera.operators.tables import global_rank
 from tessera.plans.registry import load, query
 
 
@@ -14,11 +16,11 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-@query("f02_relevance", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 - least(greatest(l_discount * 30, 0), 2) / 2, 6) AS relevance FROM lineitem WHERE l_quantity = 1")
+@query("f02_relevance", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 - least(greatest(l_discount * 30, 0), 2) / 2, 6) AS relevance FROM lineitem")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 - clamp(distance, 0, 2) / 2."""
     clamp = F.least(F.greatest(F.col("l_discount") * 30, F.lit(0.0)), F.lit(2.0))
-    return load(spark, sf_dir, "lineitem").where("l_quantity = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(1 - clamp / 2, 6).alias("relevance"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(1 - clamp / 2, 6).alias("relevance"))
 
 
 _NAME = "smal rings"
@@ -51,8 +53,7 @@ _TERMS = ("the", "tion", "that", "with", "and", "ererth")
 )
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-term hits over text length; ranks are what counts further on."""
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    scored = load(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(tokens, lambda w: w.isin(*_TERMS))).alias("hits"), F.size(tokens).alias("words"))
+    scored = load(spark, sf_dir, "documents").select("doc_id", T.count_terms(F.col("text"), _TERMS).alias("hits"), T.count_tokens(F.col("text")).alias("words"))
     return scored.where("hits > 0").select("doc_id", F.round(F.col("hits") / (F.col("words") + 10.0), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -82,9 +83,10 @@ _PAIRS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i +
     f"WITH t AS (SELECT item_id, list_sort({_DTOK}) AS a, lag(list_sort({_DTOK})) OVER (ORDER BY item_id) AS b FROM benchmark), p AS (SELECT item_id, {_PAIRS.format('a')} AS x, {_PAIRS.format('b')} AS y FROM t WHERE b IS NOT NULL) SELECT item_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS jaccard FROM p",
 )
 def pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of neighbours among the sorted distinct words of an item and the item before it."""
-    p = load(spark, sf_dir, "benchmark").select("item_id", T.sorted_pairs(T.tokens(F.col("text"))).alias("x"))
-    return p.withColumn("y", F.lag("x").over(Window.orderBy("item_id"))).where("y IS NOT NULL").select("item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    """Likeness of neighbours among the sorted distinct words of an item and the item before it, by global ranks."""
+    p = global_rank(load(spark, sf_dir, "benchmark").select("item_id", T.sorted_pairs(T.tokens(F.col("text"))).alias("x")), (F.asc_nulls_last("item_id"),), "place")
+    before = p.select((F.col("place") + 1).alias("place"), F.col("x").alias("y"))
+    return p.join(before, "place").select("item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
 @query("f11_action_normalisation", f"SELECT conv_id, turn, array_to_string(list_sort({_DTOK}), ' ') AS action FROM conversations")
@@ -129,7 +131,11 @@ _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 
 @query("f14_email_redaction", f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}')) AS emails, md5(regexp_replace(text, '{_EMAIL}', '[REDACTED:EMAIL]', 'g')) AS redacted FROM documents")
 def email_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(_EMAIL)).cast("long").alias("emails"), F.md5(F.regexp_replace("text", _EMAIL, "[REDACTED:EMAIL]").cast("binary")).alias("redacted"))
+    """Texts without an @ pass untouched; a run of name characters is tried once, from its start."""
+    rule = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+    has = F.col("text").contains("@")
+    redacted = F.when(has, F.regexp_replace("text", rule, "[REDACTED:EMAIL]")).otherwise(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.when(has, F.regexp_count("text", F.lit(rule))).when(F.col("text").isNotNull(), 0).cast("long").alias("emails"), F.md5(redacted.cast("binary")).alias("redacted"))
 
 
 def _duck_normalise(col: str) -> str:
@@ -139,9 +145,9 @@ def _duck_normalise(col: str) -> str:
     return f"left(trim({out}), 500)"
 
 
-@query("f15_error_normalise", f"SELECT doc_id, pos, md5({_duck_normalise('line')}) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE n_chars < 4000)")
+@query("f15_error_normalise", f"SELECT doc_id, pos, md5({_duck_normalise('line')}) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
 def error_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.md5(T.normalize_error_line(F.col("line")).cast("binary")).alias("line"))
 
 
@@ -206,9 +212,14 @@ def set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("l_orderkey", F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("fingerprint"))
 
 
-@query("f53_node_id", "SELECT n_nationkey, sha1('nation:' || n_nationkey) AS node_id FROM nation")
+@query(
+    "f53_node_id",
+    """WITH h AS (SELECT o_orderkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('order:' || o_orderkey)) AS h FROM orders)
+       SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS node_id FROM h""",
+)
 def node_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "nation").select("n_nationkey", F.sha1(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))).alias("node_id"))
+    """UUID version 5 of every node's name."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", uuid5(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("node_id"))
 
 
 @query("f55_deep_link", "SELECT page_id, format('https://desk.example/{}?src={}', page_id, page_id % 7) AS link, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
@@ -216,11 +227,11 @@ def deep_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.format_string("https://desk.example/%d?src=%d", "page_id", F.col("page_id") % 7).alias("link"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"))
 
 
-@query("f56_knowledge_rank", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount * (1 - l_tax) * CASE WHEN l_returnflag = 'A' THEN 0.82 ELSE 1 END * CASE WHEN l_returnflag = 'R' THEN 1.6 ELSE 1 END, 6) AS rank_distance FROM lineitem WHERE l_quantity = 2")
+@query("f56_knowledge_rank", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount * (1 - l_tax) * CASE WHEN l_returnflag = 'A' THEN 0.82 ELSE 1 END * CASE WHEN l_returnflag = 'R' THEN 1.6 ELSE 1 END, 6) AS rank_distance FROM lineitem")
 def knowledge_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance by support, by matching version (0.82) and for superseded ones (1.6)."""
     factor = F.when(F.col("l_returnflag") == "A", 0.82).otherwise(1.0) * F.when(F.col("l_returnflag") == "R", 1.6).otherwise(1.0)
-    return load(spark, sf_dir, "lineitem").where("l_quantity = 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_discount") * (1 - F.col("l_tax")) * factor, 6).alias("rank_distance"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_discount") * (1 - F.col("l_tax")) * factor, 6).alias("rank_distance"))
 
 
 @query("sc07_html_text")
