@@ -9,7 +9,7 @@ other as much of its fraction as it can hold, at random in such a way that
 every expectation stays, and the one whose fraction is now 0 or 1 leaves.
 
 The meetings form a reduction tree.  On each level the open documents of a
-source are dealt, by a hash of their id, into blocks of about ``fan_in``; a
+source are dealt, by a hash of their id, size and number, into blocks of about ``fan_in``; a
 block is folded in one ``aggregate`` call and passes a single open document
 to the next level, which has ``fan_in`` times fewer blocks.  So no task sees
 more than a block, whatever the size of a source, and the levels grow with the
@@ -21,9 +21,10 @@ few documents of its target.
 Random numbers are hashes of the two ids, so a rerun gives the same mix.
 
 Nulls: a null text has size 0; a null source is a source like others and comes
-last; null ids are told apart by nothing but their size and take part.
-Documents of size 0 take nothing.  Repeated rows each take part.  Extra
-columns are ignored.
+last.  Rows of one source, id and size can't be told apart by the result;
+they are counted in an aggregation and numbered 0, 1, ... when the counts are
+taken apart again, so any number of null or repeated ids is dealt evenly.
+Documents of size 0 take nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,13 +72,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling
 def _fold(items: str, level: int) -> Column:
     """Fold one block: ``carry`` is the open document, ``done`` those with a whole number."""
     near = lambda p: F.when(p < 1e-9, F.lit(0.0)).when(p > 1 - 1e-9, F.lit(1.0)).otherwise(p)
-    made = lambda x, p: F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), near(p).alias("p"))
+    made = lambda x, p: F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["nr"].alias("nr"), near(p).alias("p"))
 
     def meet(acc: Column, x: Column) -> Column:
         c = acc["carry"]
         a, b = c["p"], x["p"]
         both = a + b
-        luck = F.pmod(F.xxhash64(F.lit(level), c["doc_id"], x["doc_id"]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        luck = F.pmod(F.xxhash64(F.lit(level), c["doc_id"], c["nr"], x["doc_id"], x["nr"]), F.lit(1 << 30)) / F.lit(float(1 << 30))
         small = both < 1
         carry_leads = luck * F.when(small, F.greatest(both, F.lit(1e-12))).otherwise(F.greatest(2 - both, F.lit(1e-12))) < F.when(small, a).otherwise(1 - b)
         left_p = F.when(small, F.when(carry_leads, both).otherwise(0.0)).otherwise(F.when(carry_leads, 1.0).otherwise(both - 1))
@@ -92,7 +93,7 @@ def _fold(items: str, level: int) -> Column:
 
 
 def round_copies(shares: DataFrame, fan_in: int = 48) -> DataFrame:
-    """``shares(source, doc_id, size, p)``, 0 < p < 1 -> ``source, doc_id, size, extra`` (0 or 1).
+    """``shares(source, doc_id, size, nr, p)``, 0 < p < 1 -> ``source, doc_id, size, extra`` (0 or 1).
 
     The expected ``extra`` of each row is its ``p``.
     """
@@ -102,15 +103,15 @@ def round_copies(shares: DataFrame, fan_in: int = 48) -> DataFrame:
         blocks = math.ceil(blocks / fan_in)
     levels += [1, 0]  # a size class left over in one block, then all classes together
     size_class = F.floor(F.log2(F.greatest(F.col("item.size"), F.lit(1)).cast("double")) * 4)
-    open_rows = shares.select("source", F.struct("size", "doc_id", "p").alias("item"))
+    open_rows = shares.select("source", F.struct("size", "doc_id", "nr", "p").alias("item"))
     finished = []
     for level, blocks in enumerate(levels):
-        key = [F.lit(0).alias("size_class"), F.lit(0).alias("block")] if not blocks else [size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(level), "item.doc_id"), F.lit(blocks)).alias("block")]
+        key = [F.lit(0).alias("size_class"), F.lit(0).alias("block")] if not blocks else [size_class.alias("size_class"), F.pmod(F.xxhash64(F.lit(level), "item.doc_id", "item.size", "item.nr"), F.lit(blocks)).alias("block")]
         grouped = open_rows.select("source", "item", *key).groupBy("source", "size_class", "block").agg(F.reverse(F.array_sort(F.collect_list("item"))).alias("items"))
         folded = saved(grouped.select("source", _fold("items", level).alias("out")))
         finished.append(folded.select("source", F.explode("out.done").alias("item")))
         open_rows = folded.select("source", F.col("out.carry").alias("item"))
-    coin = F.pmod(F.xxhash64(F.lit(-1), "item.doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    coin = F.pmod(F.xxhash64(F.lit(-1), "item.doc_id", "item.nr"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = open_rows.select("source", "item", (coin < F.col("item.p")).cast("long").alias("extra"))
     for part in finished:
         rows = rows.unionByName(part.select("source", "item", (F.col("item.p") > 0.5).cast("long").alias("extra")))
@@ -119,17 +120,18 @@ def round_copies(shares: DataFrame, fan_in: int = 48) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: float = CEILING, fan_in: int = 48) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs(doc_id, source, text)``."""
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = saved(source_targets(sized, weights, ceiling))
+    counted = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    targets = saved(source_targets(counted.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, ceiling))
+    sized = counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("nr"))
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     sent = F.broadcast if small else (lambda t: t)
     with_share = sized.alias("d").join(sent(targets.alias("t")), F.col("d.source").eqNullSafe(F.col("t.source")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(share + 1e-9)
     part = F.greatest(share - whole, F.lit(0.0))
-    rows = with_share.select("d.doc_id", "d.source", "d.size", "source_size", "target", whole.cast("long").alias("whole"), part.alias("p"))
+    rows = with_share.select("d.doc_id", "d.source", "d.size", "d.nr", "source_size", "target", whole.cast("long").alias("whole"), part.alias("p"))
     rounds = (F.col("p") > 1e-9) & (F.col("size") > 0)
-    extra = round_copies(rows.where(rounds).select("source", "doc_id", "size", "p"), fan_in)
+    extra = round_copies(rows.where(rounds).select("source", "doc_id", "size", "nr", "p"), fan_in)
     # Every document of a source has the same whole copies, so they come back with the source's row.
     per_source = targets.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0)).cast("long").alias("whole"))
     rounded = extra.join(sent(per_source), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))

@@ -55,3 +55,13 @@ def test_sizes_and_odd_rows(docs_of, odd_rows):
     assert all(x.taken <= 3 * x.size for x in mixed)
     assert mix_sources(docs_of([])).count() == 0
     assert mix_sources(docs_of([(1, None, None, None)])).collect()[0].taken == 0
+
+
+def test_null_and_repeated_ids_are_dealt_evenly(docs_of, prose):
+    """As many blocks as with distinct ids, and the source's words near its target."""
+    rows = [(None if i % 2 else 5, prose(i % 7, 3 + i % 7), "en", "a" if i % 3 else "b") for i in range(6000)]
+    mixed = mix_sources(docs_of(rows))
+    first = sorted(map(str, mixed.collect()))
+    assert len(first) == 6000 and first == sorted(map(str, mix_sources(docs_of(rows[::-1]).repartition(3)).collect()))
+    for r in mixed.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.02 * r["max(target)"] + 10
