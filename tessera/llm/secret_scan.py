@@ -50,7 +50,12 @@ RULES = (
     Rule("github", r"gh(p|o|u|s|r)_[A-Za-z0-9]+", least=30),
     Rule("slack", r"xox(a|b|p|r|s)-[A-Za-z0-9-]+", least=20),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=35),
-    Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("session", r"ASIA[A-Z0-9]+", least=20),
+    Rule("aws_secret", r"""aws_?secret_?access_?key["']?\x20*[:=]\x20*["']?[A-Za-z0-9/+=]+""", least_value=40, fold=True),
+    Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/=-]+", least=27),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
+    # To the END line; where there is none, the lines of the body that follow.
+    Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(([\x09\x0A\x0D\x20-\x2C\x2E-\x7E]|-[\x09\x0A\x0D\x20-\x2C\x2E-\x7E])*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----|(\x20*\x0D?(\x0A|\\n)[A-Za-z0-9+/=]+)*)"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
