@@ -28,7 +28,7 @@ def test_fingerprints_of_odd_rows(docs_of, odd_rows):
     assert len(rows) == len(odd_rows)
     by = {r.doc_id: r for r in rows}
     assert by[1].n_chars == 0 and by[1].fingerprint == by[2].fingerprint and by[4].fingerprint == by[5].fingerprint
-    order = sorted(odd_rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    order = sorted(odd_rows, key=lambda x: (x[0] is not None, x[0] or 0))  # equal ids have equal texts here
     texts = [x[1] or "" for x in order]
     want = []
     for i, t in enumerate(texts):
@@ -38,6 +38,57 @@ def test_fingerprints_of_odd_rows(docs_of, odd_rows):
     assert fingerprint_with_edit(docs_of([])).count() == 0
 
 
+def test_fingerprints_agree_with_brute_force(docs_of, prose):
+    """The whole-lexicon part and the overlapping subsets, from terms counted in Python; the mix of a term is the module's own."""
+    import numpy as np
+
+    import tessera.llm.fingerprint as P
+    from tessera.llm import words as W
+
+    texts = [prose(i, 60, 1200) + f" only{i}" for i in range(40)]
+    rows = {r.doc_id: r for r in fingerprint_with_edit(docs_of([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    df = {}
+    for t in texts:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    inside = {w for w, n in df.items() if 2 <= n <= max(2, 0.1 * len(texts))}
+
+    def number(w):
+        import pyarrow as pa
+
+        return next(W.tokens(pa.array([w]), W.LETTERS_AND_MARKS))[2].hashes[0]
+
+    numbers = {w: number(w) for w in df}
+    for i, t in enumerate(texts):
+        terms = np.array(sorted(numbers[w] for w in set(t.split()) & inside), np.uint64)
+        assert len(terms)
+        want = [terms] + [np.array([x for x in terms if int(W.mix(np.array([x + np.uint64(1)]))[0]) >> 20 + 2 * k & 3], np.uint64) for k in range(P.OVERLAPPING)]
+        text = "".join(hashlib.blake2b(x.tobytes(), digest_size=8).hexdigest() if len(x) else "0" * 16 for x in want)
+        assert rows[i].fingerprint.startswith(text), i
+
+
+def test_one_changed_term_leaves_most_of_a_fingerprint(docs_of, prose):
+    base = [prose(i, 200, 4000) for i in range(30)]
+    words = base[3].split()
+    known = [w for t in base[:3] + base[5:] for w in t.split()]
+    words[50:52] = [w for w in base[4].split() if w not in words and known.count(w) == 1][:2]
+    rows = {r.doc_id: r for r in fingerprint_with_edit(docs_of([(i, t, "en", "a") for i, t in enumerate([*base[:4], " ".join(words), *base[4:], *base])])).collect()}
+    assert 0.7 <= rows[3].near_next < 1 and rows[1].near_next < 0.3
+
+
+def test_any_number_of_null_and_equal_ids(docs_of, spark, prose):
+    rows = [(None, f"t{i} a b c", "en", "a") for i in range(3000)] + [(5, f"u{i} d e", "en", "a") for i in range(3000)] + [(6, "same text", "en", "a")] * 3000 + [(7, "end", "en", "a")]
+    found = fingerprint_with_edit(docs_of(rows))
+    out = found.groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in out} == {None: 3000, 5: 3000, 6: 3000, 7: 1}
+    six = [r for r in found.where("doc_id = 6").collect()]
+    edits = {hashlib.sha256(("same text"[:5] + after[:4]).encode()).hexdigest(): n for after, n in (("same text", 2999), ("end", 1))}
+    assert {d: sum(r.edited_sha256 == d for r in six) for d in edits} == edits
+    named = spark.createDataFrame([("b", "x y z"), ("a", "p q r"), ("c", None)], "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint_with_edit(named).collect()}
+    assert got["a"] == hashlib.sha256(b"p qx ").hexdigest() and got["c"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_a_term_of_one_document_is_never_in_the_lexicon(docs_of):
     for size in (300, 1500):
         rows = []
