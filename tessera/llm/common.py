@@ -15,11 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that its lineage is cut.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset, as in tests, a temporary folder is set.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset
+    and Spark runs on one machine, as in tests, a temporary folder is set; on
+    a cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
@@ -44,13 +47,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, bound: int) -> tuple[DataFrame, dict]:
-    """About ``bound`` rows of each label at most, chosen by a hash of ``key``, and the count of each label.
+def bounded_sample(df: DataFrame, label: str, key: str, bound: int, total: int | None = None) -> tuple[DataFrame, dict]:
+    """About ``bound`` rows of each label at most, ``total`` of all, chosen by a hash of ``key``, and the count of each label.
 
     ``df`` is the labelled rows.  A label with fewer rows than ``bound`` keeps
     all.  The same rows give the same sample, however they are partitioned.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).collect()}
+    if total and counts:
+        bound = min(bound, max(1, total // len(counts)))
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(share)

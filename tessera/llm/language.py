@@ -10,8 +10,8 @@ buckets, as square roots and with unit length.
 The families of well-known languages are listed; any other code is a family
 of its own, so a new label needs no change.
 
-The machines are fitted to about ``sample`` documents of each language at
-most, chosen by a hash of the id; prediction covers every row and whole texts.
+The machines are fitted to about ``sample`` documents of each language and
+``SAMPLE_TOTAL`` of all at most, chosen by a hash of the id; prediction covers every row and whole texts.
 
 ``und`` with score 0 is the answer for a null text, a text without a letter,
 and when nothing was learned.  Rows with a null label are not learned from.
@@ -35,8 +35,8 @@ from tessera.llm import words as W
 from tessera.llm.common import add_fields, bounded_sample, held_out, load
 from tessera.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
-#: Documents of each language that the fit uses at most, about.
-SAMPLE = 800
+#: Documents of each language, and of all together, that the fit uses at most, about; one takes 32 kB on the driver.
+SAMPLE, SAMPLE_TOTAL = 800, 16_000
 BITS = 13
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -140,7 +140,7 @@ def _machine(x: list[np.ndarray], y: np.ndarray, half: np.ndarray) -> tuple[np.n
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The machines, from rows of ``docs(doc_id, text, lang)`` that are not held out; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    chosen, counts = bounded_sample(known, "lang", "doc_id", sample)
+    chosen, counts = bounded_sample(known, "lang", "doc_id", sample, SAMPLE_TOTAL)
     if not counts:
         return None
 
