@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 TARGET, OVERLAP = 1500, 150
 _SENTENCE = re.compile(r"[.!?]\s+(?=[A-Z0-9\"'(\[])")
-_TELLING = re.compile(r"\b(?:error|fail\w*|exception|timeout|denied|restart\w*|resolved|root cause|token|license\w*)\b|\b[A-Z]{2,}-\d+\b|\b0x[0-9a-f]+\b", re.I)
 
 
 def cut_points(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -45,34 +44,6 @@ def chunk_spans(text: Column) -> Column:
     return spans(text)
 
 
-def salient(text: str, budget: int = 600) -> str:
-    """The text within ``budget``: a head of a quarter, then the most telling other lines in their order; repeated lines once."""
-    if len(text) <= budget:
-        return text
-    lines = list(dict.fromkeys(x.strip() for x in text.split("\n") if x.strip() and x.count("|") < 2 and x.count("@") < 2))
-    kept, used = set(), 0
-    for k, line in enumerate(lines):
-        if used + len(line) > budget // 4:
-            break
-        kept.add(k)
-        used += len(line) + 1
-    for k in sorted(range(len(lines)), key=lambda k: (-len(_TELLING.findall(lines[k])), k)):
-        if k not in kept and budget - used >= 40:
-            kept.add(k)
-            lines[k] = lines[k][: budget - used]
-            used += len(lines[k]) + 1
-    return "\n".join(lines[k] for k in sorted(kept))[:budget]
-
-
-def salient_slice(text: Column) -> Column:
-    @F.arrow_udf("string")
-    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in texts:
-            yield pa.array([None if x is None else salient(x) for x in col.to_pylist()], pa.string())
-
-    return cut(text)
-
-
 def embed(text: str) -> np.ndarray | None:
     """A deterministic stand-in for an embedding service: 32 signed word counts, unit length; None for no word."""
     v = np.zeros(32)

@@ -65,6 +65,17 @@ QUOTE_BLOCK = r"(?im)(?:-{10} forwarded message -{10}|-----original message-----
 SUBJECT_CONFIDENCE, BODY_CONFIDENCE, QUOTED_CONFIDENCE, DIGEST_CONFIDENCE = 0.98, 0.90, 0.55, 0.5
 DIGEST_FROM, QUOTED_WEIGHT = 3, 0.5
 
+#: What a thread says to nobody's use, where a message starts, and what tells that a line has substance.
+BOILERPLATE_LINE = r"(?i)^(?:(?:hi|hello|dear|greetings)\b|good\s+(?:morning|afternoon|evening)|thanks?\b|thank\s+you|warm\s+regards|kind\s+regards|best\s+regards|regards\b|cheers\b|sincerely\b|from:|sent:|to:|cc:|subject:|date:|>|-{3,}|_{3,}|={3,}|\*{3,}|disclaimer\b|confidential(?:ity)?\b|this\s+e?-?mail)"
+MESSAGE_START = r"(?i)^(?:from:|on\s[^\n]+wrote:|-{3,}\s*(?:original|forwarded)\s+message)"
+TECH_WORD = (
+    r"(?i)\b(?:error|errors|fail(?:ed|ure|s|ing)?|exception|timeout|timed\s+out|crash(?:ed|es)?|refused|denied|unable|cannot|exhausted|missing|config(?:uration)?|install(?:ed|ation)?|upgrade[ds]?|update[ds]?|patch(?:ed)?|version|log[s]?|server|service|agent"
+    r"|plugin|driver[s]?|workflow|job[s]?|restart(?:ed)?|reboot(?:ed)?|resolv(?:e|ed|ing)|fix(?:ed|es)?|disk|memory|cpu|port|certificate|license|queue|database|connection)\b"
+)
+CODE_TOKEN = r"(?:[\w-]+\.[\w.-]+\w|\w+_\w+|\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b|\b0x[0-9a-fA-F]+\b|\b\d+\.\d+(?:\.\d+)?\b|[\\/][\w\\/.-]{4,})"
+SCORE_NOISE, EMAIL_LIKE = r"\[REDACTED:[A-Z_]+\]|<[^>\n]{0,120}>", r"\[REDACTED:EMAIL\]|@[\w.-]+\.\w{2,}"
+HEAD_SHARE, LEAST_TAKEN = 0.25, 40
+
 CUT = "(?im)(?:" + "|".join(QUOTE_BOUNDARIES) + r")[\s\S]*"
 LEGAL = r"(?im)^[^\n]{0,120}?(" + "|".join(DISCLAIMER) + r")[\s\S]*"
 

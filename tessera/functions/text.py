@@ -190,10 +190,17 @@ def version_compatible(article: Column, target: Column) -> Column:
     return F.when(~known, None).when(~same, False).when(wild(article) | wild(target), True).otherwise(number(article) <= number(target))
 
 
+#: Named and numbered entities; the ampersand comes last.
+ENTITIES = (
+    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"),
+    ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&euro;", "\u20ac"), ("&auml;", "\u00e4"), ("&ouml;", "\u00f6"), ("&uuml;", "\u00fc"), ("&Auml;", "\u00c4"), ("&Ouml;", "\u00d6"), ("&Uuml;", "\u00dc"), ("&szlig;", "\u00df"), ("&eacute;", "\u00e9"), ("&egrave;", "\u00e8"), ("&agrave;", "\u00e0"), ("&ccedil;", "\u00e7"), ("&ntilde;", "\u00f1"), ("&#38;", "&"), ("&amp;", "&"),
+)
+
+
 def strip_html(html: Column) -> Column:
     """Visible text: no comments, scripts or styles, tags as blanks, the common entities resolved."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " ")
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>", "\n"), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")

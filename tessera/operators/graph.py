@@ -44,16 +44,21 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def decay_expand(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.72) -> DataFrame:
-    """``node, score``: the best product of edge strengths from a seed, each hop times ``min(decay * weight, 1)``."""
+    """``node, score, parent``: the best product of edge strengths from a seed, each hop times ``min(decay * weight, 1)``, and the node before.
+
+    ``weight`` is the edge's whole strength: weight, confidence and relevance
+    multiplied.  Equal scores keep the older parent, then the least one.
+    """
     both = undirected(edges)
-    scores = seeds.select("node", "score")
+    scores = seeds.select("node", "score", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"))
     frontier = scores
     for _ in range(hops):
-        passed = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.least(decay * F.col("weight"), F.lit(1.0))).alias("score"))
-        new = passed.groupBy("node").agg(F.max("score").alias("score"))
-        merged = scores.withColumnRenamed("score", "old").join(new, "node", "full")
-        frontier = saved(merged.where(F.col("old").isNull() | (F.col("score") > F.col("old"))).where("score IS NOT NULL").select("node", "score"))
-        scores = saved(merged.select("node", F.greatest("old", "score").alias("score")))
+        passed = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node"), F.round(F.col("score") * F.least(decay * F.col("weight"), F.lit(1.0)), 9).alias("new"), F.col("src").alias("via"))
+        best = passed.groupBy("node").agg(F.max("new").alias("new"), F.min_by("via", F.struct(-F.col("new"), "via")).alias("via"))
+        merged = scores.join(best, "node", "full")
+        better = F.col("score").isNull() | (F.col("new") > F.col("score"))
+        frontier = saved(merged.where(F.col("new").isNotNull() & better).select("node", F.col("new").alias("score"), F.col("via").alias("parent")))
+        scores = saved(merged.select("node", F.when(F.col("new").isNotNull() & better, F.struct(F.col("new").alias("score"), F.col("via").alias("parent"))).otherwise(F.struct("score", "parent")).alias("s")).select("node", "s.score", "s.parent"))
     return scores
 
 
@@ -76,6 +81,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def ancestor_chains(parents: DataFrame) -> DataFrame:
+    """``node, chain``: the nodes from the root down to each of ``parents(node, parent)``; a cycle stays as long as what was found of it.
+
+    A chain is joined with the chain of its first node's parent, so a way of
+    n nodes takes about the logarithm of n rounds.
+    """
+    chains = saved(parents.select("node", F.array(F.col("node").cast("string")).alias("chain"), F.col("parent").alias("up")))
+    while chains.where("up IS NOT NULL").limit(1).count():
+        upper = chains.select(F.col("node").alias("up"), F.col("chain").alias("upper"), F.col("up").alias("next"))
+        joined = chains.join(upper, "up", "left")
+        cyclic = F.arrays_overlap("chain", F.coalesce("upper", F.array().cast("array<string>")))
+        chains = saved(joined.select("node", F.when(cyclic | F.col("upper").isNull(), F.col("chain")).otherwise(F.concat("upper", "chain")).alias("chain"), F.when(~cyclic, F.col("next")).alias("up")))
+    return chains.select("node", "chain")
+
+
 def degree_ranked(edges: DataFrame, budget: int) -> DataFrame:
     """At most ``budget`` edges of each source, the heaviest first."""
     rn = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))

@@ -53,11 +53,6 @@ def batch_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", C.embedding(F.col("text")).alias("embedding"))
 
 
-@query("f24_salient_slice")
-def salient_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", C.salient_slice(F.col("text")).alias("slice"))
-
-
 # -- messages ------------------------------------------------------------------
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import decay_expand, decision_chains, degree_ranked, neighbours
-from tessera.operators.tables import latest_per_key
+from tessera.operators.graph import ancestor_chains, decay_expand, decision_chains, degree_ranked, neighbours
 from tessera.plans.registry import load, query
 
 #: Edges supplier - part, supplier nodes as negative numbers.
@@ -30,12 +29,23 @@ def near_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g02_pattern_subgraph",
-    f"""WITH e AS ({_EDGES}), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM e) SELECT src, dst, weight, p_name AS title FROM r JOIN part ON p_partkey = dst WHERE rn <= 5""",
+    f"""WITH e AS ({_EDGES}), h1 AS (SELECT dst AS node, weight FROM e WHERE src = -1), n AS (SELECT CAST(-1 AS BIGINT) AS node, 0 AS depth, CAST(9 AS DOUBLE) AS best UNION ALL SELECT node, 1, weight FROM h1 UNION ALL SELECT src, 2, max(e.weight) FROM e JOIN h1 ON h1.node = e.dst WHERE src <> -1 GROUP BY 1),
+        k AS (SELECT node FROM n ORDER BY depth, best DESC, node LIMIT 250), a AS (SELECT e.* FROM e JOIN h1 ON h1.node = e.dst), i AS (SELECT a.* FROM a WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)), x AS (SELECT (SELECT count(*) FROM n) > 250 OR (SELECT count(*) FROM i) > 500 AS truncated)
+        SELECT src, dst, i.weight, p_name AS title, truncated FROM (SELECT * FROM i ORDER BY weight DESC, src, dst LIMIT 500) i JOIN part ON p_partkey = dst, x""",
 )
 def pattern_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five heaviest edges of each node, titles joined."""
-    kept = degree_ranked(supply_edges(spark, sf_dir), 5)
-    return kept.join(load(spark, sf_dir, "part"), F.col("dst") == F.col("p_partkey")).select("src", "dst", "weight", F.col("p_name").alias("title"))
+    """What lies within two hops of a pattern: the 250 first nodes by hop and weight, the 500 heaviest edges among them, with titles, and whether more was there."""
+    edges = supply_edges(spark, sf_dir)
+    hop1 = edges.where("src = -1").select(F.col("dst").alias("node"), F.col("weight").alias("best"))
+    around = edges.join(hop1.select(F.col("node").alias("dst")), "dst", "left_semi")
+    hop2 = around.where("src <> -1").groupBy(F.col("src").alias("node")).agg(F.max("weight").alias("best"))
+    root = spark.createDataFrame([(-1, 9.0)], "node long, best double")
+    nodes = root.withColumn("depth", F.lit(0)).unionByName(hop1.withColumn("depth", F.lit(1))).unionByName(hop2.withColumn("depth", F.lit(2)))
+    kept = nodes.orderBy("depth", F.desc("best"), "node").limit(250).select("node")
+    inner = around.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
+    more = nodes.agg((F.count("*") > 250).alias("n")).join(inner.agg((F.count("*") > 500).alias("e"))).select((F.col("n") | F.col("e")).alias("truncated"))
+    best = inner.orderBy(F.desc("weight"), "src", "dst").limit(500).join(load(spark, sf_dir, "part"), F.col("dst") == F.col("p_partkey"))
+    return best.select("src", "dst", "weight", F.col("p_name").alias("title")).join(F.broadcast(more))
 
 
 @query("g04_graph_stats", f"WITH e AS ({_EDGES}) SELECT count(*) AS edges, count(DISTINCT src) AS suppliers, count(DISTINCT dst) AS parts, round(avg(weight), 6) AS mean_weight FROM e")
@@ -43,16 +53,22 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply_edges(spark, sf_dir).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("suppliers"), F.countDistinct("dst").alias("parts"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 
+_STRENGTH = "round(weight * (1 - ((dst - src) % 3) * 0.1) * CASE WHEN dst % 2 = 0 THEN 1.0 ELSE 0.9 END, 6)"
+
+
 @query(
     "g06_relevance_decay",
-    f"""WITH e AS ({_EDGES}), u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), s0 AS (SELECT CAST(-1 AS BIGINT) AS node, 1.0 AS score UNION ALL SELECT -2, 0.8),
-        h1 AS (SELECT u.dst AS node, max(score * least(0.72 * weight, 1)) AS score FROM s0 JOIN u ON u.src = s0.node GROUP BY 1), s1 AS (SELECT node, max(score) AS score FROM (SELECT * FROM s0 UNION ALL SELECT * FROM h1) GROUP BY 1),
-        h2 AS (SELECT u.dst AS node, max(score * least(0.72 * weight, 1)) AS score FROM s1 JOIN u ON u.src = s1.node GROUP BY 1)
-        SELECT node, round(max(score), 6) AS score FROM (SELECT * FROM s1 UNION ALL SELECT * FROM h2) GROUP BY 1""",
+    f"""WITH e0 AS ({_EDGES}), e AS (SELECT src, dst, CAST({_STRENGTH} AS DOUBLE) AS weight FROM e0), u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), s0 AS (SELECT CAST(-1 AS BIGINT) AS node, 1.0::DOUBLE AS score, NULL::BIGINT AS parent UNION ALL SELECT -2, 0.8, NULL),
+        p1 AS (SELECT u.dst AS node, round(score * least(0.72 * weight, 1), 9) AS score, u.src AS parent FROM s0 JOIN u ON u.src = s0.node), h1 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, parent) = 1),
+        s1 AS (SELECT coalesce(h.node, s.node) AS node, CASE WHEN s.score IS NULL OR h.score > s.score THEN h.score ELSE s.score END AS score, CASE WHEN s.score IS NULL OR h.score > s.score THEN h.parent ELSE s.parent END AS parent FROM s0 s FULL JOIN h1 h ON h.node = s.node),
+        p2 AS (SELECT u.dst AS node, round(score * least(0.72 * weight, 1), 9) AS score, u.src AS parent FROM s1 JOIN u ON u.src = s1.node WHERE s1.parent IS NOT NULL), h2 AS (SELECT * FROM p2 QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, parent) = 1)
+        SELECT coalesce(h.node, s.node) AS node, round(CASE WHEN s.score IS NULL OR h.score > s.score THEN h.score ELSE s.score END, 6) AS score, CASE WHEN s.score IS NULL OR h.score > s.score THEN h.parent ELSE s.parent END AS parent FROM s1 s FULL JOIN h2 h ON h.node = s.node""",
 )
 def relevance_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops from two seeds; an edge's strength is its weight, confidence and relevance."""
     seeds = spark.createDataFrame([(-1, 1.0), (-2, 0.8)], "node long, score double")
-    return decay_expand(supply_edges(spark, sf_dir), seeds, 2).select("node", F.round("score", 6).alias("score"))
+    edges = supply_edges(spark, sf_dir).select("src", "dst", F.expr(_STRENGTH).cast("double").alias("weight"))
+    return decay_expand(edges, seeds, 2).select("node", F.round("score", 6).alias("score"), "parent")
 
 
 @query(
@@ -123,18 +139,31 @@ def signature_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g24_identity_correlation",
-    """WITH d AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS degree FROM lineitem GROUP BY 1), s AS (SELECT DISTINCT l_orderkey, l_partkey, degree FROM lineitem JOIN d USING (l_partkey) WHERE degree < 200),
-            p AS (SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared, bool_or(a.degree <= 20) AS rare FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2)
-       SELECT a, b, round(least(0.85, CASE WHEN rare THEN 0.75 ELSE 0.65 END + CASE WHEN shared >= 2 THEN 0.1 ELSE 0 END), 4) AS confidence FROM p WHERE shared >= 2 OR rare""",
+    """WITH d AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS degree FROM lineitem GROUP BY 1), s AS (SELECT DISTINCT l_orderkey, l_partkey, degree, l_partkey % 2 = 1 AS person, CAST(o_orderdate AS DATE) AS day, o_custkey FROM lineitem JOIN d USING (l_partkey) JOIN orders ON o_orderkey = l_orderkey WHERE degree < 200),
+            p AS (SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared, bool_or(NOT a.person AND a.degree <= 5) AS rare, bool_and(a.person) AS only_persons FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey AND abs(a.day - b.day) <= 7 GROUP BY 1, 2),
+            i AS (SELECT a, b, CASE WHEN only_persons THEN CASE WHEN shared >= 2 THEN 0.5 END ELSE least(0.85, CASE WHEN rare THEN 0.75 ELSE 0.65 END + CASE WHEN shared >= 2 THEN 0.1 ELSE 0 END) END AS confidence FROM p),
+            c AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey)
+       SELECT a, b, max(CAST(round(confidence, 4) AS DOUBLE)) AS confidence, arg_max(tier, confidence) AS tier FROM (SELECT a, b, confidence, 'identity' AS tier FROM i WHERE confidence IS NOT NULL UNION ALL SELECT a, b, 1.0, 'case_link' FROM c) GROUP BY 1, 2""",
 )
 def identity_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases that share identities; hubs are removed before the join, rare ones count more."""
+    """Cases that one record links, and cases within seven days that share identities.
+
+    A link of records is certain.  Hubs are removed before the join; a thing
+    counts more than a person, a rare one more than a common one, and persons
+    alone count only from two on.
+    """
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    shared = lines.withColumn("degree", F.count("*").over(Window.partitionBy("l_partkey"))).where("degree < 200")
-    a, b = shared.alias("a"), shared.alias("b")
-    pairs = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey"))).groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("shared"), F.bool_or(F.col("a.degree") <= 20).alias("rare"))
-    base = F.when(F.col("rare"), 0.75).otherwise(0.65) + F.when(F.col("shared") >= 2, 0.1).otherwise(0.0)
-    return pairs.where("shared >= 2 OR rare").select("a", "b", F.round(F.least(F.lit(0.85), base), 4).alias("confidence"))
+    degrees = lines.groupBy("l_partkey").agg(F.count("*").alias("degree")).where("degree < 200")
+    known = lines.join(degrees, "l_partkey").join(orders.drop("o_custkey"), "l_orderkey").withColumn("person", F.col("l_partkey") % 2 == 1)
+    a, b = known.alias("a"), known.alias("b")
+    near = (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")) & (F.abs(F.datediff("a.day", "b.day")) <= 7)
+    pairs = a.join(b, near).groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("shared"), F.bool_or(~F.col("a.person") & (F.col("a.degree") <= 5)).alias("rare"), F.bool_and("a.person").alias("only_persons"))
+    signal = F.when(F.col("only_persons"), F.when(F.col("shared") >= 2, 0.5)).otherwise(F.least(F.lit(0.85), F.when(F.col("rare"), 0.75).otherwise(0.65) + F.when(F.col("shared") >= 2, 0.1).otherwise(0.0)))
+    identity = pairs.select("a", "b", F.round(signal, 4).alias("confidence"), F.lit("identity").alias("tier")).where("confidence IS NOT NULL")
+    x, y = orders.alias("x"), orders.alias("y")
+    linked = x.join(y, (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.l_orderkey") < F.col("y.l_orderkey"))).select(F.col("x.l_orderkey").alias("a"), F.col("y.l_orderkey").alias("b"), F.lit(1.0).alias("confidence"), F.lit("case_link").alias("tier"))
+    return identity.unionByName(linked).groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.max_by("tier", "confidence").alias("tier"))
 
 
 @query(
@@ -151,13 +180,18 @@ def inference_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g26_change_candidates",
-    """SELECT c.event_id AS change_id, i.event_id AS incident_id, CASE WHEN i.ts >= c.ts THEN 'candidate' ELSE 'planned_after' END AS status FROM events c JOIN events i ON c.user_id = i.user_id AND c.event_type = 'signup' AND i.event_type = 'error' AND i.ts <= c.ts + INTERVAL 7 DAY AND i.ts >= c.ts - INTERVAL 2 DAY""",
+    """WITH hops AS (SELECT DISTINCT user_id, user_id AS near, 0 AS hop FROM events UNION ALL SELECT DISTINCT user_id, user_id + 1, 1 FROM events WHERE user_id % 3 = 0 UNION ALL SELECT DISTINCT user_id + 1, user_id, 1 FROM events WHERE user_id % 3 = 0)
+       SELECT c.event_id AS change_id, i.event_id AS incident_id, min(hop) AS hop, CASE WHEN i.ts >= c.ts THEN 'candidate' ELSE 'planned_after' END AS status FROM events c JOIN hops h ON h.user_id = c.user_id JOIN events i ON i.user_id = h.near AND c.event_type = 'signup' AND i.event_type = 'error' AND i.ts <= c.ts + INTERVAL 7 DAY AND i.ts >= c.ts - INTERVAL 2 DAY GROUP BY 1, 2, 4""",
 )
 def change_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes up to seven days before and two after an incident, on its item or one that it depends on directly (every third item on the next one)."""
     events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    c, i = events.where("event_type = 'signup'").alias("c"), events.where("event_type = 'error'").alias("i")
+    c = events.where("event_type = 'signup'").withColumn("reach", F.array(F.struct(F.col("user_id").alias("near"), F.lit(0).alias("hop")), F.when(F.col("user_id") % 3 == 0, F.struct((F.col("user_id") + 1).alias("near"), F.lit(1).alias("hop"))), F.when(F.col("user_id") % 3 == 1, F.struct((F.col("user_id") - 1).alias("near"), F.lit(1).alias("hop")))))
+    items = events.select(F.col("user_id").alias("near")).distinct()
+    c = c.select("event_id", "ts", F.explode("reach").alias("r")).where("r IS NOT NULL").select("event_id", "ts", "r.near", "r.hop").alias("c")
+    i = events.where("event_type = 'error'").alias("i")
     window = (F.col("i.ts") <= F.col("c.ts") + F.expr("INTERVAL 7 DAY")) & (F.col("i.ts") >= F.col("c.ts") - F.expr("INTERVAL 2 DAY"))
-    return c.join(i, (F.col("c.user_id") == F.col("i.user_id")) & window).select(F.col("c.event_id").alias("change_id"), F.col("i.event_id").alias("incident_id"), F.when(F.col("i.ts") >= F.col("c.ts"), "candidate").otherwise("planned_after").alias("status"))
+    return c.join(items, "near", "left_semi").alias("c").join(i, (F.col("c.near") == F.col("i.user_id")) & window).select(F.col("c.event_id").alias("change_id"), F.col("i.event_id").alias("incident_id"), "hop", F.when(F.col("i.ts") >= F.col("c.ts"), "candidate").otherwise("planned_after").alias("status"))
 
 
 @query(
@@ -187,13 +221,6 @@ def identity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").join(kept, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("kept").alias("l_partkey")).distinct()
 
 
-@query("g32_thread_topic", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS anchor FROM conversations")
-def thread_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn belongs to the topic anchored last."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("anchor"))
-
-
 @query("g33_recurrence_link", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS recurs FROM events WHERE event_type = 'error'")
 def recurrence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
@@ -246,18 +273,25 @@ POLICIES = ((1, None, None, 1, 0, "default"), (2, "BUILDING", None, 5, 1, "build
 _POLICY_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in p) + ")" for p in POLICIES)
 
 
+_FROM_TO = {1: (None, None), 2: (None, "1996-01-01"), 3: ("1994-01-01", None), 4: ("1995-01-01", "1997-06-01"), 5: (None, None), 6: ("1993-06-01", "1998-01-01")}
+_DATED = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in p) + ", " + ", ".join("NULL::DATE" if d is None else f"DATE '{d}'" for d in _FROM_TO[p[0]]) + ")" for p in POLICIES)
+
+
 @query(
     "g51_policy_selection",
-    f"""SELECT c_custkey, id FROM (SELECT c_custkey, p.id, row_number() OVER (PARTITION BY c_custkey ORDER BY (p.segment IS NOT NULL)::INT + (p.nation IS NOT NULL)::INT DESC, p.priority DESC, p.strict DESC, p.name) AS rn
-        FROM customer JOIN (VALUES {_POLICY_ROWS}) p(id, segment, nation, priority, strict, name) ON (p.segment IS NULL OR p.segment = c_mktsegment) AND (p.nation IS NULL OR p.nation = c_nationkey)) WHERE rn = 1""",
+    f"""SELECT o_orderkey, id FROM (SELECT o_orderkey, p.id, row_number() OVER (PARTITION BY o_orderkey ORDER BY (p.segment IS NOT NULL)::INT + (p.nation IS NOT NULL)::INT DESC, p.priority DESC, p.strict DESC, p.name) AS rn
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN (VALUES {_DATED}) p(id, segment, nation, priority, strict, name, since, until) ON (p.segment IS NULL OR p.segment = c_mktsegment) AND (p.nation IS NULL OR p.nation = c_nationkey) AND (since IS NULL OR since <= CAST(o_orderdate AS DATE)) AND (until IS NULL OR CAST(o_orderdate AS DATE) < until)) WHERE rn = 1""",
 )
 def policy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null axes match all; the most specific wins, then priority, strictness, name.  The policies are a small fixed table."""
-    policies = spark.createDataFrame(list(POLICIES), "id int, segment string, nation int, priority int, strict int, name string")
-    fits = (F.col("segment").isNull() | (F.col("segment") == F.col("c_mktsegment"))) & (F.col("nation").isNull() | (F.col("nation") == F.col("c_nationkey")))
-    matched = load(spark, sf_dir, "customer").join(F.broadcast(policies), fits)
+    """The policy in force for each order: null axes match all, [from, to) holds; the most specific wins, then priority, strictness, name.  The policies are a small fixed table."""
+    policies = spark.createDataFrame([(*p, *_FROM_TO[p[0]]) for p in POLICIES], "id int, segment string, nation int, priority int, strict int, name string, since string, until string").withColumns({c: F.col(c).cast("date") for c in ("since", "until")})
+    day = F.col("o_orderdate").cast("date")
+    fits = (F.col("segment").isNull() | (F.col("segment") == F.col("c_mktsegment"))) & (F.col("nation").isNull() | (F.col("nation") == F.col("c_nationkey"))) & (F.col("since").isNull() | (F.col("since") <= day)) & (F.col("until").isNull() | (day < F.col("until")))
+    cases = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     specific = F.col("segment").isNotNull().cast("int") + F.col("nation").isNotNull().cast("int")
-    return latest_per_key(matched, ["c_custkey"], [F.desc(specific), F.desc("priority"), F.desc("strict"), "name"]).select("c_custkey", "id")
+    # The best of a case by one aggregate: no window over the cases.
+    best = cases.join(F.broadcast(policies), fits).groupBy("o_orderkey").agg(F.min_by("id", F.struct(-specific, -F.col("priority"), -F.col("strict"), "name")).alias("id"))
+    return best
 
 
 @query(
@@ -271,11 +305,12 @@ def support_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("item", F.when(decided == 0, "unproven").when(F.try_divide("bad", decided) >= 0.34, "contested").when(F.col("ok") >= 3, "proven").when(F.col("ok") > 0, "emerging").otherwise("unproven").alias("level"))
 
 
-@query("g54_class_chain", "SELECT n_nationkey AS node, n_name || ' > ' || r_name AS chain, 2 AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 1000 + r_regionkey, r_name, 1 FROM region")
+@query("g54_class_chain", "WITH RECURSIVE c(node, top, chain, depth) AS (SELECT p_partkey, p_partkey, CAST(p_partkey AS VARCHAR), 1 FROM part UNION ALL SELECT node, top // 5, (top // 5) || ' > ' || chain, depth + 1 FROM c WHERE top >= 5) SELECT node, arg_max(chain, depth) AS chain, max(depth) AS depth FROM c GROUP BY 1")
 def class_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = load(spark, sf_dir, "region")
-    leaf = load(spark, sf_dir, "nation").join(regions, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("node"), F.concat_ws(" > ", "n_name", "r_name").alias("chain"), F.lit(2).alias("depth"))
-    return leaf.unionByName(regions.select((1000 + F.col("r_regionkey")).alias("node"), F.col("r_name").alias("chain"), F.lit(1).alias("depth")))
+    """The way from the root to every class; the parent of a class is a fifth of its number.  Each round doubles the way that is known."""
+    parents = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") >= 5, F.expr("p_partkey div 5")).alias("parent"))
+    above = parents.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().join(parents.select("node"), "node", "left_anti").select("node", F.when(F.col("node") >= 5, F.expr("node div 5")).alias("parent"))
+    return ancestor_chains(parents.unionByName(above)).join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), "node", "left_semi").select("node", F.array_join("chain", " > ").alias("chain"), F.size("chain").alias("depth"))
 
 
 @query("g55_worst_state", "SELECT o_custkey, ['pass', 'warn', 'stale', 'fail'][max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)] AS state FROM orders GROUP BY 1")
@@ -326,3 +361,118 @@ def remediation_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.col("ok") / F.col("n")
     level = F.when((F.col("n") >= 20) & (rate >= 0.6), 1).when(rate >= 0.5, 2).when(F.col("ok") > 0, 3).otherwise(4)
     return e.withColumn("level", level).orderBy("level", F.desc(rate), F.desc("n"), "item").limit(50)
+
+
+_CHAINS = """e AS (SELECT event_id, user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 24 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS chain FROM e), situations AS (SELECT user_id, min(event_id) AS situation, min(ts) AS began, max(ts) AS ended, count(*) AS members FROM c GROUP BY user_id, chain)"""
+
+
+def situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, situation, began, ended, members``: errors of an item without a gap of more than 24 hours."""
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    errors = load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    fresh = F.coalesce(F.col("ts") > F.lag("ts").over(by_time) + F.expr("INTERVAL 24 HOUR"), F.lit(True)).cast("int")
+    chains = errors.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(by_time))
+    return chains.groupBy("user_id", "chain").agg(F.min("event_id").alias("situation"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("members")).drop("chain")
+
+
+@query(
+    "g27_recurrence",
+    f"""WITH {_CHAINS} SELECT user_id, situation, lag(situation) OVER w AS prior, CASE WHEN lag(ended) OVER w IS NULL THEN 'new' WHEN began <= lag(ended) OVER w + INTERVAL 48 HOUR THEN 'merge' WHEN began <= lag(ended) OVER w + INTERVAL 7 DAY THEN 'recurrence' ELSE 'new' END AS relation FROM situations WINDOW w AS (PARTITION BY user_id ORDER BY began, situation)""",
+)
+def recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each situation and the one before it on its item: close ones merge, those within a week recur."""
+    w = Window.partitionBy("user_id").orderBy("began", "situation")
+    ended = F.lag("ended").over(w)
+    relation = F.when(ended.isNull(), "new").when(F.col("began") <= ended + F.expr("INTERVAL 48 HOUR"), "merge").when(F.col("began") <= ended + F.expr("INTERVAL 7 DAY"), "recurrence").otherwise("new")
+    return situations(spark, sf_dir).select("user_id", "situation", F.lag("situation").over(w).alias("prior"), relation.alias("relation"))
+
+
+@query(
+    "g48_observed_outcomes",
+    """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), g AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1)
+       SELECT a.event_id AS action_id, CASE WHEN g.seen < a.ts + INTERVAL 3 DAY THEN 'not_observable' WHEN count(DISTINCT i.event_id) = 0 THEN 'pass' WHEN count(DISTINCT i.event_id) <= 2 THEN 'inconclusive' ELSE 'fail' END AS verdict
+       FROM a JOIN g ON g.user_id = a.user_id LEFT JOIN events i ON i.user_id = a.user_id AND i.event_type = 'error' AND i.ts > a.ts AND i.ts <= a.ts + INTERVAL 3 DAY GROUP BY a.event_id, a.ts, g.seen""",
+)
+def observed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether incidents followed an action within three days; where nothing was seen that long, nothing can be said."""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    seen = events.groupBy("user_id").agg(F.max("ts").alias("seen"))
+    a, i = events.where("event_type = 'purchase'").join(seen, "user_id").alias("a"), events.where("event_type = 'error'").alias("i")
+    after = (F.col("a.user_id") == F.col("i.user_id")) & (F.col("i.ts") > F.col("a.ts")) & (F.col("i.ts") <= F.col("a.ts") + F.expr("INTERVAL 3 DAY"))
+    n = a.join(i, after, "left").groupBy(F.col("a.event_id").alias("action_id"), F.col("a.ts").alias("ts"), "seen").agg(F.countDistinct("i.event_id").alias("n"))
+    verdict = F.when(F.col("seen") < F.col("ts") + F.expr("INTERVAL 3 DAY"), "not_observable").when(F.col("n") == 0, "pass").when(F.col("n") <= 2, "inconclusive").otherwise("fail")
+    return n.select("action_id", verdict.alias("verdict"))
+
+
+@query(
+    "g62_case_timeline",
+    "SELECT * FROM (SELECT user_id, event_id, lag(event_type) OVER w AS from_state, event_type AS to_state, row_number() OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE from_state IS DISTINCT FROM to_state",
+)
+def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of state of each case in order of time."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_type").over(w).alias("from_state"), F.col("event_type").alias("to_state"), F.row_number().over(w).alias("step"))
+    return rows.where(~F.col("from_state").eqNullSafe(F.col("to_state")))
+
+
+@query(
+    "g63_stale_approvals",
+    "WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_id, CASE WHEN NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'purchase' AND d.ts > e.ts) THEN CASE WHEN ts < now - INTERVAL 24 HOUR THEN 'expired' ELSE 'pending' END ELSE 'decided' END AS state FROM events e, n WHERE event_type = 'signup'",
+)
+def stale_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests without a later decision expire after a day."""
+    events = load(spark, sf_dir, "events")
+    decided = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("decided"))
+    now = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
+    asked = events.where("event_type = 'signup'").join(decided, "user_id", "left").join(now)
+    open_ = F.col("decided").isNull() | (F.col("decided") <= F.col("ts"))
+    return asked.select("event_id", F.when(~open_, "decided").when(F.col("ts") < F.col("now") - F.expr("INTERVAL 24 HOUR"), "expired").otherwise("pending").alias("state"))
+
+
+@query(
+    "g59_stale_assessments",
+    """WITH c AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), p AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM c)), s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM p) AND l_returnflag = 'R')
+       SELECT l_suppkey AS assessment, count(*) AS stale_playbooks FROM s GROUP BY 1""",
+)
+def stale_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed evidence makes the playbooks that use it stale, and these the assessments that rest on them."""
+    lines = load(spark, sf_dir, "lineitem")
+    changed = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    playbooks = lines.join(changed, "l_orderkey", "left_semi").select("l_partkey").distinct()
+    return lines.where("l_returnflag = 'R'").join(playbooks, "l_partkey", "left_semi").select("l_suppkey", "l_partkey").distinct().groupBy(F.col("l_suppkey").alias("assessment")).agg(F.count("*").alias("stale_playbooks"))
+
+
+@query(
+    "g55_group_states",
+    """WITH d AS (SELECT p_brand AS grp, l_partkey, l_linenumber % 3 AS dim, max(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 3 WHEN l_returnflag = 'A' THEN 2 WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS bad FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+            i AS (SELECT grp, l_partkey, CASE WHEN count(*) < 3 THEN 'inconclusive' ELSE ['pass', 'warn', 'stale', 'fail'][max(bad) + 1] END AS state, count(*) / 3 AS share FROM d GROUP BY 1, 2)
+       SELECT grp, arg_max(state, CASE state WHEN 'fail' THEN 4 WHEN 'stale' THEN 3 WHEN 'inconclusive' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS state, count(*) AS items, round(avg(share), 6) AS coverage FROM i GROUP BY 1""",
+)
+def group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's worst dimension, a group's worst item, and what share of dimensions was looked at; an unseen dimension is inconclusive, never a pass."""
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    bad = F.when((flag == "R") & (status == "F"), 3).when(flag == "A", 2).when(flag == "N", 1).otherwise(0)
+    dims = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_brand").alias("grp"), "l_partkey", (F.col("l_linenumber") % 3).alias("dim")).agg(F.max(bad).alias("bad"))
+    items = dims.groupBy("grp", "l_partkey").agg(F.count("*").alias("n"), F.max("bad").alias("bad")).select("grp", F.when(F.col("n") < 3, "inconclusive").otherwise(F.element_at(F.array(*map(F.lit, ("pass", "warn", "stale", "fail"))), F.col("bad") + 1)).alias("state"), (F.col("n") / 3).alias("share"))
+    rank = F.when(F.col("state") == "fail", 4).when(F.col("state") == "stale", 3).when(F.col("state") == "inconclusive", 2).when(F.col("state") == "warn", 1).otherwise(0)
+    return items.groupBy("grp").agg(F.max_by("state", rank).alias("state"), F.count("*").alias("items"), F.round(F.avg("share"), 6).alias("coverage"))
+
+
+@query(
+    "g56_information_gaps",
+    """WITH p AS (SELECT p_partkey, p_name, p_size, count(l_orderkey) AS uses, count(*) FILTER (WHERE l_returnflag = 'R') AS failures, max(l_shipdate) AS latest FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3), n AS (SELECT max(l_shipdate) AS now FROM lineitem),
+       g AS (SELECT p_partkey, 1 AS prio, 'no_evidence:' || lower(p_name) AS gap_key FROM p WHERE uses = 0 UNION ALL SELECT p_partkey, 2, 'contradicted:' || lower(p_name) FROM p WHERE failures * 2 > uses UNION ALL SELECT p_partkey, 3, 'stale:' || lower(p_name) FROM p, n WHERE latest < now - INTERVAL 90 DAY
+             UNION ALL SELECT p_partkey, 4, 'no_version:' || lower(p_name) FROM p WHERE p_size % 7 = 0 UNION ALL SELECT p_partkey, 5, 'thin:' || lower(p_name) FROM p WHERE uses BETWEEN 1 AND 10)
+       SELECT gap_key, min(p_partkey) AS first_item, count(*) AS seen, row_number() OVER (PARTITION BY split_part(gap_key, ':', 1) ORDER BY count(*) DESC, gap_key) AS place FROM g GROUP BY gap_key""",
+)
+def information_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five kinds of gaps, each key once, in order within its kind."""
+    lines = load(spark, sf_dir, "lineitem")
+    uses = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("uses"), F.count_if(F.col("l_returnflag") == "R").alias("failures"), F.max("l_shipdate").alias("latest"))
+    now = F.broadcast(lines.agg(F.max("l_shipdate").alias("now")))  # one row
+    p = load(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_size").join(uses, "p_partkey", "left").fillna(0, ["uses", "failures"]).join(now)
+    kinds = (("no_evidence", F.col("uses") == 0), ("contradicted", F.col("failures") * 2 > F.col("uses")), ("stale", F.col("latest") < F.col("now") - F.expr("INTERVAL 90 DAY")), ("no_version", F.col("p_size") % 7 == 0), ("thin", F.col("uses").between(1, 10)))
+    found = p.select("p_partkey", "name", F.explode(F.filter(F.array(*(F.when(hit, F.lit(kind)) for kind, hit in kinds)), lambda k: k.isNotNull())).alias("kind"))
+    keyed = found.groupBy("kind", F.concat_ws(":", "kind", "name").alias("gap_key")).agg(F.min("p_partkey").alias("first_item"), F.count("*").alias("seen"))
+    return keyed.select("gap_key", "first_item", "seen", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("seen"), "gap_key")).alias("place"))

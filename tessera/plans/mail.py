@@ -227,3 +227,83 @@ def retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mentions(mail(spark, sf_dir))
     gone = (F.col("conv_id") % 4 == 1) & (F.col("turn") == 0)
     return found.groupBy("conv_id", "token").agg(F.bool_or(~gone).alias("live")).select("conv_id", "token", F.when(F.col("live"), "active").otherwise("retired").alias("status"))
+
+
+# -- the salient part of a thread ------------------------------------------------
+
+BUDGET = 600
+_KEPT = f"NOT regexp_matches(line, {_q(M.BOILERPLATE_LINE)}) AND len(regexp_extract_all(line, {_q(M.EMAIL_LIKE)})) < 2 AND length(line) - length(replace(line, '|', '')) < 2"
+_SCORE = f"len(regexp_extract_all(regexp_replace(flat, {_q(M.SCORE_NOISE)}, ' ', 'g'), {_q(M.TECH_WORD)})) + len(regexp_extract_all(regexp_replace(flat, {_q(M.SCORE_NOISE)}, ' ', 'g'), {_q(M.CODE_TOKEN)}))"
+
+
+@query(
+    "f24_salient_slice",
+    f"""WITH {MAIL}, n AS (SELECT conv_id, turn, translate(body, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou') AS body FROM mail), w AS (SELECT conv_id, string_agg(body, chr(10) || chr(10) ORDER BY turn) AS whole FROM n GROUP BY 1),
+       l AS (SELECT conv_id, turn, pos, {_STRIP.format('raw')} AS line FROM (SELECT conv_id, turn, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM n)),
+       c AS (SELECT *, regexp_matches(line, {_q(M.MESSAGE_START)}) AS starts FROM l), g AS (SELECT *, sum(CASE WHEN line = '' OR starts OR pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, pos) AS seg FROM c),
+       f AS (SELECT conv_id, count(*) FILTER (WHERE starts) >= 2 AS fused FROM c GROUP BY 1),
+       s AS (SELECT conv_id, seg, string_agg(line, chr(10) ORDER BY turn, pos) AS text, string_agg(line, ' ' ORDER BY turn, pos) AS flat FROM g WHERE line <> '' AND NOT starts AND {_KEPT} GROUP BY 1, 2),
+       u AS (SELECT conv_id, text, min(seg) AS seg, min(flat) AS flat FROM s GROUP BY 1, 2), i AS (SELECT conv_id, text, length(text) AS len, {_SCORE} AS score, row_number() OVER (PARTITION BY conv_id ORDER BY seg) - 1 AS idx FROM u),
+       h AS (SELECT i.*, fused, CASE WHEN fused THEN 0 ELSE least(max(CASE WHEN idx = 0 THEN len END) OVER (PARTITION BY conv_id), 150) END AS head FROM i JOIN f USING (conv_id)),
+       r AS (SELECT *, head + coalesce(sum(len + 1) OVER (PARTITION BY conv_id ORDER BY score DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE score > 0 AND (fused OR idx > 0)),
+       t AS (SELECT conv_id, idx, least(len, 599 - before) AS take FROM r WHERE 599 - before >= 40), z AS (SELECT h.*, CASE WHEN idx = 0 AND NOT fused THEN head ELSE take END AS base FROM h LEFT JOIN t USING (conv_id, idx)),
+       p AS (SELECT *, 600 - max(head) OVER (PARTITION BY conv_id) - coalesce(sum(CASE WHEN idx > 0 OR fused THEN base + 1 END) OVER (PARTITION BY conv_id), 0) AS rest, count(base) OVER (PARTITION BY conv_id) AS taken FROM z),
+       o AS (SELECT conv_id, left(string_agg(left(text, CAST(CASE WHEN taken = 0 THEN len WHEN idx = 0 AND rest > 0 THEN least(len, base + rest) ELSE base END AS BIGINT)), chr(10) ORDER BY idx) FILTER (WHERE taken = 0 OR base IS NOT NULL), 600) AS slice FROM p GROUP BY 1)
+       SELECT w.conv_id, CASE WHEN length(whole) <= 600 THEN whole ELSE coalesce(slice, left(whole, 600)) END AS slice FROM w LEFT JOIN o USING (conv_id)""",
+)
+def salient_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most telling 600 characters of every thread."""
+    plain = F.translate("body", "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü", "ACEEEINOOUsaceeeinoou")
+    return salient_slices(mail(spark, sf_dir).select("conv_id", "turn", plain.alias("body")), BUDGET)
+
+
+def salient_slices(messages: DataFrame, budget: int) -> DataFrame:
+    """``conv_id, slice`` of ``messages(conv_id, turn, body)``.
+
+    A thread within the budget stays as it is.  Otherwise its segments, each
+    different one once, take their room in the order of their score, after a
+    quarter for the first one unless several messages are fused; what is left
+    goes to the first.  Room is a running sum, so no loop is needed.
+    """
+    thread = Window.partitionBy("conv_id")
+    whole = messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"]), "\n\n").alias("whole"))
+    lines = messages.select("conv_id", "turn", F.posexplode(M.lines_of(F.col("body"))).alias("pos", "raw")).withColumn("line", M.strip(F.col("raw"))).withColumn("starts", F.col("line").rlike(M.MESSAGE_START))
+    breaks = ((F.col("line") == "") | F.col("starts") | (F.col("pos") == 0)).cast("int")
+    numbered = lines.withColumn("seg", F.sum(breaks).over(thread.orderBy("turn", "pos")))
+    fused = lines.groupBy("conv_id").agg((F.count_if("starts") >= 2).alias("fused"))
+    useful = (F.col("line") != "") & ~F.col("starts") & ~F.col("line").rlike(M.BOILERPLATE_LINE) & (F.regexp_count("line", F.lit(M.EMAIL_LIKE)) < 2) & (F.regexp_count("line", F.lit(r"\|")) < 2)
+    parts = numbered.where(useful).groupBy("conv_id", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "line"))), lambda x: x["line"]).alias("lines"))
+    once = parts.groupBy("conv_id", F.array_join("lines", "\n").alias("text")).agg(F.min("seg").alias("seg"), F.min(F.array_join("lines", " ")).alias("flat"))
+    clean = F.regexp_replace("flat", M.SCORE_NOISE, " ")
+    scored = once.select("conv_id", "seg", "text", F.length("text").alias("len"), (F.regexp_count(clean, F.lit(M.TECH_WORD)) + F.regexp_count(clean, F.lit(M.CODE_TOKEN))).alias("score"))
+    placed = scored.withColumn("idx", F.row_number().over(thread.orderBy("seg")) - 1).join(fused, "conv_id")
+    head = F.when(F.col("fused"), 0).otherwise(F.least(F.max(F.when(F.col("idx") == 0, F.col("len"))).over(thread), F.lit(int(budget * M.HEAD_SHARE))))
+    eligible = (F.col("score") > 0) & (F.col("fused") | (F.col("idx") > 0))
+    by_score = thread.orderBy(F.desc("eligible"), F.desc("score"), "idx").rowsBetween(Window.unboundedPreceding, -1)
+    spent = placed.withColumn("head", head).withColumn("eligible", eligible).withColumn("before", F.col("head") + F.coalesce(F.sum(F.when(F.col("eligible"), F.col("len") + 1)).over(by_score), F.lit(0)))
+    room = budget - 1 - F.col("before")
+    base = F.when(~F.col("fused") & (F.col("idx") == 0), F.col("head")).when(F.col("eligible") & (room >= M.LEAST_TAKEN), F.least("len", room))
+    taken = spent.withColumn("base", base).withColumn("rest", budget - F.col("head") - F.coalesce(F.sum(F.when(F.col("fused") | (F.col("idx") > 0), F.col("base") + 1)).over(thread), F.lit(0))).withColumn("taken", F.count("base").over(thread))
+    size = F.when(F.col("taken") == 0, F.col("len")).when(F.col("base").isNotNull(), F.when((F.col("idx") == 0) & (F.col("rest") > 0), F.least("len", F.col("base") + F.col("rest"))).otherwise(F.col("base")))
+    chosen = taken.withColumn("size", size).where("size IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.left("text", F.col("size").cast("int")).alias("part")))).alias("p"))
+    cut = F.left(F.array_join(F.transform("p", lambda x: x["part"]), "\n"), F.lit(budget))
+    return whole.join(chosen, "conv_id", "left").select("conv_id", F.when(F.length("whole") <= budget, F.col("whole")).otherwise(F.coalesce(cut, F.left("whole", F.lit(budget)))).alias("slice"))
+
+
+# -- topics and signals over a thread ----------------------------------------------
+
+
+@query(
+    "g32_thread_topic",
+    f"""WITH {MAIL}, {_MENTIONS}, a AS (SELECT conv_id, turn, arg_min(token, {{'c': -confidence, 't': token}}) AS anchor FROM mentions WHERE NOT quoted GROUP BY 1, 2), topics AS (SELECT m.conv_id, m.turn, CASE WHEN m.sender <> 'assistant' THEN anchor END AS anchor FROM mail m LEFT JOIN a USING (conv_id, turn))
+       SELECT conv_id, turn, coalesce(last_value(anchor IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), first_value(anchor IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING)) AS topic,
+         CASE WHEN last_value(anchor IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL THEN 'anchored' WHEN first_value(anchor IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING) IS NOT NULL THEN 'unified' ELSE 'provisional' END AS state FROM topics""",
+)
+def thread_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case a message speaks of: the last one named before it, else the first one named after it, up to 200 messages back; bots never name one."""
+    messages = mail(spark, sf_dir)
+    named = mentions(messages).where("NOT quoted").groupBy("conv_id", "turn").agg(F.min_by("token", F.struct(-F.col("confidence"), "token")).alias("anchor"))
+    turns = messages.select("conv_id", "turn", "sender").join(named, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("sender") != "assistant", F.col("anchor")).alias("anchor"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    so_far, later = F.last("anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("anchor", ignorenulls=True).over(w.rowsBetween(0, 200))
+    return turns.select("conv_id", "turn", F.coalesce(so_far, later).alias("topic"), F.when(so_far.isNotNull(), "anchored").when(later.isNotNull(), "unified").otherwise("provisional").alias("state"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +28,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-MODULES: tuple[str, ...] = ("aggregates", "relational", "texts", "ranking", "graphs", "streams", "evidence", "content", "mail", "library", "cases")
-
-for _module in MODULES:
-    importlib.import_module(f"tessera.plans.{_module}")

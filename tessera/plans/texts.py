@@ -126,6 +126,33 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("text"), T.redaction_counts(F.col("text")).alias("counts")).select("doc_id", "text", F.size("counts").alias("kinds"))
 
 
+_PLAIN = tuple(r for r in T.REDACTION_RULES if "(?<" not in r[1])
+#: Something to redact in every document, of every kind.
+_SECRETS = """ || ' key sk-' || lpad(CAST(doc_id AS STRING), 20, 'x') || ' mail a' || doc_id || '@desk.example.org password = hunter' || doc_id || ' ssn 123-45-' || lpad(CAST(doc_id % 10000 AS STRING), 4, '0') || ' card 4111 1111 1111 ' || lpad(CAST(doc_id % 10000 AS STRING), 4, '1') || ' bearer abcdefghijkl' || doc_id || ' AKIA' || lpad(CAST(doc_id AS STRING), 16, 'Q')
+ || ' eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0' || doc_id || chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'MIIE' || doc_id || chr(10) || '-----END RSA PRIVATE KEY-----'"""
+
+
+def _duck_redact(text: str) -> tuple[str, str]:
+    counts = []
+    for kind, rule in _PLAIN:
+        counts.append(f"len(regexp_extract_all({text}, '{_q(rule)}'))")
+        text = f"regexp_replace({text}, '{_q(rule)}', '[REDACTED:{kind}]', 'g')"
+    return text, " + ".join(counts)
+
+
+_RED, _COUNTS = _duck_redact("t")
+
+
+@query("f14_redaction_kinds", f"WITH x AS (SELECT doc_id, translate(coalesce(text, ''), 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou'){_SECRETS.replace('AS STRING', 'AS VARCHAR')} AS t FROM documents) SELECT doc_id, md5({_RED}) AS redacted, {_COUNTS} AS replaced FROM x")
+def redaction_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine kinds that both engines can express, in their order, on texts that hold each."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.expr("translate(coalesce(text, ''), 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou')" + _SECRETS).alias("t"))
+    out = docs.withColumn("replaced", F.lit(0))
+    for kind, rule in _PLAIN:  # one step a rule, so each text is computed once
+        out = out.select("doc_id", F.regexp_replace("t", F.lit(rule), F.lit(f"[REDACTED:{kind}]")).alias("t"), (F.col("replaced") + F.regexp_count("t", F.lit(rule))).alias("replaced"))
+    return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("redacted"), F.col("replaced").cast("long").alias("replaced"))
+
+
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 
 
@@ -234,7 +261,15 @@ def knowledge_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_discount") * (1 - F.col("l_tax")) * factor, 6).alias("rank_distance"))
 
 
-@query("sc07_html_text")
+def _duck_html() -> str:
+    t = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for entity, char in T.ENTITIES:
+        t = f"replace({t}, '{entity}', '{_q(char)}')"
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g')"
+
+
+@query("sc07_html_text", f"SELECT page_id, {_duck_html()} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
