@@ -7,13 +7,16 @@ likeness of ``percent`` / 100 or more.  The join is exact.  What it skips:
 2. *Index lists, block by block.*  The exact part is a prefix index: in an
    order of all shingles from rare to frequent, two linked sets share a
    shingle among their first n - ceil(t n) + 1.  A list's entries stand by
-   component, size and position and are cut into blocks of ``LIST_BLOCK``;
-   a block knows its least and greatest component, size, position and rest
-   behind the position.  Two blocks meet only if these allow a link between
+   band of sizes, component and position and are cut into blocks of
+   ``LIST_BLOCK``; a block knows its least and greatest component, size,
+   position and rest behind the position.  Two blocks meet only if these allow a link between
    sets of different components; all other pairs of blocks are skipped
    unread.  Inside a pair of blocks the same bounds hold for each pair of
    sets, then a bit-parity bound on the symmetric difference.
-3. *Answers of a highly similar set.*  Sets that share one of their ``probes``
+3. *Components as answers.*  The lists are gone through twice: first for the
+   nearest pair of any two components, which is compared exactly and merges
+   most components that link; then for all pairs of components still apart.
+4. *Answers of a highly similar set.*  Sets that share one of their ``probes``
    least shingle hashes are compared with the first set of that hash; a set
    that links has the linked set as its representative and goes into its
    component, so only sets of *different* components need to be compared later
@@ -33,8 +36,9 @@ range of shingle hashes.  A task drops the shingles of a range that only one
 set has; it streams over the rows and holds the distinct shingles of the range
 only.  Shingles whose counter is far above the mean skip that step, so a hot
 shingle goes through no single task.  The lists that are left are cut into
-blocks after a sort by ranges of (shingle, component, size, position, set), which splits
-a long list over as many tasks as it fills.
+blocks after a sort by ranges of (shingle, band, component, position, set),
+which splits a long list over as many tasks as it fills.  Lists of one least
+set are compared in few tasks, which send a pair that many of them hold once.
 """
 
 from __future__ import annotations
@@ -63,8 +67,8 @@ RANGE_ENTRIES, LIST_BLOCK = 100_000, 512
 HOT_LEAST, HOT_MEANS = 20_000, 8
 #: Index entries that a task gathers before it sends them.
 PACK_ENTRIES = 150_000
-#: Pairs of one set that are compared in one group.
-GROUP_PAIRS = 500
+#: Pairs of one set that are compared in one group; tasks over which the lists of one least set are dealt; pairs that a task remembers.
+GROUP_PAIRS, LEAD_TASKS, REMEMBERED_PAIRS = 500, 8, 500_000
 
 
 def _sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -398,7 +402,7 @@ def _fitting(key: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray,
         yield i[fit], j[fit]
 
 
-_BLOCKS = ("block", "open", "token", "n", "pos", "sid", "comp")
+_BLOCKS = ("block", "lead", "open", "token", "n", "pos", "sid", "comp")
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
@@ -412,7 +416,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
         block, rows, began, last = TaskContext.get().partitionId() << 32, None, True, None
         for batch in _and_none(batches):
             if batch is not None:
-                # token, grp, n, pos, sid, comp: sorted by all
+                # token, band, comp, pos, sid, n: sorted by all but the last
                 new = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
                 rows = new if rows is None else np.concatenate((rows, new))
             if rows is None or not len(rows):
@@ -442,25 +446,31 @@ def _blocks(entries: DataFrame) -> DataFrame:
             rows, last = rows[end:], rows[end - 1]
             keep = opened.copy()
             closed = np.flatnonzero(~opened)
-            closed = closed[np.lexsort((done[closed, 2], number[closed]))]
-            for i, j in _fitting(number[closed], np.zeros(len(closed), np.int8), done[closed, 2], done[closed, 3], done[closed, 5]):
+            closed = closed[np.lexsort((done[closed, 5], number[closed]))]
+            for i, j in _fitting(number[closed], np.zeros(len(closed), np.int8), done[closed, 5], done[closed, 3], done[closed, 2]):
                 keep[closed[i]] = keep[closed[j]] = True
-            out = [pa.array(x[keep]) for x in (block + number, opened, *(done[:, k] for k in (0, 2, 3, 4, 5)))]
-            block += int(number[-1])
+            kept, number = done[keep], number[keep]
+            lead = np.zeros(0, np.int64)
+            if len(kept):
+                at = np.flatnonzero(np.diff(number, prepend=0))
+                lead = np.repeat(np.minimum.reduceat(kept[:, 4], at), np.diff(np.append(at, len(kept))))
+            out = [pa.array(x) for x in (block + number, lead, opened[keep], *(kept[:, k] for k in (0, 5, 3, 4, 2)))]
+            block += end  # no less than the blocks cut
             yield pa.RecordBatch.from_arrays(out, list(_BLOCKS))
 
-    by = ["token", "grp", "n", "pos", "sid"]
-    placed = entries.repartitionByRange(*by).sortWithinPartitions(*by)
-    return saved(placed.select(*by, "comp").mapInArrow(cut, "block long, open boolean, token long, n long, pos long, sid long, comp long"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).alias("band")
+    by = ["token", "band", "comp", "pos", "sid"]
+    placed = entries.select("token", band, "comp", "pos", "sid", "n").repartitionByRange(*by).sortWithinPartitions(*by)
+    return saved(placed.mapInArrow(cut, "block long, lead long, open boolean, token long, n long, pos long, sid long, comp long"))
 
 
-def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a list and pass sizes, positions and parity.
+def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Pairs ``a, b`` of different ``comps(id, comp)`` that share a list and pass sizes, positions and parity.
 
-    ``entries(token, grp, sid, comp, n, pos)``; ``grp`` is the component if it is large, else -1.
+    With ``best``, of all pairs of the same two components only the nearest one by parity that a task finds.
     """
-    blocks = _blocks(entries)
-    opened = blocks.where("open")
+    known = sets.select("sid", "parity").join(comps.withColumnRenamed("id", "sid"), "sid")
+    opened = blocks.where("open").drop("comp").join(comps.withColumnRenamed("id", "sid"), "sid")
     about = opened.groupBy("token", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("pos").alias("far"))
     x, y = about.alias("x"), about.alias("y")
     apart = (F.least("x.c0", "y.c0") != F.greatest("x.c1", "y.c1")) & (100 * F.col("x.n1") >= PERCENT * F.col("y.n0")) & (100 * F.col("y.n1") >= PERCENT * F.col("x.n0"))
@@ -468,12 +478,12 @@ def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     meet = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.block") <= F.col("y.block")) & apart & reach).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     end = lambda block, side: F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
     sides = meet.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(end("x", 0))).otherwise(F.array(end("x", 1), end("y", 2)))).alias("s")).select("x", "y", "s.*")
-    held = blocks.select("block", "n", "pos", "sid", "comp")
-    dealt = blocks.where("not open").select(F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"), "n", "pos", "sid", "comp").unionByName(opened.select(*held.columns).join(sides, "block").drop("block"))
-    rows = dealt.join(sets.select("sid", "parity"), "sid").select("x", "y", "side", "n", "pos", "sid", "comp", "parity")
+    own = F.col("block")
+    dealt = blocks.where("not open").select(own.alias("x"), own.alias("y"), "lead", F.lit(0).alias("side"), "n", "pos", "sid").unionByName(blocks.where("open").select("block", "n", "pos", "sid").join(sides, "block").drop("block").withColumn("lead", F.col("x")))
+    rows = dealt.join(known, "sid").select("x", "y", "side", "n", "pos", "sid", "comp", "parity", "lead")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen, nearest = None, set(), {}
         for batch in _and_none(batches):
             if batch is not None:
                 cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
@@ -490,12 +500,33 @@ def _list_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
             for i, j in _fitting(key, side, n, pos, comp):
                 odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 fit = (100 + PERCENT) * odd <= (100 - PERCENT) * (n[i] + n[j])
-                i, j = sid[i[fit]], sid[j[fit]]
-                found.append(np.column_stack((np.minimum(i, j), np.maximum(i, j))))
-            out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "n").mapInArrow(find, "a long, b long").distinct()
+                i, j, odd = i[fit], j[fit], odd[fit]
+                a, b = sid[i], sid[j]
+                found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b), np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), 1_000_000 * odd // (n[i] + n[j]))))
+            new = set()
+            if found and best:
+                rows_ = np.concatenate(found)
+                rows_ = rows_[np.lexsort((rows_[:, 4], rows_[:, 3], rows_[:, 2]))]
+                first = np.append(True, (rows_[1:, 2:4] != rows_[:-1, 2:4]).any(axis=1))[: len(rows_)]
+                for a, b, c, d, odd in rows_[first].tolist():
+                    if odd < nearest.get((c, d), (1_000_000,))[0]:
+                        nearest[c, d] = (odd, a, b)
+                if len(nearest) > REMEMBERED_PAIRS:
+                    new, nearest = {x[1:] for x in nearest.values()}, {}
+            elif found:
+                new = set(map(tuple, np.concatenate(found)[:, :2].tolist())) - seen
+                seen |= new
+                if len(seen) > REMEMBERED_PAIRS:
+                    seen = set()
+            yield _pair_batch(new)
+        yield _pair_batch({x[1:] for x in nearest.values()})
+
+    dealt_to = F.pmod(F.xxhash64("x", "y"), F.lit(LEAD_TASKS))
+    return rows.repartition("lead", dealt_to).sortWithinPartitions("x", "y", "n").drop("lead").mapInArrow(find, "a long, b long").distinct()
+
+
+def _pair_batch(pairs: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -540,21 +571,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comps = components(sets.select(F.col("sid").alias("id")), linked)
     entries_total = sets.agg(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
     ranges = max(1, math.ceil(entries_total / RANGE_ENTRIES))
-    large = comps.groupBy("comp").count().where(F.col("count") > LIST_BLOCK).select("comp", F.col("comp").alias("grp"))
-    names = sets.select(F.col("lo").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"), "sid", "n").join(comps.withColumnRenamed("id", "sid"), "sid").join(large, "comp", "left")
-    entries = _index(docs, shingle_order(docs), ranges).join(names, "name").select("token", F.coalesce("grp", F.lit(-1)).alias("grp"), "sid", "comp", "n", "pos")
-    pairs = saved(plausible(_list_pairs(entries, sets), sets))
+    names = sets.select(F.col("lo").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"), "sid", "n").join(comps.withColumnRenamed("id", "sid"), "sid")
+    entries = _index(docs, shingle_order(docs), ranges).join(names, "name").select("token", "sid", "comp", "n", "pos")
+    blocks = _blocks(entries)
+    # First the nearest pair of any two components, which merges most of those that link; then all pairs that are left.
+    nearest = saved(plausible(_list_pairs(blocks, comps, sets, best=True), sets).select("a", "b"))
     links = linked.select("a", "b")
-    if not is_empty(pairs):
-        links = links.unionByName(_answers(docs, pairs, linked, sets))
-    # An id with several texts stands for several sets: they are one node.
-    of = saved(prof.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "hi", "lo").join(sets.select("hi", "lo", "sid"), ["hi", "lo"]).select("doc_id", "sid").distinct())
-    first = of.groupBy("doc_id").agg(F.min("sid").alias("a"))
-    same_id = of.join(first, "doc_id").where("a <> sid").select("a", F.col("sid").alias("b"))
-    final = components(sets.select(F.col("sid").alias("id")), links.unionByName(same_id))
-    least = sets.select("sid", "doc_id").join(final, F.col("sid") == F.col("id")).groupBy("comp").agg(F.min("doc_id").alias("least"))
-    of_id = first.join(final, F.col("a") == F.col("id")).join(least, "comp").select(F.col("doc_id").alias("_id"), "least")
-    return prof.select("doc_id", F.col("n").alias("n_shingles")).join(of_id, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    if not is_empty(nearest):
+        links = saved(links.unionByName(exact_overlaps(docs, nearest, sets).where("linked").select("a", "b")))
+        merged = components(sets.select(F.col("sid").alias("id")), links)
+        pairs = saved(plausible(_list_pairs(blocks, merged, sets, best=False), sets).join(nearest, ["a", "b"], "left_anti"))
+        if not is_empty(pairs):
+            links = links.unionByName(_answers(docs, pairs, linked, sets))
+    # A set's node is the least id that has it; an id with several texts links their nodes.
+    home = lambda x: sets.select(F.col("sid").alias(x), F.col("doc_id").alias(f"d{x}"))
+    full = prof.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "hi", "lo")
+    same_id = full.join(sets.select("hi", "lo", F.col("doc_id").alias("b")), ["hi", "lo"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    between = links.join(home("a"), "a").join(home("b"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    final = components(full.select(F.col("doc_id").alias("id")).distinct(), between.unionByName(same_id))
+    return prof.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
