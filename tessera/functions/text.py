@@ -187,7 +187,7 @@ def version_compatible(article: Column, target: Column) -> Column:
     wild = lambda v: (part(v, 4) != "") | (part(v, 2) == "")
     number = lambda v: F.struct(*(F.coalesce(F.nullif(part(v, k), F.lit("")).cast("int"), F.lit(0)) for k in (1, 2, 3)))
     same = part(article, 1).try_cast("int") == part(target, 1).try_cast("int")
-    return F.when(~known, None).when(~same, False).when(wild(article) | wild(target), True).otherwise(number(article) <= number(target))
+    return F.when(~F.coalesce(known, F.lit(False)), None).when(~same, False).when(wild(article) | wild(target), True).otherwise(number(article) <= number(target))
 
 
 #: Named and numbered entities; the ampersand comes last.
