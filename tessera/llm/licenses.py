@@ -90,12 +90,40 @@ SENTENCES = {
     "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc-grant",
     "THE SOFTWARE IS PROVIDED \"AS IS\" AND {holder} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": "isc-warranty",
     "IN NO EVENT SHALL {holder} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.": "isc-liability",
+    "This library is free software": "gpl-free",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl-terms",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl-terms",
+    "either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-later",
+    "See the GNU Lesser General Public License for more details.": "gpl-see",
+    "See the GNU Affero General Public License for more details.": "gpl-see",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gpl-warranty",
+    "Licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1-name",
+    "Licensed under the GNU Lesser General Public License version 3": "lgpl-3-name",
+    "Licensed under the GNU Affero General Public License version 3": "agpl-3-name",
+    "This software is provided 'as-is', without any express or implied warranty.": "zlib-as-is",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "zlib-grant",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:": "bsl-grant",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-name",
+    "To the extent possible under law, {holder} has waived all copyright and related or neighboring rights to this work.": "cc0",
+    "Licensed under CC0 1.0": "cc0",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-4",
+    "Licensed under CC BY-ND 4.0": "cc-by-nd-4",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0": "epl-2",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2",
+    "Licensed under the BSD 3-Clause License": "bsd-3-name",
+    "Licensed under the BSD 2-Clause License": "bsd-2-name",
+    "Licensed under the ISC License": "isc-name",
+    "Licensed under the Mozilla Public License 2.0": "mpl-2",
+    "Licensed under the Mozilla Public License, version 2.0": "mpl-2",
 }
 
 #: Licences and the identifier sequences that name them; the first match of the longest goes first.
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl-3-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms", "gpl-3-later")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-terms", "lgpl-2.1-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl-3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl-2-later")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-2", "apache-comply", "apache-copy")),
@@ -115,6 +143,19 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
     ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("BSL-1.0", ("bsl-name",)),
+    ("CC0-1.0", ("cc0",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("LGPL-2.1-only", ("lgpl-2.1-name",)),
+    ("LGPL-3.0-only", ("lgpl-3-name",)),
+    ("AGPL-3.0-only", ("agpl-3-name",)),
+    ("BSD-3-Clause", ("bsd-3-name",)),
+    ("BSD-2-Clause", ("bsd-2-name",)),
+    ("ISC", ("isc-name",)),
 )
 
 #: Most words of a name where a known sentence has ``{holder}``.

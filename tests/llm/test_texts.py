@@ -248,3 +248,42 @@ def test_token_counts_of_odd_rows(docs_of, odd_rows):
     assert len(rows) == len(odd_rows) and by[1].n_tokens == by[2].n_tokens == by[3].n_tokens == 0
     assert by[4].n_tokens == by[5].n_tokens >= by[4].n_words == 30_000
     assert count_tokens(docs_of([])).count() == 0
+
+
+NOTICES = {"LGPL-2.1-or-later":"""/*
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ */""",
+"AGPL-3.0-or-later":"""# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+"Zlib":"""This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented;""",
+"BSL-1.0":"""// Distributed under the Boost Software License, Version 1.0.
+// (See accompanying file)""",
+"CC0-1.0":"To the extent possible under law, Jane Q. Doe has waived all copyright and related\nor neighboring rights to this work.",
+"EPL-2.0":" * This program and the accompanying materials\n * are made available under the terms of the Eclipse Public License 2.0\n * which accompanies this distribution",
+
+    "CC-BY-NC-SA-4.0": "This work is licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-4.0": "This work is licensed under CC BY-NC 4.0.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License."}
+
+
+def test_further_notices():
+    for name, text in NOTICES.items():
+        assert match_rules(sentence_ids(text)) == [name], name
