@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.operators.references import heal, newest, resolve
 from tessera.operators.selection import select_connected
 from tessera.plans.content import literal_fragments
-from tessera.plans.registry import load, query
+from tessera.plans.registry import ORACLE_SQL, load, query
 
 
 def _q(s: str) -> str:
@@ -366,3 +366,80 @@ def connected_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = lines.select(case.alias("case"), F.concat(F.lit("o"), F.col("order").cast("string")).alias("node"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("parent"), F.lit("playbook").alias("type"), F.round(0.5 * (1 - F.col("d")), 6).alias("score"), (90 + F.col("order") % 40).cast("int").alias("chars"))
     once = orders.groupBy("case", "node").agg(F.max_by(F.struct("parent", "type", "score", "chars"), F.struct("score", "parent")).alias("b")).select("case", "node", "b.*")
     return select_connected(root.unionByName(parts).unionByName(once.select(*root.columns)), most_nodes=40, most_chars=3000, reserved={"playbook": 3}, has_edges=True)
+
+
+@query(
+    "g50_remediation_by_target",
+    f"""WITH a AS ({ORACLE_SQL["f50_fix_applicability"]}), e AS (SELECT l_partkey AS fix, count(*) FILTER (WHERE l_returnflag = 'N') AS ok, count(*) FILTER (WHERE l_returnflag IN ('N', 'R')) AS n FROM lineitem GROUP BY 1), k AS (SELECT l_partkey AS fix, l_suppkey AS target FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2 HAVING count(*) >= 2),
+       l AS (SELECT a.fix, a.target, a.score, ok / n AS rate, n, CASE WHEN k.fix IS NOT NULL THEN 4 WHEN score >= 0.3 AND n >= 20 AND ok / n >= 0.6 THEN 1 WHEN ok / n >= 0.5 THEN 2 WHEN ok > 0 THEN 3 ELSE 4 END AS level FROM a JOIN e ON e.fix = a.fix AND n > 0 LEFT JOIN k ON k.fix = a.fix AND k.target = a.target)
+       SELECT target, fix, level, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY level, round(rate, 9) DESC, n DESC, score DESC, fix) AS rn FROM l) WHERE rn <= 5""",
+)
+def remediation_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best fixes of each target: how well they did, whether they apply, and none first that failed there before."""
+    lines = load(spark, sf_dir, "lineitem")
+    efficacy = lines.groupBy(F.col("l_partkey").alias("fix")).agg(F.count_if(F.col("l_returnflag") == "N").alias("ok"), F.count_if(F.col("l_returnflag").isin("N", "R")).alias("n")).where("n > 0")
+    failed = lines.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("fix"), F.col("l_suppkey").alias("target")).agg(F.count("*").alias("failures")).where("failures >= 2")
+    known = fix_applicability(spark, sf_dir).join(efficacy, "fix").join(failed, ["fix", "target"], "left").withColumn("rate", F.col("ok") / F.col("n"))
+    level = F.when(F.col("failures").isNotNull(), 4).when((F.col("score") >= 0.3) & (F.col("n") >= 20) & (F.col("rate") >= 0.6), 1).when(F.col("rate") >= 0.5, 2).when(F.col("ok") > 0, 3).otherwise(4)
+    w = Window.partitionBy("target").orderBy("level", F.desc(F.round("rate", 9)), F.desc("n"), F.desc("score"), "fix")
+    return known.withColumn("level", level).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("target", "fix", "level", "score")
+
+
+@query(
+    "g09_edge_reconcile",
+    """WITH w AS (SELECT 'order_part' AS edge_type, l_orderkey AS src, l_partkey AS dst FROM lineitem UNION SELECT 'customer_order', o_custkey, o_orderkey FROM orders), s AS (SELECT edge_type, src, dst + CASE WHEN dst % 10 = 3 THEN 10000000 ELSE 0 END AS dst FROM w WHERE src % 7 <> 0)
+       SELECT coalesce(w.edge_type, s.edge_type) AS edge_type, CASE WHEN s.src IS NULL THEN 'open' WHEN w.src IS NULL THEN 'close' ELSE 'keep' END AS action, count(*) AS n FROM w FULL JOIN s ON s.edge_type = w.edge_type AND s.src = w.src AND s.dst = w.dst GROUP BY 1, 2""",
+)
+def edge_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges made from the relational rows against those stored (a part of them, some to wrong ends): what opens, closes and stays."""
+    edge = lambda name, kind, a, b: load(spark, sf_dir, name).select(F.lit(kind).alias("edge_type"), F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    wanted = edge("lineitem", "order_part", "l_orderkey", "l_partkey").unionByName(edge("orders", "customer_order", "o_custkey", "o_orderkey"))
+    stored = wanted.where("src % 7 <> 0").withColumn("dst", F.col("dst") + F.when(F.col("dst") % 10 == 3, 10_000_000).otherwise(0))
+    both = wanted.withColumn("w", F.lit(True)).join(stored.withColumn("s", F.lit(True)), ["edge_type", "src", "dst"], "full")
+    return both.groupBy("edge_type", F.when(F.col("s").isNull(), "open").when(F.col("w").isNull(), "close").otherwise("keep").alias("action")).agg(F.count("*").alias("n"))
+
+
+_USAGE = """'{"model": "m' || event_id % 3 || '", "usage": {"prompt_tokens": ' || user_id * 10 || ', "completion_tokens": ' || (20 + user_id % 50) || CASE event_id % 4 WHEN 0 THEN ', "completion_tokens_details": {"reasoning_tokens": ' || (user_id % 90) || '}' WHEN 1 THEN ', "completion_tokens_details": null' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ', "prompt_tokens_details": {"cached_tokens": ' || user_id * 4 || '}' ELSE '' END || '}}'"""
+
+
+@query(
+    "g65_usage_fields",
+    f"""WITH j AS (SELECT event_id, {_USAGE} AS j FROM events), x AS (SELECT event_id, json_extract_string(j, '$.model') AS model, CAST(json_extract(j, '$.usage.prompt_tokens') AS BIGINT) AS prompt, CAST(json_extract(j, '$.usage.completion_tokens') AS BIGINT) AS completion, coalesce(TRY_CAST(json_extract_string(j, '$.usage.completion_tokens_details.reasoning_tokens') AS BIGINT), 0) AS reasoning, coalesce(TRY_CAST(json_extract_string(j, '$.usage.prompt_tokens_details.cached_tokens') AS BIGINT), 0) AS cached FROM j)
+       SELECT event_id, model, prompt, completion, least(reasoning, completion) AS reasoning, least(cached, prompt) AS cached, completion - least(reasoning, completion) AS visible FROM x""",
+)
+def usage_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every response; reasoning is part of the completion and cached part of the prompt, missing details are 0."""
+    j = load(spark, sf_dir, "events").select("event_id", F.expr(_USAGE).alias("j"))
+    number = lambda path: F.coalesce(F.get_json_object("j", path).try_cast("bigint"), F.lit(0))
+    prompt, completion = number("$.usage.prompt_tokens"), number("$.usage.completion_tokens")
+    reasoning, cached = F.least(number("$.usage.completion_tokens_details.reasoning_tokens"), completion), F.least(number("$.usage.prompt_tokens_details.cached_tokens"), prompt)
+    return j.select("event_id", F.get_json_object("j", "$.model").alias("model"), prompt.alias("prompt"), completion.alias("completion"), reasoning.alias("reasoning"), cached.alias("cached"), (completion - reasoning).alias("visible"))
+
+
+@query(
+    "g33_issue_recurrence",
+    """WITH s AS (SELECT event_id, user_id, ts, event_type || '|' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS signature FROM events WHERE event_type IN ('error', 'signup')),
+       p AS (SELECT *, lag(event_id) OVER w AS prior, lag(ts) OVER w AS prior_ts, row_number() OVER w AS nth FROM s WINDOW w AS (PARTITION BY signature ORDER BY ts, event_id))
+       SELECT event_id, signature, CASE WHEN ts - prior_ts <= INTERVAL 1 DAY THEN prior END AS recurs, nth FROM p""",
+)
+def issue_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case under the signature of its issue, with the most recent one of that signature within a day and its number."""
+    signature = F.concat_ws("|", "event_type", (F.get_json_object("props", "$.k").cast("long") % 20).cast("string"))
+    cases = load(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup")).select("event_id", "ts", signature.alias("signature"))
+    w = Window.partitionBy("signature").orderBy("ts", "event_id")
+    near = F.col("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL 1 DAY")
+    return cases.select("event_id", "signature", F.when(near, F.lag("event_id").over(w)).alias("recurs"), F.row_number().over(w).alias("nth"))
+
+
+@query(
+    "g42_extraction_stability",
+    """WITH r AS (SELECT l_orderkey AS id, l_partkey AS claim, l_linenumber % 3 AS run FROM lineitem), c AS (SELECT id, claim, count(DISTINCT run) AS runs FROM r GROUP BY 1, 2), n AS (SELECT id, count(DISTINCT run) AS of_runs FROM r GROUP BY 1), p AS (SELECT p_partkey, p_size < 10 AS forbidden FROM part)
+       SELECT CAST(of_runs AS BIGINT) AS of_runs, count(DISTINCT id) AS cases, count(*) AS claims, round(avg((runs = of_runs)::INT), 6) AS stable, round(avg(forbidden::INT), 6) AS violations FROM c JOIN n USING (id) JOIN p ON p_partkey = claim GROUP BY 1""",
+)
+def extraction_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over repeated runs of an extraction: the share of claims that every run makes, and of those that break a rule."""
+    r = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("claim"), (F.col("l_linenumber") % 3).alias("run")).distinct()
+    runs = r.groupBy("id").agg(F.countDistinct("run").alias("of_runs"))
+    claims = r.groupBy("id", "claim").agg(F.count("*").alias("runs")).join(runs, "id").join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim"), (F.col("p_size") < 10).alias("forbidden")), "claim")
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return claims.groupBy("of_runs").agg(F.countDistinct("id").alias("cases"), F.count("*").alias("claims"), share(F.col("runs") == F.col("of_runs")).alias("stable"), share(F.col("forbidden")).alias("violations"))

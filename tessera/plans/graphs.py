@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import ancestor_chains, decay_expand, decision_chains, degree_ranked, neighbours
+from tessera.operators.graph import ancestor_chains, decay_expand, decision_chains, neighbours
 from tessera.plans.registry import load, query
 
 #: Edges supplier - part, supplier nodes as negative numbers.

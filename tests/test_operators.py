@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from tessera.operators.dedup import contained_sets
 from tessera.operators.graph import ancestor_chains, decay_expand
 from tessera.operators.references import heal, newest, resolve
