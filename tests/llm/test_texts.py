@@ -287,3 +287,16 @@ freely, subject to the following restrictions:
 def test_further_notices():
     for name, text in NOTICES.items():
         assert match_rules(sentence_ids(text)) == [name], name
+
+
+def test_result_columns_replace_those_of_the_same_name(spark):
+    from tessera.llm.decontaminate import find_leaks
+    from tessera.llm.secret_scan import scan_secrets
+
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "old", "old", "old", "old")], "doc_id long, text string, licenses string, spans string, leaks string, n_tokens string")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    found = {"licenses": (scan_licenses(docs), ["MIT"]), "spans": (scan_secrets(docs), []), "leaks": (find_leaks(docs, bench), [])}
+    for name, (df, want) in found.items():
+        row = df.first()
+        assert df.columns.count(name) == 1 and row[name] == want
+        assert all(row[c] == "old" for c in ("licenses", "spans", "leaks", "n_tokens") if c != name)
