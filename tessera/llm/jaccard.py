@@ -68,7 +68,9 @@ HOT_LEAST, HOT_MEANS = 20_000, 8
 #: Index entries that a task gathers before it sends them.
 PACK_ENTRIES = 150_000
 #: Pairs of one set that are compared in one group; tasks over which the lists of one least set are dealt; pairs that a task remembers.
-GROUP_PAIRS, LEAD_TASKS, REMEMBERED_PAIRS = 500, 8, 500_000
+GROUP_PAIRS, LEAD_TASKS, REMEMBERED_PAIRS = 500, 8, 200_000
+#: Pairs of one batch that are laid out before they are folded.
+FOUND_PAIRS = 50_000
 
 
 def _sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -248,9 +250,8 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether ``edges(u, v)``, u > v, are stars: each u has one v, and no v is a u."""
-    twice = edges.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u")
-    chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-    return is_empty(twice.unionByName(chained))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return is_empty(ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -484,6 +485,21 @@ def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, nearest = None, set(), {}
+
+        def absorb(found: list, new: set) -> None:
+            """Pairs as rows (components, distance, sets): the nearest of two components is kept, or each that is not known goes to ``new``."""
+            rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+            if best:
+                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+                first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))[: len(rows)]
+                for c, d, odd, a, b in rows[first].tolist():
+                    if odd < nearest.get((c, d), (1_000_001,))[0]:
+                        nearest[c, d] = (odd, a, b)
+            else:
+                fresh = set(map(tuple, np.unique(rows[:, 3:], axis=0).tolist())) - seen
+                seen.update(fresh)
+                new |= fresh
+
         for batch in _and_none(batches):
             if batch is not None:
                 cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
@@ -496,28 +512,23 @@ def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool
             key = np.cumsum(new)[:end]
             _, _, side, n, pos, sid, comp, bits = (z[:end] for z in held)
             held = [z[end:] for z in held]
-            found = []
+            found, size, new = [], 0, set()
             for i, j in _fitting(key, side, n, pos, comp):
                 odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 fit = (100 + PERCENT) * odd <= (100 - PERCENT) * (n[i] + n[j])
                 i, j, odd = i[fit], j[fit], odd[fit]
                 a, b = sid[i], sid[j]
-                found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b), np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), 1_000_000 * odd // (n[i] + n[j]))))
-            new = set()
-            if found and best:
-                rows_ = np.concatenate(found)
-                rows_ = rows_[np.lexsort((rows_[:, 4], rows_[:, 3], rows_[:, 2]))]
-                first = np.append(True, (rows_[1:, 2:4] != rows_[:-1, 2:4]).any(axis=1))[: len(rows_)]
-                for a, b, c, d, odd in rows_[first].tolist():
-                    if odd < nearest.get((c, d), (1_000_000,))[0]:
-                        nearest[c, d] = (odd, a, b)
-                if len(nearest) > REMEMBERED_PAIRS:
-                    new, nearest = {x[1:] for x in nearest.values()}, {}
-            elif found:
-                new = set(map(tuple, np.concatenate(found)[:, :2].tolist())) - seen
-                seen |= new
-                if len(seen) > REMEMBERED_PAIRS:
-                    seen = set()
+                found.append(np.column_stack((np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), 1_000_000 * odd // (n[i] + n[j]), np.minimum(a, b), np.maximum(a, b))))
+                size += len(i)
+                if size > FOUND_PAIRS:  # many pairs are folded before more are made
+                    absorb(found, new)
+                    found, size = [], 0
+            absorb(found, new)
+            if len(nearest) > REMEMBERED_PAIRS:
+                new |= {x[1:] for x in nearest.values()}
+                nearest.clear()
+            if len(seen) > REMEMBERED_PAIRS:
+                seen.clear()
             yield _pair_batch(new)
         yield _pair_batch({x[1:] for x in nearest.values()})
 
@@ -575,7 +586,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = _index(docs, shingle_order(docs), ranges).join(names, "name").select("token", "sid", "comp", "n", "pos")
     blocks = _blocks(entries)
     # First the nearest pair of any two components, which merges most of those that link; then all pairs that are left.
-    nearest = saved(plausible(_list_pairs(blocks, comps, sets, best=True), sets).select("a", "b"))
+    nearest = saved(_list_pairs(blocks, comps, sets, best=True))
     links = linked.select("a", "b")
     if not is_empty(nearest):
         links = saved(links.unionByName(exact_overlaps(docs, nearest, sets).where("linked").select("a", "b")))
