@@ -61,3 +61,14 @@ def bounded_sample(df: DataFrame, label: str, key: str, bound: int, total: int |
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.where(place < share), counts
+
+
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` (few rows, by ``doc_id``) with the ``text`` of their documents.
+
+    Of documents that repeat an id, the one whose text has the least hash
+    stands for it, so there are no more rows than ``chosen`` has.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    others = [c for c in chosen.columns if c != "doc_id"]
+    return found.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -20,7 +20,6 @@ Repeated rows get equal answers; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,6 @@ from tessera.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 SAMPLE, SAMPLE_TOTAL = 800, 16_000
 BITS = 13
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: Families of ISO 639-1 codes.
 FAMILIES = {
@@ -60,6 +58,11 @@ FAMILIES = {
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of the Unicode category L."""
+    return any(map(str.isalpha, text))
+
+
 def family(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], f"={lang}")
 
@@ -139,8 +142,10 @@ def _machine(x: list[np.ndarray], y: np.ndarray, half: np.ndarray) -> tuple[np.n
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The machines, from rows of ``docs(doc_id, text, lang)`` that are not held out; None without any."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    chosen, counts = bounded_sample(known, "lang", "doc_id", sample, SAMPLE_TOTAL)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    chosen, counts = bounded_sample(known, "lang", "draw", sample, SAMPLE_TOTAL)
+    # Rows are drawn by id and text, and equal rows count once, so no id can bring more than its share.
+    chosen = chosen.dropDuplicates(["doc_id", "lang", "draw"])
     if not counts:
         return None
 
@@ -148,7 +153,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         for b in batches:
             rows = []
             for lang, half, text, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), features(b.column(2)), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     at = np.flatnonzero(v).astype(np.int16)
                     rows.append({"lang": lang, "half": half, "at": at.tobytes(), "v": v[at].astype(np.float16).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("half", pa.int32()), ("at", pa.binary()), ("v", pa.binary())]))
@@ -194,7 +199,7 @@ def identify_language(docs: DataFrame, model: Model | None, text: str = "text")
             langs, scores = [], []
             for x, v in zip(col, features(col), strict=True):
                 plain = x.as_py()
-                lang, score = m.predict(v) if m is not None and plain and _LETTER.search(plain) else (UNKNOWN, 0.0)
+                lang, score = m.predict(v) if m is not None and plain and has_letter(plain) else (UNKNOWN, 0.0)
                 langs.append(lang)
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "lang_score"])

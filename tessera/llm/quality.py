@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import bounded_sample, held_out, load
+from tessera.llm.common import bounded_sample, held_out, load, one_text_each
 from tessera.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 #: Documents of each class that the fit uses at most, about; one holds some 2 kB of features.
@@ -124,7 +124,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, sample: in
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen, counts = bounded_sample(known, "y", "doc_id", sample)
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int"))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "half", "text")
+    found = one_text_each(docs, chosen).select("y", "half", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -15,7 +15,7 @@ nothing is trained.  The file's scores are ranks, so a piece's log-probability
 is taken as -log(rank + 1), a Zipf law.  It must be readable where the query
 is called; its pieces (a megabyte or so) go to the tasks.
 
-A null or empty text has no token.  Repeated rows get equal counts; extra
+A word of any length takes bounded memory.  A null or empty text has no token.  Repeated rows get equal counts; extra
 columns pass through.
 """
 
@@ -33,8 +33,10 @@ from tessera.llm.common import add_fields, load
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
-#: Distinct pre-tokens whose counts a task remembers; then it starts anew.
-MOST_REMEMBERED = 400_000
+#: Distinct pre-tokens, and characters of them, whose counts a task remembers; then it starts anew.
+MOST_REMEMBERED, MOST_CHARACTERS = 400_000, 8_000_000
+#: Characters of a pre-token up to which states are kept for the next one that shares them.
+SHARED = 2048
 #: Score of one byte of a character outside the vocabulary.
 BYTE_SCORE = -20.0
 
@@ -64,51 +66,65 @@ class Counter:
                 node = node.setdefault(c, {})
             node[""] = score
         self.known: dict[str, int] = {}
+        self.characters = 0
 
-    def learn(self, words: list[str]) -> None:
+    def _step(self, c: str, best: tuple[float, int], runs: list[tuple[tuple[float, int], dict]]) -> tuple[tuple[float, int], list]:
+        """The state after one more character.
+
+        ``best``: (score, -pieces) up to here; ``runs``: the pieces that may
+        still grow, as the state where each began and its trie node.
+        """
+        top, grown = None, []
+        for began, node in (*runs, (best, self.root)):
+            nxt = node.get(c)
+            if nxt is not None:
+                grown.append((began, nxt))
+                score = nxt.get("")
+                if score is not None:
+                    s, n = began
+                    if top is None or (s + score, n - 1) > top:
+                        top = (s + score, n - 1)
+        if top is None:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            top = (best[0] + BYTE_SCORE * size, best[1] - size)
+        return top, grown
+
+    def learn(self, words: list[str]) -> dict[str, int]:
         """Counts of ``words``, sorted and distinct, with the states of shared prefixes computed once.
 
-        ``best[i]``: (score, -pieces) of the first i characters.  ``runs[i]``:
-        (start, trie node) of the pieces that may still grow at place i.
+        A state needs the one before it only, so those beyond ``SHARED``
+        characters are not kept and a word of any length takes no more memory.
         """
-        best, runs, last = [(0.0, 0)], [[]], ""
-        root, known = self.root, self.known
+        states, last, out = [((0.0, 0), [])], "", {}
         for word in words:
-            marked = WORD_START + word
             shared = 0
-            for x, y in zip(marked, last):
+            for x, y in zip(WORD_START + word[:SHARED], last):
                 if x != y:
                     break
                 shared += 1
-            del best[shared + 1 :], runs[shared + 1 :]
-            for i in range(shared, len(marked)):
-                c = marked[i]
-                top = None
-                grown = []
-                for start, node in (*runs[i], (i, root)):
-                    nxt = node.get(c)
-                    if nxt is not None:
-                        grown.append((start, nxt))
-                        score = nxt.get("")
-                        if score is not None:
-                            s, n = best[start]
-                            if top is None or (s + score, n - 1) > top:
-                                top = (s + score, n - 1)
-                if top is None:
-                    size = len(c.encode("utf-8", "surrogatepass"))
-                    top = (best[i][0] + BYTE_SCORE * size, best[i][1] - size)
-                best.append(top)
-                runs.append(grown)
-            known[word] = -best[len(marked)][1]
-            last = marked
+            del states[shared + 1 :]
+            state = states[shared]
+            for i, c in enumerate((WORD_START + word) if shared == 0 else word[shared - 1 :], shared):
+                state = self._step(c, *state)
+                if i < SHARED:
+                    states.append(state)
+            out[word] = -state[0][1]
+            last = (WORD_START + word[:SHARED])[:SHARED]
+        return out
 
     def counts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Tokens and pre-tokens of each text."""
         cut = [_PRE_TOKEN.findall(x) if x else [] for x in texts]
-        if len(self.known) > MOST_REMEMBERED:
+        if len(self.known) > MOST_REMEMBERED or self.characters > MOST_CHARACTERS:
             self.known.clear()
-        self.learn(sorted(set().union(*cut) - self.known.keys()))
-        get = self.known.__getitem__
+            self.characters = 0
+        fresh = self.learn(sorted(set().union(*cut) - self.known.keys()))
+        long = {w: n for w, n in fresh.items() if len(w) > SHARED}
+        for w, n in fresh.items():
+            if w not in long:
+                self.known[w] = n
+                self.characters += len(w)
+        get = lambda w: long[w] if len(w) > SHARED else self.known[w]
         return [sum(map(get, words)) for words in cut], [len(words) for words in cut]
 
 

@@ -2,7 +2,7 @@
 
 Each token has the log-odds of toxic against clean text with an informative
 Dirichlet prior (the prior follows the token's share of both classes), kept
-only where its z-score is significant; a token counts once for each document
+only where its z-score is significant, in either direction; a token counts once for each document
 that has it, as one text that repeats itself is one witness; every other token
 costs a small amount.  Tokens are hashed into a fixed number of buckets, so
 the model has a fixed size.  The linear-time scan of Ruzzo and Tompa then
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import add_fields, bounded_sample, held_out, load, saved
+from tessera.llm.common import add_fields, bounded_sample, held_out, load, one_text_each, saved
 from tessera.llm.linear import fit_sigmoid, sigmoid
 
 #: Documents of each class that the fit uses at most, about.
@@ -54,29 +54,32 @@ LEAST_DEVIATE, MOST_DEVIATE = -2.0, 12.0
 def maximal_segments(scores: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score): Ruzzo and Tompa's linear-time scan.
 
-    ``scores``: positive where there is evidence, 0 elsewhere; a 0 costs
-    ``cost``, a negative its own amount besides.  Stretches without a positive
-    score only lower the running total, so the scan visits positives alone.
+    ``scores``: positive where there is evidence, negative where there is
+    evidence against, 0 elsewhere; a 0 costs ``cost``.  Stretches without a
+    positive score only lower the running total, so the scan visits positives
+    alone.  Every open segment knows the nearest earlier one with a smaller
+    total before it; what lies between is never looked at again.  When there
+    is none, all open segments are final.
     """
     at = np.flatnonzero(scores > 0)
     if not len(at):
         return []
-    step = np.where(scores > 0, scores, scores - cost)
-    total = np.concatenate(([0.0], np.cumsum(step)))
-    found: list[list] = []  # start, end, total before, total after
-    for i in at.tolist():
-        left, right = total[i], total[i + 1]
-        start, end = i, i + 1
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                found.append([start, end, left, right])
-                break
-            start, left = found[j][0], found[j][2]
+    total = np.concatenate(([0.0], np.cumsum(np.where(scores != 0, scores, -cost))))
+    final: list[tuple] = []
+    found: list[tuple] = []  # start, end, total before, total after, place of the nearest one with a smaller total before
+    for start, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        end, j = start + 1, len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < right:
+            start, _, left, _, before = found[j]
             del found[j:]
-    return [(a, b, float(r - l)) for a, b, l, r in found]
+            j = before
+        if j < 0:
+            final += found
+            found.clear()
+        found.append((start, end, left, right, j))
+    return [(a, b, float(r - l)) for a, b, l, r, _ in final + found]
 
 
 @dataclass
@@ -125,7 +128,7 @@ class Counts:
         y1, y0 = self.toxic + prior, self.clean + prior
         odds = np.log(y1 / (self.n_toxic + PRIOR - y1)) - np.log(y0 / (self.n_clean + PRIOR - y0))
         z = odds / np.sqrt(1 / y1 + 1 / y0)
-        return np.where((z >= LEAST_Z) & (odds > GAP), odds, 0.0)
+        return np.where((np.abs(z) >= LEAST_Z) & (np.abs(odds) > GAP), odds, 0.0)
 
     def model(self) -> Model:
         token = np.zeros(1 << BITS, np.float32)
@@ -135,11 +138,11 @@ class Counts:
 
     def _lambda(self, odds: np.ndarray) -> float:
         """The positive root of E[exp(lambda * score)] = 1 under clean text."""
-        positive = odds > 0
-        mass = (self.clean[positive] + 1e-3) / max(self.n_clean, 1.0)
-        value, rest = odds[positive], max(0.0, 1.0 - float(mass.sum()))
+        scored = odds != 0
+        mass = (self.clean[scored] + 1e-3) / max(self.n_clean, 1.0)
+        value, rest = odds[scored], max(0.0, 1.0 - float(mass.sum()))
         excess = lambda x: float((mass * np.exp(np.minimum(x * value, 500))).sum()) + rest * np.exp(-x * GAP) - 1
-        if not positive.any() or float((mass * value).sum()) - rest * GAP >= 0:
+        if not (odds > 0).any() or float((mass * value).sum()) - rest * GAP >= 0:
             return 1.0
         low, high = 1e-6, 1.0
         while excess(high) < 0 and high < 64:
@@ -170,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
         share = (by_class.get(1, 0) + 0.5) / (total + 1.0) if total else 1e-6
         return Model(np.zeros(1 << BITS, np.float32), shift=float(np.log(share / (1 - share))))
     # The sampled labels, about two times ``sample`` rows of 16 bytes, are what is broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "half", "text")
+    found = one_text_each(docs, chosen).select("y", "half", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -190,12 +193,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
     names = [f"y{y}h{h}" for y in (0, 1) for h in (0, 1)]
     table = saved(found.mapInArrow(count, "g int, bucket int, n bigint").groupBy("bucket").agg(*(part(y, h) for y in (0, 1) for h in (0, 1))))
     n = {k: float(v or 0) for k, v in table.agg(*(F.sum(c).alias(c) for c in names)).first().asDict().items()}
-    # Only buckets that lean to toxic text in either half can score; the bar is far below the one that counts.
+    # Only buckets that lean to toxic or to clean text in either half can score; the bar is far below the one that counts.
     leaning = F.lit(False)
     for halves in ((0,), (1,), (0, 1)):
         y1, y0 = (sum((F.col(f"y{y}h{h}") for h in halves), F.lit(0.5)) for y in (1, 0))
         n1, n0 = (max(1.0, sum(n[f"y{y}h{h}"] for h in halves)) for y in (1, 0))
-        leaning = leaning | ((F.log(y1 / n1) - F.log(y0 / n0)) / F.sqrt(1 / y1 + 1 / y0) > LEAST_Z / 2)
+        leaning = leaning | (F.abs(F.log(y1 / n1) - F.log(y0 / n0)) / F.sqrt(1 / y1 + 1 / y0) > LEAST_Z / 2)
     rows = table.where(leaning).orderBy("bucket").toPandas()
 
     def counts(halves: tuple[int, ...]) -> Counts:

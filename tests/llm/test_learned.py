@@ -115,3 +115,79 @@ def test_language_without_anything_to_learn(docs_of):
     assert fit_languages(docs) is None
     assert identify_language(docs, None).collect()[0].lang_pred == UNKNOWN
     assert identify_language(docs_of([]), None).count() == 0
+
+
+def test_maximal_segments_take_linear_time():
+    """Positives that come ever lower, so that none has an earlier one below it, and positives that merge."""
+    import time
+
+    import numpy as np
+
+    def seconds(n, every):
+        x = np.zeros(n)
+        x[::every] = 1.0
+        began = time.perf_counter()
+        found = X.maximal_segments(x, 0.35)
+        assert found and sum(b - a for a, b, _ in found) <= n
+        return time.perf_counter() - began
+
+    for every in (2, 10):
+        seconds(100_000, every)
+        assert seconds(1_000_000, every) < 15 * max(0.05, seconds(250_000, every))
+
+
+def test_negative_evidence_ends_a_segment():
+    import numpy as np
+
+    assert [(a, b) for a, b, _ in X.maximal_segments(np.array([2.0, 0, 2.0]), 0.3)] == [(0, 3)]
+    assert [(a, b) for a, b, _ in X.maximal_segments(np.array([2.0, -3.0, 2.0]), 0.3)] == [(0, 1), (2, 3)]
+    # As common in both classes: nothing; much rarer in toxic text: below 0.
+    odds = X.Counts(np.arange(3), np.array([50.0, 400.0, 1.0]), np.array([50.0, 1.0, 400.0]), 5000.0, 5000.0).odds()
+    assert odds[0] == 0 and odds[1] > 1 and odds[2] < -1
+
+
+def test_a_hot_id_in_the_labelled_rows_brings_one_row(spark, prose):
+    """Rows that repeat a drawn id don't reach the driver."""
+    from tessera.llm.common import one_text_each
+
+    docs = spark.range(20_000).selectExpr("7L doc_id", "concat('text ', id % 900) text").union(spark.createDataFrame([(8, "other"), (9, None)], "doc_id long, text string"))
+    chosen = spark.createDataFrame([(7, 1, 0), (9, 0, 1)], "doc_id long, y int, half int")
+    got = one_text_each(docs, chosen).collect()
+    assert sorted((r.doc_id, r.y, r.half) for r in got) == [(7, 1, 0), (9, 0, 1)]
+    assert one_text_each(docs.repartition(3), chosen).where("doc_id = 7").first().text == next(r.text for r in got if r.doc_id == 7)
+
+
+def test_language_fit_counts_equal_rows_once_and_bounds_a_hot_id(docs_of, prose):
+    from tessera.llm import language as L
+
+    rows = [(7, "the same english words", "en", "a")] * 3000 + [(8, f"le texte fran\u00e7ais num\u00e9ro {i}", "fr", "a") for i in range(3000)]
+    known = docs_of(rows).where("lang is not null").selectExpr("doc_id", "lang", "text", "xxhash64(doc_id, text) draw")
+    drawn, _ = L.bounded_sample(known, "lang", "draw", 100)
+    got = {r.lang: r["count"] for r in drawn.dropDuplicates(["doc_id", "lang", "draw"]).groupBy("lang").count().collect()}
+    assert got.get("en", 0) <= 1 and 50 <= got["fr"] <= 170
+
+
+def test_letters_are_those_of_the_unicode_category():
+    from tessera.llm.language import has_letter
+
+    assert not any(map(has_letter, ("", "12 \u00bd \u00b2 \u2460 _-", "\u0301", "\u2160")))
+    assert all(map(has_letter, ("a", "1\u00e9", "\u4e2d", "\u02b0", "\u01c5")))
+
+
+def test_hinge_fit_agrees_with_a_dense_solver():
+    """Dual coordinate descent against projected gradient steps on the same dual."""
+    import numpy as np
+
+    from tessera.llm.linear import fit_hinge
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, 3))
+    y = np.where(x @ np.array([1.0, -2.0, 0.5]) + 0.3 * r.normal(size=40) > 0.2, 1, -1)
+    at = slice(0, 3)
+    w = fit_hinge([(at, row) for row in x], y, 3, cost=1.0, passes=400)
+    z = np.column_stack([x, np.ones(40)]) * y[:, None]
+    q, alpha = z @ z.T, np.zeros(40)
+    step = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(40_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, 1.0)
+    assert np.allclose(w, z.T @ alpha, atol=2e-2)

@@ -300,3 +300,37 @@ def test_result_columns_replace_those_of_the_same_name(spark):
         row = df.first()
         assert df.columns.count(name) == 1 and row[name] == want
         assert all(row[c] == "old" for c in ("licenses", "spans", "leaks", "n_tokens") if c != name)
+
+
+def test_counts_of_words_longer_than_the_shared_states(monkeypatch):
+    """Long words go on from the shared states, or share none; equal to counting each alone."""
+    import random
+
+    from tessera.llm import token_count as C
+
+    pieces = {C.WORD_START: -3.0, C.WORD_START + "a": -2.0, "a": -2.5, "ab": -2.6, "b": -2.8, "bab": -3.1, "abab": -4.0}
+    alone = lambda word: C.Counter(pieces).learn([word])[word]
+    r = random.Random(2)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 30))) for _ in range(200)} | {"a" * n for n in range(1, 25)})
+    want = {w: alone(w) for w in words}
+    for shared in (1, 2, 5, 9, 2048):
+        monkeypatch.setattr(C, "SHARED", shared)
+        assert C.Counter(pieces).learn(words) == want
+        counter = C.Counter(pieces)
+        assert counter.counts([" ".join(words), None, words[3]])[0] == [sum(want.values()), 0, want[words[3]]]
+        assert all(len(w) <= shared for w in counter.known)
+
+
+def test_a_long_text_without_blanks_takes_bounded_memory():
+    import tracemalloc
+
+    from tessera.llm import token_count as C
+
+    counter = C.Counter({C.WORD_START: -3.0, "a": -2.5, "ab": -2.6, "b": -2.8})
+    text = "ab" * 500_000
+    tracemalloc.start()
+    counts = counter.counts([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == ([500_001], [1]) and not counter.known
+    assert peak < 30_000_000
