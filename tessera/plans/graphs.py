@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import ancestor_chains, decay_expand, decision_chains, neighbours
+from tessera.operators.situations import correlate
 from tessera.plans.registry import load, query
 
 #: Edges supplier - part, supplier nodes as negative numbers.
@@ -101,23 +102,41 @@ def decision_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_chains(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), parent.alias("parent"), F.col("o_orderdate").alias("at")))
 
 
+#: Signals made of the events: a place and two symptoms each, some undated; some name an earlier one as theirs.
+_SIGNALS = """s AS (SELECT event_id AS id, CASE WHEN event_id % 97 <> 0 THEN ts END AS seen, CASE event_id % 3 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' END AS environment, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+       l AS (SELECT id AS a, id - 1 - k AS b, CASE k % 20 WHEN 3 THEN 'child_of_incident' WHEN 7 THEN 'duplicate_of' ELSE 'related_problem' END AS kind FROM s WHERE k % 20 IN (3, 7, 9))"""
+
+
+def event_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signals, their items, their symptoms and the links between them, of all events."""
+    events = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    signals = events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("at"), F.when(F.col("event_id") % 3 == 0, "prod").when(F.col("event_id") % 3 == 1, "staging").alias("environment"))
+    items = events.select(F.col("event_id").alias("id"), (F.col("user_id") * 10 + F.col("k") % 10).alias("item"))
+    symptoms = events.select(F.col("event_id").alias("id"), F.explode(F.array("event_type", F.concat(F.lit("k"), (F.col("k") % 7).cast("string")))).alias("signature"))
+    kind = F.when(F.col("k") % 20 == 3, "child_of_incident").when(F.col("k") % 20 == 7, "duplicate_of").otherwise("related_problem")
+    links = events.where((F.col("k") % 20).isin(3, 7, 9)).select(F.col("event_id").alias("a"), (F.col("event_id") - 1 - F.col("k")).alias("b"), kind.alias("kind"))
+    return signals, items, symptoms, links
+
+
 @query(
     "g12_situation_components",
-    """WITH RECURSIVE l AS (SELECT DISTINCT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_type = 'error' AND a.event_id < b.event_id AND b.ts <= a.ts + INTERVAL 24 HOUR AND b.ts >= a.ts - INTERVAL 24 HOUR),
-       u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, comp) AS (SELECT a, a FROM u UNION SELECT u.b, r.comp FROM r JOIN u ON u.a = r.node)
-       SELECT comp, count(*) AS members, CASE WHEN count(*) >= 5 THEN 'incident_storm' ELSE 'correlated' END AS kind FROM (SELECT node, min(comp) AS comp FROM r GROUP BY node) GROUP BY comp""",
+    f"""WITH RECURSIVE {_SIGNALS}, i AS (SELECT id, user_id * 10 + k % 10 AS item FROM s), plain AS (SELECT * FROM i WHERE item NOT IN (SELECT item FROM i WHERE item IS NOT NULL GROUP BY item HAVING count(DISTINCT id) > 8)),
+       y AS (SELECT id, event_type AS signature FROM s UNION ALL SELECT id, 'k' || CAST(k % 7 AS VARCHAR) FROM s),
+       sure AS (SELECT a, b FROM l WHERE kind IN ('child_of_incident', 'duplicate_of') AND b IN (SELECT id FROM s) AND a IN (SELECT id FROM s)),
+       likely AS (SELECT DISTINCT a.id AS a, b.id AS b FROM plain a JOIN plain b ON a.item = b.item AND a.id < b.id JOIN s x ON x.id = a.id JOIN s z ON z.id = b.id JOIN y p ON p.id = a.id JOIN y q ON q.id = b.id AND q.signature = p.signature
+           WHERE x.seen <= z.seen + INTERVAL 24 HOUR AND z.seen <= x.seen + INTERVAL 24 HOUR AND (x.environment IS NULL OR z.environment IS NULL OR x.environment = z.environment)),
+       u AS (SELECT a, b FROM sure UNION SELECT b, a FROM sure UNION SELECT a, b FROM likely UNION SELECT b, a FROM likely),
+       r(node, comp) AS (SELECT a, a FROM u UNION SELECT u.b, r.comp FROM r JOIN u ON u.a = r.node), c AS (SELECT node AS id, min(comp) AS situation FROM r GROUP BY node),
+       m AS (SELECT situation, id, seen, id IN (SELECT a FROM sure UNION SELECT b FROM sure) AS sure FROM c JOIN s USING (id)),
+       g AS (SELECT situation, count(*) AS members, bool_or(sure) AS any_sure, min(seen) AS onset, max(seen) AS last_signal, arg_min(id, (seen IS NULL, seen, id)) AS primary_id,
+           sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 16, 15) AS HUGEINT)) AS VARCHAR)) AS fingerprint FROM m GROUP BY situation)
+       SELECT situation, id, CASE WHEN id = primary_id THEN 'primary_incident' ELSE 'related_incident' END AS role, CASE WHEN sure THEN 'authoritative' ELSE 'inferred' END AS method, CASE WHEN sure THEN 'confirmed' ELSE 'inferred' END AS status,
+           CAST(CASE WHEN sure THEN 0.95 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN members >= 5 THEN 'incident_storm' WHEN any_sure THEN 'degradation' ELSE 'unknown' END AS kind, CASE WHEN any_sure THEN 'active' ELSE 'emerging' END AS state,
+           CAST(CASE WHEN any_sure THEN 0.9 ELSE 0.5 END AS DOUBLE) AS situation_confidence, onset, last_signal, members, fingerprint FROM m JOIN g USING (situation)""",
 )
 def situation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of one item within 24 hours of each other, chained; groups of two or more.
-
-    In order of time a chain breaks only at a gap of more than 24 hours, so
-    no pairs are made.  Undated errors never merge.
-    """
-    errors = load(spark, sf_dir, "events").where("event_type = 'error' AND ts IS NOT NULL").select("event_id", "user_id", "ts")
-    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.coalesce(F.col("ts") > F.lag("ts").over(by_time) + F.expr("INTERVAL 24 HOUR"), F.lit(True))
-    chains = errors.withColumn("fresh", fresh.cast("int")).withColumn("chain", F.sum("fresh").over(by_time))
-    return chains.groupBy("user_id", "chain").agg(F.min("event_id").alias("comp"), F.count("*").alias("members")).where("members > 1").select("comp", "members", F.when(F.col("members") >= 5, "incident_storm").otherwise("correlated").alias("kind"))
+    """Members of every situation: links that people set, then signals that agree in item, 24 hours, symptom and environment."""
+    return correlate(*event_signals(spark, sf_dir)).drop("at")
 
 
 @query(

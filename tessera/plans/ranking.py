@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import count_terms, count_tokens
 from tessera.functions.vector import cosine_distance
+from tessera.operators.merging import LEAST_COSINE, PATTERN_DISTANCE, lead_clusters, retire_duplicates, shared_evidence
 from tessera.operators.ranking import fused_score, isotonic, margin_and_abstain, mmr, reciprocal_rank_fusion
+from tessera.operators.vectors import build_index, near_pairs, search
 from tessera.plans.registry import load, query
 
 #: The query vector is that of this row; the lexical query is these words.
 QUERY_VEC, QUERY_TERMS = 0, ("the", "tion", "that", "with")
-#: Least likeness of a pair.  The rule's own value is 0.85; these tables hold random vectors, of which no pair is as near.
-LEAST_COSINE = 0.3
 
 _COS = "1 - list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 
@@ -151,32 +151,96 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isotonic(points).select("x", F.round("fitted", 9).alias("fitted"))
 
 
+#: Three accounts of what each vector stands for, nearer and farther ones: the vector and a part of itself reversed.
+_ACCOUNTS = """a AS (SELECT vec_id * 3 + j AS id, vec_id, j, label AS space, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: CAST(z[1] AS DOUBLE) + (((vec_id + 3 * j) % 8) * j / 10.0) * CAST(z[2] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest([0, 1, 2]) AS j)),
+       ev AS (SELECT id, vec_id * 4 + j AS item FROM a UNION ALL SELECT id, vec_id * 4 + (j + 1) % 3 FROM a WHERE (vec_id + j) % 5 <> 0)"""
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, vec_id, j, space, embedding``: the accounts, three for each vector."""
+    rows = load(spark, sf_dir, "embeddings").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    share = ((F.col("vec_id") + 3 * F.col("j")) % 8) * F.col("j") / F.lit(10.0)
+    return rows.select((F.col("vec_id") * 3 + F.col("j")).alias("id"), "vec_id", "j", F.col("label").alias("space"), F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x.cast("double") + share * y.cast("double")).alias("embedding"))
+
+
+def account_evidence(rows: DataFrame) -> DataFrame:
+    """``id, item``: what each account tells of; some of one vector's share nothing."""
+    second = F.when((F.col("vec_id") + F.col("j")) % 5 != 0, F.col("vec_id") * 4 + (F.col("j") + 1) % 3)
+    return rows.select("id", F.explode(F.array(F.col("vec_id") * 4 + F.col("j"), second)).alias("item")).where("item IS NOT NULL")
+
+
+@query(
+    "t01_index_search",
+    f"""SELECT query, id, distance, rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, round({_COS.format('e.embedding', 'q.embedding')}, 6) + 0.0 AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format('e.embedding', 'q.embedding')}, 9), e.vec_id) AS INTEGER) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rank <= 10""",
+)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 100, through the index, exactly."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("").alias("space"), "embedding")
+    found = search(build_index(vectors), vectors.where("id % 100 = 0"), 10)
+    return found.select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(
     "g17_nearest_centroid",
-    f"""WITH c AS (SELECT label, min(vec_id) AS seed FROM embeddings GROUP BY label), s AS (SELECT c.label, e.embedding FROM c JOIN embeddings e ON e.vec_id = c.seed),
-             d AS (SELECT e.vec_id, s.label AS pattern, {_COS.format('e.embedding', 's.embedding')} AS distance FROM embeddings e, s)
-        SELECT vec_id, pattern, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), pattern) AS rn FROM d) WHERE rn = 1""",
+    f"""WITH {_ACCOUNTS}, d AS (SELECT c.id, 'p' || CAST(m.vec_id % 10 AS VARCHAR) AS pattern, round({_COS.format('c.v', 'm.v')}, 9) + 0.0 AS distance FROM a c JOIN a m ON c.space = m.space AND m.j = 0 AND m.vec_id % 5 = 0 WHERE NOT (c.j = 0 AND c.vec_id % 5 = 0))
+        SELECT id, pattern, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, pattern) AS rn FROM d WHERE distance < 0.30) WHERE rn = 1""",
 )
-def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector with the nearest pattern; the patterns (one a label) are the stated query set."""
-    vectors = load(spark, sf_dir, "embeddings")
-    seeds = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("center"))
-    near = F.array_agg(F.struct(F.col("label").alias("pattern"), "center"))
-    all_seeds = seeds.agg(near.alias("seeds"))  # one row, one entry a label
-    scored = vectors.join(F.broadcast(all_seeds)).select("vec_id", F.array_min(F.transform("seeds", lambda s: F.struct(F.round(cosine_distance(F.col("embedding"), s["center"]), 9).alias("d"), s["pattern"].alias("pattern")))).alias("best"))
-    return scored.select("vec_id", "best.pattern", F.round("best.d", 6).alias("distance"))
+def nearest_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern of the nearest member within 0.30 and the same domain, for every account that is in none."""
+    rows, known, near, _ = pattern_pairs(spark, sf_dir, False)
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("b"))
+    return best.select("id", F.col("b.cluster").alias("pattern"), F.round("b.distance", 6).alias("distance"))
+
+
+def pattern_pairs(spark: SparkSession, sf_dir: str, inner: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Accounts that are in no pattern; members of patterns; the members near each account; near pairs of accounts."""
+    every = accounts(spark, sf_dir)
+    member = (F.col("j") == 0) & (F.col("vec_id") % 5 == 0)
+    rows, known = every.where(~member), every.where(member).withColumn("cluster", F.concat(F.lit("p"), (F.col("vec_id") % 10).cast("string")))
+    index = build_index(rows)
+    near = near_pairs(index, PATTERN_DISTANCE, build_index(known)).join(known.select(F.col("id").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster", "distance")
+    return rows, known, near, near_pairs(index, PATTERN_DISTANCE) if inner else None
+
+
+@query("g17_lead_clusters")
+def pattern_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account in the pattern that the pass over them gives it: joined (0.30), or grouped by a leader (0.27), within one domain."""
+    rows, _, near, pairs = pattern_pairs(spark, sf_dir)
+    return lead_clusters(rows, pairs, near)
 
 
 @query(
     "j06_g15_cosine_pairs",
-    f"SELECT a.vec_id AS a, b.vec_id AS b, round(1 - ({_COS.format('a.embedding', 'b.embedding')}), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE 1 - ({_COS.format('a.embedding', 'b.embedding')}) >= {LEAST_COSINE}",
+    f"""WITH {_ACCOUNTS} SELECT x.id AS a, y.id AS b, round(1 - ({_COS.format('x.v', 'y.v')}), 5) AS similarity FROM a x JOIN a y ON x.space = y.space AND x.id < y.id WHERE round({_COS.format('x.v', 'y.v')}, 9) <= 0.15""",
 )
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one parent with a cosine of ``LEAST_COSINE`` or more: the parent is the block."""
-    vectors = load(spark, sf_dir, "embeddings")
-    a, b = vectors.alias("a"), vectors.alias("b")
-    sim = 1 - cosine_distance(F.col("a.embedding"), F.col("b.embedding"))
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(sim >= LEAST_COSINE).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(sim, 5).alias("similarity"))
+    """All pairs of accounts of one parent with a cosine of 0.85 or more."""
+    return account_pairs(spark, sf_dir).select("a", "b", F.round(1 - F.col("distance"), 5).alias("similarity"))
+
+
+def account_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Distances have nine digits, so half of the last one is beyond every distance of 0.15.
+    return near_pairs(build_index(accounts(spark, sf_dir)), 1 - LEAST_COSINE + 5e-10)
+
+
+@query(
+    "g15_similar_retired",
+    f"""WITH RECURSIVE {_ACCOUNTS}, w AS (SELECT id, (SELECT count(*) FROM ev WHERE ev.id = a.id) AS n, CASE WHEN (vec_id + j) % 3 = 0 THEN 1 ELSE 0 END AS approved, ((vec_id * 7 + j * 3) % 10) / 10.0 AS confidence FROM a),
+       p AS (SELECT x.space, x.id AS a, y.id AS b, round({_COS.format('x.v', 'y.v')}, 9) AS distance FROM a x JOIN a y ON x.space = y.space AND x.id < y.id WHERE round({_COS.format('x.v', 'y.v')}, 9) <= 0.15 AND EXISTS (SELECT 1 FROM ev e JOIN ev f ON e.item = f.item WHERE e.id = x.id AND f.id = y.id)),
+       o AS (SELECT p.space, distance, CASE WHEN (x.n, x.approved, x.confidence) >= (y.n, y.approved, y.confidence) THEN a ELSE b END AS kept, CASE WHEN (x.n, x.approved, x.confidence) >= (y.n, y.approved, y.confidence) THEN b ELSE a END AS retired,
+           row_number() OVER (PARTITION BY p.space ORDER BY distance, a, b) AS step FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b),
+       s(space, step, gone) AS (SELECT DISTINCT space, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o
+           UNION ALL SELECT s.space, o.step, CASE WHEN list_contains(gone, kept) OR list_contains(gone, retired) THEN gone ELSE list_append(gone, retired) END FROM s JOIN o ON o.space = s.space AND o.step = s.step + 1)
+       SELECT o.retired, o.kept, round(1 - distance, 5) AS similarity FROM o JOIN s ON s.space = o.space AND s.step = o.step JOIN s t ON t.space = o.space AND t.step = o.step - 1 WHERE len(s.gone) > len(t.gone)""",
+)
+def similar_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts that tell again what a fuller one tells: cosine of 0.85, shared evidence, the most similar pairs first."""
+    rows = accounts(spark, sf_dir)
+    evidence = account_evidence(rows)
+    count = evidence.groupBy("id").agg(F.count("*").alias("n"))
+    strength = rows.join(count, "id").select("id", "n", ((F.col("vec_id") + F.col("j")) % 3 == 0).cast("int").alias("approved"), (((F.col("vec_id") * 7 + F.col("j") * 3) % 10) / 10.0).alias("confidence"))
+    pairs = account_pairs(spark, sf_dir).select("a", "b", (1 - F.col("distance")).alias("similarity"))
+    return retire_duplicates(shared_evidence(pairs, evidence), strength).select("retired", "kept", F.round("similarity", 5).alias("similarity"))
 
 
 @query("g43_rank_agreement", "WITH r AS (SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS a, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS b FROM orders) SELECT o_orderpriority, round(corr(a, b), 6) AS agreement FROM r GROUP BY 1")
