@@ -143,17 +143,21 @@ def _block(batch: pa.RecordBatch, row: int, ids: int, vectors: int) -> tuple[np.
     return i, np.frombuffer(batch.column(vectors)[row].as_buffer(), np.float64).reshape(len(i), -1)
 
 
-def _visit(index: VectorIndex, names: list, units: np.ndarray, visits: np.ndarray, k: int) -> DataFrame:
-    """``query, id, distance``: of each block the k nearest of each query that visits its cell (``visits``: queries by cells)."""
+def _visit(index: VectorIndex, names: list, units: np.ndarray, visits: np.ndarray, k: int, spaces: list | None) -> DataFrame:
+    """``query, id, distance``: of each block the k nearest of each query that visits its cell (``visits``: queries by cells) and asks for its space."""
     cells = np.flatnonzero(visits.any(axis=0)).tolist()
-    sent = index.blocks.sparkSession.sparkContext.broadcast((np.array(names, np.int64), units, visits))
+    sent = index.blocks.sparkSession.sparkContext.broadcast((np.array(names, np.int64), units, visits, spaces))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, units, visits = sent.value
+        names, units, visits, spaces = sent.value
         for b in batches:
             for row in range(b.num_rows):
                 ids, vectors = _block(b, row, 1, 2)
-                asking = np.flatnonzero(visits[:, b.column(0)[row].as_py()])
+                asks = visits[:, b.column(0)[row].as_py()]
+                if spaces is not None:
+                    space = b.column(3)[row].as_py()
+                    asks = asks & np.array([s == space for s in spaces])
+                asking = np.flatnonzero(asks)
                 if not len(asking):
                     continue
                 distance = np.round(1 - units[asking] @ vectors.T, 9) + 0.0  # no -0.0
@@ -167,7 +171,7 @@ def _visit(index: VectorIndex, names: list, units: np.ndarray, visits: np.ndarra
                 who, what = np.concatenate(who), np.concatenate(what)
                 yield pa.RecordBatch.from_arrays([pa.array(names[asking[who]]), pa.array(ids[what]), pa.array(distance[who, what])], ["query", "id", "distance"])
 
-    return index.blocks.where(F.col("cell").isin(cells)).select("cell", "ids", "vectors").mapInArrow(score, "query long, id long, distance double")
+    return index.blocks.where(F.col("cell").isin(cells)).select("cell", "ids", "vectors", "space").mapInArrow(score, "query long, id long, distance double")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -175,12 +179,14 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "distance", "rank")
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exact: bool = True) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exact: bool = True, within: bool = False) -> DataFrame:
     """``query, id, distance, rank``: the k nearest of ``queries(id, embedding)``, ties by id; distances to 9 digits.
 
-    The queries go out in blocks of ``QUERY_BLOCK``.
+    ``within``: a query has a ``space`` and finds what is in it.  The queries
+    go out in blocks of ``QUERY_BLOCK``.
     """
-    asked = saved(usable(queries, index.centres.shape[1]).select(F.col("id").cast("long").alias("id"), "embedding"))
+    space = F.col("space").cast("string") if within else F.lit(None).cast("string")
+    asked = saved(usable(queries, index.centres.shape[1]).select(F.col("id").cast("long").alias("id"), "embedding", space.alias("space")))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):
@@ -188,17 +194,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exac
         if not rows:
             continue
         names, units = [r["id"] for r in rows], _units([r["embedding"] for r in rows])
+        spaces = [r["space"] for r in rows] if within else None
         angles = _angle(units @ index.centres.T)
         visits = np.zeros(angles.shape, bool)
         np.put_along_axis(visits, np.argsort(angles, axis=1, kind="stable")[:, :probes], True, axis=1)
-        hits = saved(_best(_visit(index, names, units, visits, k), k))
+        hits = saved(_best(_visit(index, names, units, visits, k, spaces), k))
         if exact:
             # At most k rows of each query of the block.
             last = {r["query"]: r["distance"] for r in hits.where(F.col("rank") == k).select("query", "distance").collect()}
             reach = _angle(1 - np.array([last.get(n, 3.0) for n in names]))
             more = ~visits & (angles - index.radii[None, :] <= reach[:, None] + SLACK)
             if more.any():
-                hits = saved(_best(hits.drop("rank").unionByName(_visit(index, names, units, more, k)), k))
+                hits = saved(_best(hits.drop("rank").unionByName(_visit(index, names, units, more, k, spaces)), k))
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else index.blocks.sparkSession.createDataFrame([], "query long, id long, distance double, rank int")
 
