@@ -12,18 +12,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that its lineage is cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder that was set.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset
-    and Spark runs on one machine, as in tests, a temporary folder is set; on
-    a cluster that is an error.
+    Where neither is set and Spark runs on one machine, as in tests, a
+    temporary folder is set; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that its lineage is cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -67,8 +73,14 @@ def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``chosen`` (few rows, by ``doc_id``) with the ``text`` of their documents.
 
     Of documents that repeat an id, the one whose text has the least hash
-    stands for it, so there are no more rows than ``chosen`` has.
+    stands for it, so there are no more rows than ``chosen`` has.  Only texts
+    of repeated ids are shuffled.
     """
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     others = [c for c in chosen.columns if c != "doc_id"]
-    return found.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    repeated = saved(docs.select("doc_id").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return found.select("doc_id", *others, "text")
+    few = F.broadcast(repeated)  # no more than chosen has
+    first = found.join(few, "doc_id", "left_semi").groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.join(few, "doc_id", "left_anti").select("doc_id", *others, "text").unionByName(first)
