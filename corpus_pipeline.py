@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_name, load
+from tessera.llm.common import fresh_name, load, shared_folder
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.jaccard import near_duplicate_representatives
 from tessera.llm.mixing import mix_sources
@@ -66,8 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is kept in the shared checkpoint folder of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    docs, place = load(spark, sf_dir, "documents"), f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, place = load(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         at = f"{place}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
