@@ -33,6 +33,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition, at least, and partitions that are no reason to count rows.
+HELD_ROWS, FEW_PARTITIONS = 2000, 32
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``saved`` for rows of some hundred bytes: partitions of a few rows are read together.
+
+    A shuffle keeps some files for each partition that it reads, which is most
+    of the disk when a loop passes small tables over many partitions.  Large
+    tables keep all of theirs.
+    """
+    out = saved(df)
+    parts = out.rdd.getNumPartitions()
+    if parts <= FEW_PARTITIONS:
+        return out
+    fewer = max(1, out.count() // HELD_ROWS)
+    return out.coalesce(fewer) if fewer < parts else out
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import load, saved
+from tessera.llm.common import held, load
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Least hashes of a set that stage 2 probes; counters of the shingle order; bits of the parity filter and of the text filter.
@@ -142,7 +142,7 @@ def numbered_sets(prof: DataFrame) -> DataFrame:
     """The distinct sets under a number ``sid``, with the least ``doc_id, h`` that has each, kept."""
     full = prof.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     sets = full.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "h")).alias("home"), *(F.first(c).alias(c) for c in ("n", "least", "parity", "wide")))
-    return saved(sets.select(F.monotonically_increasing_id().alias("sid"), "home.doc_id", "home.h", "hi", "lo", "n", "least", "parity", "wide"))
+    return held(sets.select(F.monotonically_increasing_id().alias("sid"), "home.doc_id", "home.h", "hi", "lo", "n", "least", "parity", "wide"))
 
 
 def shingle_order(docs: DataFrame, bits: int = ORDER_BITS, piece: int = 1 << 14) -> np.ndarray:
@@ -212,7 +212,7 @@ def exact_overlaps(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFr
     busy = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("groups"))
     dealt = pairs.join(busy, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     ends = dealt.select(F.col("b").alias("sid"), F.col("a").alias("at"), "part").unionByName(busy.select(F.col("a").alias("sid"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")))
-    ends = saved(ends.join(sets.select("sid", "doc_id", "h"), "sid"))
+    ends = held(ends.join(sets.select("sid", "doc_id", "h"), "sid"))
     # A text that many rows repeat is sent once.
     texts = _wanted(_keyed(docs), ends.select("doc_id", "h")).dropDuplicates(["doc_id", "h"])
     rows = texts.join(ends, ["doc_id", "h"]).select("at", "sid", (F.col("sid") != F.col("at")).alias("second"), "text", "part")
@@ -261,7 +261,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     stars, then small ones); rounds are about the logarithm of the longest
     chain.  A round shuffles links only, not nodes without links.
     """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = held(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not _stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -270,7 +270,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours and the node itself go to the least one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = saved(small)
+        edges = held(small)
     return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
@@ -281,10 +281,10 @@ def _first_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact ``a, b, common`` of links to the first set that shares one of a set's least hashes."""
     probes = sets.select("sid", F.explode("least").alias("g"))
     first = probes.groupBy("g").agg(F.min("sid").alias("a"), F.count("*").alias("m")).where("m > 1").select("g", "a")
-    pairs = saved(plausible(probes.join(first, "g").where("a <> sid").select("a", F.col("sid").alias("b")).distinct(), sets).select("a", "b"))
+    pairs = held(plausible(probes.join(first, "g").where("a <> sid").select("a", F.col("sid").alias("b")).distinct(), sets).select("a", "b"))
     if is_empty(pairs):
         return docs.sparkSession.createDataFrame([], "a long, b long, common long")
-    return saved(exact_overlaps(docs, pairs, sets).where("linked").select("a", "b", "common"))
+    return held(exact_overlaps(docs, pairs, sets).where("linked").select("a", "b", "common"))
 
 
 def _index(docs: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
@@ -462,7 +462,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).alias("band")
     by = ["token", "band", "comp", "pos", "sid"]
     placed = entries.select("token", band, "comp", "pos", "sid", "n").repartitionByRange(*by).sortWithinPartitions(*by)
-    return saved(placed.mapInArrow(cut, "block long, lead long, open boolean, token long, n long, pos long, sid long, comp long"))
+    return held(placed.mapInArrow(cut, "block long, lead long, open boolean, token long, n long, pos long, sid long, comp long"))
 
 
 def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
@@ -557,11 +557,11 @@ def _answers(docs: DataFrame, pairs: DataFrame, linked: DataFrame, sets: DataFra
     best = linked.groupBy(F.col("b").alias("sid")).agg(F.max(F.struct("common", F.col("a").alias("rep"))).alias("best"))
     stands = sets.select("sid", "n").join(best, "sid", "left").select("sid", F.coalesce("best.rep", "sid").alias("rep"), F.when(F.col("best").isNull(), 0).otherwise(F.col("n") - F.col("best.common")).alias("own"))
     of = lambda x: stands.select(F.col("sid").alias(x), F.col("rep").alias(f"r{x}"), F.col("own").alias(f"o{x}"))
-    named = saved(pairs.join(of("a"), "a").join(of("b"), "b").withColumns({"p": F.least("ra", "rb"), "q": F.greatest("ra", "rb")}))
-    cores = saved(exact_overlaps(docs, named.select(F.col("p").alias("a"), F.col("q").alias("b")), sets))
+    named = held(pairs.join(of("a"), "a").join(of("b"), "b").withColumns({"p": F.least("ra", "rb"), "q": F.greatest("ra", "rb")}))
+    cores = held(exact_overlaps(docs, named.select(F.col("p").alias("a"), F.col("q").alias("b")), sets))
     left = named.join(cores.select(F.col("a").alias("p"), F.col("b").alias("q"), "common", "linked"), ["p", "q"]).where("not linked")
     is_core = (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q"))
-    open_pairs = saved(left.where(~is_core & ((100 + PERCENT) * (F.col("common") + F.col("oa") + F.col("ob")) >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b"))
+    open_pairs = held(left.where(~is_core & ((100 + PERCENT) * (F.col("common") + F.col("oa") + F.col("ob")) >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b"))
     links = cores.where("linked").select("a", "b")
     return links if is_empty(open_pairs) else links.unionByName(exact_overlaps(docs, open_pairs, sets).where("linked").select("a", "b"))
 
@@ -576,7 +576,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    prof = saved(profiles(docs))
+    prof = held(profiles(docs))
     sets = numbered_sets(prof)
     linked = _first_links(docs, sets)
     comps = components(sets.select(F.col("sid").alias("id")), linked)
@@ -586,12 +586,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = _index(docs, shingle_order(docs), ranges).join(names, "name").select("token", "sid", "comp", "n", "pos")
     blocks = _blocks(entries)
     # First the nearest pair of any two components, which merges most of those that link; then all pairs that are left.
-    nearest = saved(_list_pairs(blocks, comps, sets, best=True))
+    nearest = held(_list_pairs(blocks, comps, sets, best=True))
     links = linked.select("a", "b")
     if not is_empty(nearest):
-        links = saved(links.unionByName(exact_overlaps(docs, nearest, sets).where("linked").select("a", "b")))
+        links = held(links.unionByName(exact_overlaps(docs, nearest, sets).where("linked").select("a", "b")))
         merged = components(sets.select(F.col("sid").alias("id")), links)
-        pairs = saved(plausible(_list_pairs(blocks, merged, sets, best=False), sets).join(nearest, ["a", "b"], "left_anti"))
+        pairs = held(plausible(_list_pairs(blocks, merged, sets, best=False), sets).join(nearest, ["a", "b"], "left_anti"))
         if not is_empty(pairs):
             links = links.unionByName(_answers(docs, pairs, linked, sets))
     # A set's node is the least id that has it; an id with several texts links their nodes.
@@ -615,9 +615,9 @@ def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
     be settled exactly; the others pass where they are.  Rows with a null id
     stay.  Of rows with one id the least stays, by its columns in order.
     """
-    found = saved(jaccard_components(docs))
+    found = held(jaccard_components(docs))
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("m"), F.min("component_id").alias("c")).where((F.col("m") > 1) | (F.col("c") != F.col("doc_id")))
-    doubtful = saved(repeated.select("doc_id", (F.col("c") != F.col("doc_id")).alias("drop")))
+    doubtful = held(repeated.select("doc_id", (F.col("c") != F.col("doc_id")).alias("drop")))
     # The rows travel as one struct, so their column names can't clash with those used here.
     rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     marked = _marked(rows, doubtful.select("doc_id"))

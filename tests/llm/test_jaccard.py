@@ -138,3 +138,12 @@ def test_parity_is_a_lower_bound():
     apart = len(np.setxor1d(a, b))
     for x, y in ((1024, 1024), (4096, 1024)):
         assert J.odd_buckets(J.parity_bits(a, x), J.parity_bits(b, y)) <= apart
+
+
+def test_small_tables_are_held_in_few_partitions(spark):
+    from tessera.llm.common import FEW_PARTITIONS, HELD_ROWS, held
+
+    for rows, parts in ((50, 1), (3 * HELD_ROWS, 3), (HELD_ROWS * 100, 64)):
+        out = held(spark.range(0, rows, 1, 64))
+        assert out.rdd.getNumPartitions() == parts and out.agg({"id": "sum"}).first()[0] == rows * (rows - 1) // 2
+    assert held(spark.range(0, 5, 1, FEW_PARTITIONS)).rdd.getNumPartitions() == FEW_PARTITIONS
