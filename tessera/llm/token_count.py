@@ -68,34 +68,16 @@ class Counter:
         self.known: dict[str, int] = {}
         self.characters = 0
 
-    def _step(self, c: str, best: tuple[float, int], runs: list[tuple[tuple[float, int], dict]]) -> tuple[tuple[float, int], list]:
-        """The state after one more character.
-
-        ``best``: (score, -pieces) up to here; ``runs``: the pieces that may
-        still grow, as the state where each began and its trie node.
-        """
-        top, grown = None, []
-        for began, node in (*runs, (best, self.root)):
-            nxt = node.get(c)
-            if nxt is not None:
-                grown.append((began, nxt))
-                score = nxt.get("")
-                if score is not None:
-                    s, n = began
-                    if top is None or (s + score, n - 1) > top:
-                        top = (s + score, n - 1)
-        if top is None:
-            size = len(c.encode("utf-8", "surrogatepass"))
-            top = (best[0] + BYTE_SCORE * size, best[1] - size)
-        return top, grown
-
     def learn(self, words: list[str]) -> dict[str, int]:
         """Counts of ``words``, sorted and distinct, with the states of shared prefixes computed once.
 
-        A state needs the one before it only, so those beyond ``SHARED``
-        characters are not kept and a word of any length takes no more memory.
+        A state is ``best``, (score, -pieces) up to a place, and ``runs``, the
+        pieces that may still grow there, as the state where each began and
+        its trie node.  It needs the one before it only, so those beyond
+        ``SHARED`` characters are not kept and a word of any length takes no
+        more memory.
         """
-        states, last, out = [((0.0, 0), [])], "", {}
+        root, states, last, out = self.root, [((0.0, 0), [])], "", {}
         for word in words:
             shared = 0
             for x, y in zip(WORD_START + word[:SHARED], last):
@@ -103,12 +85,25 @@ class Counter:
                     break
                 shared += 1
             del states[shared + 1 :]
-            state = states[shared]
+            best, runs = states[shared]
             for i, c in enumerate((WORD_START + word) if shared == 0 else word[shared - 1 :], shared):
-                state = self._step(c, *state)
+                top, grown = None, []
+                for began, node in (*runs, (best, root)):
+                    nxt = node.get(c)
+                    if nxt is not None:
+                        grown.append((began, nxt))
+                        score = nxt.get("")
+                        if score is not None:
+                            s, n = began
+                            if top is None or (s + score, n - 1) > top:
+                                top = (s + score, n - 1)
+                if top is None:
+                    size = len(c.encode("utf-8", "surrogatepass"))
+                    top = (best[0] + BYTE_SCORE * size, best[1] - size)
+                best, runs = top, grown
                 if i < SHARED:
-                    states.append(state)
-            out[word] = -state[0][1]
+                    states.append((best, runs))
+            out[word] = -best[1]
             last = (WORD_START + word[:SHARED])[:SHARED]
         return out
 
@@ -119,13 +114,14 @@ class Counter:
             self.known.clear()
             self.characters = 0
         fresh = self.learn(sorted(set().union(*cut) - self.known.keys()))
-        long = {w: n for w, n in fresh.items() if len(w) > SHARED}
-        for w, n in fresh.items():
-            if w not in long:
-                self.known[w] = n
+        self.known.update(fresh)
+        counted = [sum(map(self.known.__getitem__, words)) for words in cut], [len(words) for words in cut]
+        for w in fresh:
+            if len(w) > SHARED:
+                del self.known[w]
+            else:
                 self.characters += len(w)
-        get = lambda w: long[w] if len(w) > SHARED else self.known[w]
-        return [sum(map(get, words)) for words in cut], [len(words) for words in cut]
+        return counted
 
 
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
