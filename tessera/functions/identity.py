@@ -1,4 +1,4 @@
-"""Which extracted entities may become identities, by type, shape of name and identifiers, as column expressions."""
+"""Which extracted entities may become identities and how near their names are, as column expressions."""
 
 from __future__ import annotations
 
@@ -14,6 +14,56 @@ QUOTES = "[\"'`‘’“”]"
 #: A letter, a capital, and what stands inside identifiers but not inside words.
 LETTER, CAPITAL, INSIDE = r"\p{L}", r"\p{Lu}", r"[._/\\@]|[\p{L}\p{N}_]-[\p{L}\p{N}_]"
 
+#: Kinds of entity that are told apart by wording only, what a match must reach, how many candidates, the similarity (parts of) above which a name is near, the least characters and most words that are looked up.
+CONFUSABLE_TYPES = ("application", "service")
+LINK_THRESHOLDS = {"person": 0.95}
+LINK_THRESHOLD = 0.9
+MOST_CANDIDATES = 5
+NEAR_PARTS, NEAR_OF = 3, 10
+LEAST_WORD, MOST_WORDS = 3, 3
+
+
+def normalised(name: Column) -> Column:
+    """Lower case, single blanks, none at the ends; null stays null."""
+    return F.lower(F.trim(F.regexp_replace(name, r"[\s\p{Z}]+", " ")))
+
+
+def entity_type(name: Column) -> Column:
+    kind = F.lower(F.trim(name))
+    return F.when(F.coalesce(kind, F.lit("")) == "", "unknown").otherwise(kind)
+
+
+def compatible_kind(kind: Column) -> Column:
+    """What entities of a type may be matched within: the type, or the group of confusable ones."""
+    return F.when(kind.isin(*CONFUSABLE_TYPES), "/".join(CONFUSABLE_TYPES)).otherwise(kind)
+
+
+def link_threshold(kind: Column) -> Column:
+    out = F.lit(LINK_THRESHOLD)
+    for name, least in LINK_THRESHOLDS.items():
+        out = F.when(kind == name, least).otherwise(out)
+    return out
+
+
+def trigrams(name: Column) -> Column:
+    """Distinct trigrams of the lower-cased words of letters and digits, each word with two blanks before it and one behind."""
+    words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, of)))
+
+
+def inner_trigrams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    places = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def longest_words(name: Column) -> Column:
+    """The three longest distinct words of at least three characters, equal lengths in order of text; ``%`` and ``_`` part words, ``.,-`` at their ends don't count."""
+    words = F.transform(F.split(F.translate(name, "%_", "  "), r"[\s\p{Z}]+"), lambda w: F.regexp_replace(w, r"^[.,-]+|[.,-]+$", ""))
+    ranked = F.array_sort(F.transform(F.array_distinct(F.filter(words, lambda w: F.length(w) >= LEAST_WORD)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ranked, 1, MOST_WORDS), lambda x: x["w"])
+
 
 def name_shaped(name: Column) -> Column:
     """At least two characters, at most four words, no quotes, and a word with a letter and either a capital or a mark of identifiers; null isn't."""
