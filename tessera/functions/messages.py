@@ -18,11 +18,13 @@ QUOTE_BOUNDARIES = (
 QUOTED_LINE = r"^\s*>"
 #: Legal text at the end, sign-offs on a line of their own, contact data, links.
 DISCLAIMER = (
-    r"this (e-?mail|message|communication|transmission)\b[^\n]{0,120}?(confidential|privileged|intended (solely|only|for))",
-    r"if you (are not the|have received this)[^\n]{0,80}(intended|in error)",
-    r"any (unauthorised|unauthorized) (use|review|disclosure|copying)",
-    r"the (contents|content) of this (e-?mail|message)[^\n]{0,60}confidential",
-    r"disclaimer\s*:",
+    r"^[^\n]{0,120}?("
+    r"this (e-?mail|message|communication|transmission)\b[^\n]{0,120}?(confidential|privileged|intended (solely|only|for))"
+    r"|if you (are not the|have received this)[^\n]{0,80}(intended|in error)"
+    r"|any (unauthorised|unauthorized) (use|review|disclosure|copying)"
+    r"|the (contents|content) of this (e-?mail|message)[^\n]{0,60}confidential"
+    r"|disclaimer\s*:"
+    r")"
 )
 SIGN_OFF = r"(?i)^\s*(thanks?\s*(and|&|,)?\s*regards?|best regards?|kind regards?|warm regards?|regards?|sincerely|cheers|thanks?|thank you|br)[\s,!.]*$"
 CONTACT = r"(?im)(^\s*(mobile|mob|cell|phone|tel|direct|desk|ext|email|e-?mail|web)\b[:.\s|]|https?://|www\.|@[\w.-]+\.\w{2,}|\+\d[\d\s()-]{7,})"
@@ -54,7 +56,11 @@ TECHNICAL = (
     r"(?i)\b(?:systemctl|service|net\s+stop|net\s+start|kill\s+-9|chmod|chown)\b",
 )
 #: Mark-up that looks technical and is not; what starts a signature, and a support desk's footer line.
-MARKUP = r"(?i)zsu\[@user:\d+\]zsu|\[cid:[^\]]+\]|\[image:[^\]]*\]"
+MARKUP = (
+    r"zsu\[@user:\d+\]zsu",
+    r"\[cid:[^\]]+\]",
+    r"\[image:[^\]]*\]",
+)
 SIGNATURE_START = r"(?im)^\s*(?:regards|best regards|kind regards|warm regards|thanks (?:&|and) regards|atenciosamente|saludos|cordialement|mit freundlichen|follow us\s*:|disclaimer\s*:|this (?:e-?mail|message) (?:and any attachments )?is confidential)\b[\s\S]*"
 FOOTER_LINE = r"(?im)^\s*[^\n]{0,60}\|\s*(?:rpa|it|service|technical)\s+support\b[^\n]*$"
 LEAST_DIAGNOSTIC = 150
@@ -77,7 +83,8 @@ SCORE_NOISE, EMAIL_LIKE = r"\[REDACTED:[A-Z_]+\]|<[^>\n]{0,120}>", r"\[REDACTED:
 HEAD_SHARE, LEAST_TAKEN = 0.25, 40
 
 CUT = "(?im)(?:" + "|".join(QUOTE_BOUNDARIES) + r")[\s\S]*"
-LEGAL = r"(?im)^[^\n]{0,120}?(" + "|".join(DISCLAIMER) + r")[\s\S]*"
+LEGAL = r"(?im)" + DISCLAIMER + r"[\s\S]*"
+ANY_MARKUP = "(?i)" + "|".join(MARKUP)
 
 
 def let(value: Column, body) -> Column:
@@ -146,13 +153,13 @@ def automated(sender: Column) -> Column:
 
 
 def technical(text: Column) -> Column:
-    cleaned = F.regexp_replace(text, MARKUP, " ")
+    cleaned = F.regexp_replace(text, ANY_MARKUP, " ")
     return reduce(lambda a, p: a | cleaned.rlike(p), TECHNICAL, F.lit(False))
 
 
 def content_length(text: Column) -> Column:
     """Length without mark-up, signature and desk footer."""
-    return F.length(strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, MARKUP, " "), SIGNATURE_START, ""), FOOTER_LINE, " ")))
+    return F.length(strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ANY_MARKUP, " "), SIGNATURE_START, ""), FOOTER_LINE, " ")))
 
 
 def ticket_mentions(body: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,12 +41,45 @@ ERROR_STOPWORDS = ("the", "a", "an", "at", "in", "on", "of", "for", "to", "from"
 
 #: Phrases of outcome notes in the order they are tried.
 OUTCOME_RULES = (
-    ("failure", r"\bunresolved\b|\bnot\s+resolved\b|\bun-?fixed\b|\bstill\s+(failing|broken|occurring|happening)\b|\b(did\s*not|didn'?t|does\s*not|doesn'?t)\s+(work|help|resolve)|\bno\s+resolution\b|\bfailed\b|\bescalat(ed|ion)\b|\b(under|ongoing|pending|further)\s+(\w+\s+)?investigation\b|\binvestigation\s+(ongoing|continues|requested|pending)\b|\bstill\s+(open|pending)\b|\bre-?opened\b"),
-    ("unknown", r"\b(lack|absence)\s+of\s+(client|customer|user)\s+response\b|\bno\s+(client|customer|user)\s+response\b|\b(withdrawn|cancelled|canceled|duplicate)\b|\bclosed\s+(without|due\s+to)\b|\bno\s+(action|further\s+action)\s+(required|taken)\b|\binformation\s+(provided|shared)\b"),
-    ("partial", r"\bwork[\s-]?around\b|\btemporar(y|ily)\b|\bmitigat(ed|ion)\b|\bpartial(ly)?\b|\binterim\s+(fix|solution)\b"),
-    ("success", r"\bresolved\b|\bfixed\b|\b(renewed|renewal\s+(\w+\s+)?(approved|completed))\b|\b(enabled|unlocked|restored|reinstated|activated|reactivated)\b|\bsuccessfully\b|\b(completed|succeeded)\b|\b(granted|provisioned|installed|configured|reconfigured)\b|\b(reinstalled|upgraded|patched|replaced|migrated)\b|\b(driver|link|licen[sc]e|plugin|access|credentials?)\b[^.]*\b(provided|shared|assigned|delivered|issued)\b|\bissue\s+(is\s+)?(gone|cleared)\b|\bworking\s+(now|as\s+expected)\b|\bsolution\s+provided\b"),
+    ("failure", r"\bunresolved\b"),
+    ("failure", r"\bnot\s+resolved\b"),
+    ("failure", r"\bun-?fixed\b"),
+    ("failure", r"\bstill\s+(failing|broken|occurring|happening)\b"),
+    ("failure", r"\b(did\s*not|didn'?t|does\s*not|doesn'?t)\s+(work|help|resolve)"),
+    ("failure", r"\bno\s+resolution\b"),
+    ("failure", r"\bfailed\b"),
+    ("failure", r"\bescalat(ed|ion)\b"),
+    ("failure", r"\b(under|ongoing|pending|further)\s+(\w+\s+)?investigation\b"),
+    ("failure", r"\binvestigation\s+(ongoing|continues|requested|pending)\b"),
+    ("failure", r"\bstill\s+(open|pending)\b"),
+    ("failure", r"\bre-?opened\b"),
+    ("unknown", r"\b(lack|absence)\s+of\s+(client|customer|user)\s+response\b"),
+    ("unknown", r"\bno\s+(client|customer|user)\s+response\b"),
+    ("unknown", r"\b(withdrawn|cancelled|canceled|duplicate)\b"),
+    ("unknown", r"\bclosed\s+(without|due\s+to)\b"),
+    ("unknown", r"\bno\s+(action|further\s+action)\s+(required|taken)\b"),
+    ("unknown", r"\binformation\s+(provided|shared)\b"),
+    ("partial", r"\bwork[\s-]?around\b"),
+    ("partial", r"\btemporar(y|ily)\b"),
+    ("partial", r"\bmitigat(ed|ion)\b"),
+    ("partial", r"\bpartial(ly)?\b"),
+    ("partial", r"\binterim\s+(fix|solution)\b"),
+    ("success", r"\bresolved\b"),
+    ("success", r"\bfixed\b"),
+    ("success", r"\b(renewed|renewal\s+(\w+\s+)?(approved|completed))\b"),
+    ("success", r"\b(enabled|unlocked|restored|reinstated|activated|reactivated)\b"),
+    ("success", r"\bsuccessfully\b"),
+    ("success", r"\b(completed|succeeded)\b"),
+    ("success", r"\b(granted|provisioned|installed|configured|reconfigured)\b"),
+    ("success", r"\b(reinstalled|upgraded|patched|replaced|migrated)\b"),
+    ("success", r"\b(driver|link|licen[sc]e|plugin|access|credentials?)\b[^.]*\b(provided|shared|assigned|delivered|issued)\b"),
+    ("success", r"\bissue\s+(is\s+)?(gone|cleared)\b"),
+    ("success", r"\bworking\s+(now|as\s+expected)\b"),
+    ("success", r"\bsolution\s+provided\b"),
     ("unknown", r"\b(ticket\s+)?closed\b"),
 )
+#: The rules that follow each other with one outcome, as one expression: a match of any is a match of the first.
+OUTCOME_GROUPS = tuple((label, "|".join(rule for _, rule in rules)) for label, rules in groupby(OUTCOME_RULES, key=lambda r: r[0]))
 
 #: Phrases of delivery failures; two make one.
 BOUNCE_PHRASES = (
@@ -158,7 +192,7 @@ def outcome(text: Column) -> Column:
     """success, partial, failure or unknown: the first rule that matches."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     out = F.lit("unknown")
-    for label, rule in reversed(OUTCOME_RULES):
+    for label, rule in reversed(OUTCOME_GROUPS):
         out = F.when(t.rlike(rule), label).otherwise(out)
     return F.coalesce(out, F.lit("unknown"))
 
@@ -166,7 +200,7 @@ def outcome(text: Column) -> Column:
 def outcome_recognised(text: Column) -> Column:
     """Whether any rule is met."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.coalesce(reduce(lambda a, rule: a | t.rlike(rule[1]), OUTCOME_RULES, F.lit(False)), F.lit(False))
+    return F.coalesce(reduce(lambda a, rule: a | t.rlike(rule[1]), OUTCOME_GROUPS, F.lit(False)), F.lit(False))
 
 
 def delivery_failure(text: Column) -> Column:

@@ -118,7 +118,7 @@ def clean_threads(messages: DataFrame) -> DataFrame:
     )
 
 
-_CLEANED = f"regexp_replace(body, {_q(M.MARKUP)}, ' ', 'g')"
+_CLEANED = f"regexp_replace(body, {_q(M.ANY_MARKUP)}, ' ', 'g')"
 _TECHNICAL = "(" + " OR ".join(f"regexp_matches({_CLEANED}, {_q(p)})" for p in M.TECHNICAL) + ")"
 _CONTENT = f"length({_STRIP.format(f'''regexp_replace(regexp_replace({_CLEANED}, {_q(M.SIGNATURE_START)}, ''), {_q(M.FOOTER_LINE)}, ' ', 'g')''')})"
 
@@ -151,7 +151,7 @@ def polarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = r"trim(regexp_replace(lower(body), '\s+', ' ', 'g'))"
 
 
-@query("f33_outcome_classification", f"WITH {MAIL} SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches({_OUT}, {_q(rule)}) THEN '{label}'" for label, rule in T.OUTCOME_RULES) + f" ELSE 'unknown' END AS outcome, " + " OR ".join(f"regexp_matches({_OUT}, {_q(rule)})" for _, rule in T.OUTCOME_RULES) + " AS recognised FROM mail")
+@query("f33_outcome_classification", f"WITH {MAIL} SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches({_OUT}, {_q(rule)}) THEN '{label}'" for label, rule in T.OUTCOME_GROUPS) + f" ELSE 'unknown' END AS outcome, " + " OR ".join(f"regexp_matches({_OUT}, {_q(rule)})" for _, rule in T.OUTCOME_GROUPS) + " AS recognised FROM mail")
 def outcome_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label and whether a rule was met at all."""
     return mail(spark, sf_dir).select("conv_id", "turn", T.outcome(F.col("body")).alias("outcome"), T.outcome_recognised(F.col("body")).alias("recognised"))

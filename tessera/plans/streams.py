@@ -55,3 +55,32 @@ def growth_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one batch of the table passes every cluster once, at its greatest size; tests go through several batches."""
     sizes = S.events_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("cluster"), F.get_json_object("props", "$.k").cast("long").alias("size"))
     return S.drain(S.growth_gate(sizes))
+
+
+#: Fixed expressions of both engines: microseconds since 1970 twenty times as dense, and the cluster an event belongs to.
+_AT = "epoch_us(ts) // 20"
+
+
+@query(
+    "st04_debounce_at_most",
+    f"""WITH RECURSIVE a AS (SELECT user_id % 8 AS cluster, {_AT} AS us, count(*) AS n FROM events GROUP BY 1, 2),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY cluster ORDER BY us) AS run FROM (SELECT *, CASE WHEN us < lag(us) OVER (PARTITION BY cluster ORDER BY us) + {S.GAP} * 1000000 THEN 0 ELSE 1 END AS fresh FROM a)),
+        o AS (SELECT cluster, run, us, n, row_number() OVER (PARTITION BY cluster, run ORDER BY us) AS k FROM g),
+        r AS (SELECT cluster, run, us, n, k, us AS first FROM o WHERE k = 1 UNION ALL SELECT o.cluster, o.run, o.us, o.n, o.k, CASE WHEN o.us >= r.first + {S.MOST_DELAY} * 1000000 THEN o.us ELSE r.first END FROM r JOIN o ON o.cluster = r.cluster AND o.run = r.run AND o.k = r.k + 1),
+        b AS (SELECT cluster, first AS first_us, max(us) AS last_us, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY cluster, run, first)
+        SELECT *, CASE WHEN first_us + {S.MOST_DELAY} * 1000000 < last_us + {S.GAP} * 1000000 THEN 'overdue' ELSE 'quiet' END AS reason FROM b
+        WHERE least(first_us + {S.MOST_DELAY} * 1000000, last_us + {S.GAP} * 1000000) < (SELECT max({_AT}) // 1000 * 1000 FROM events) - {S.LATE} * 1000000""",
+)
+def debounce_at_most_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of a cluster that are told when it is quiet, or overdue."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 20")
+    events = S.events_stream(spark, f"{sf_dir}/events.parquet").select((F.col("user_id") % 8).alias("cluster"), F.timestamp_micros(us).alias("at"))
+    return S.drain(S.debounced_at_most(events))
+
+
+@query("st03_hand_off", "SELECT user_id, props, CASE WHEN user_id % 10 = 0 THEN 'pending' ELSE 'queued' END AS status FROM (SELECT DISTINCT user_id, props FROM events)")
+def hand_off_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents landed once; the queue takes none of every tenth user's."""
+    place = S.fresh_place(spark)
+    S.hand_off(S.events_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "props"), ["user_id", "props"], lambda rows: rows.where("user_id % 10 <> 0"), place)
+    return S.handed_rows(spark, place)

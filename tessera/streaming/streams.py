@@ -8,9 +8,11 @@ service starts the same DataFrames with its own trigger, sink and folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,10 +25,13 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    spark = stream.sparkSession
+def fresh_place(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or scratch_folder(spark)
-    place = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    spark, place = stream.sparkSession, fresh_place(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
@@ -52,6 +57,107 @@ def debounced(events: DataFrame, gap: str = "180 seconds", late: str = "10 minut
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+GAP, MOST_DELAY, LATE = 180, 1800, 600
+FLUSHES = "cluster long, first_us long, last_us long, n long, reason string"
+
+
+def debounced_at_most(arrivals: DataFrame, gap: int = GAP, most: int = MOST_DELAY, late: int = LATE) -> DataFrame:
+    """``arrivals(cluster, at)`` as bursts ``cluster, first_us, last_us, n, reason``.
+
+    A burst is told ``gap`` seconds after its last arrival (``quiet``) or
+    ``most`` seconds after its first (``overdue``), whichever comes first; what
+    arrives then or later starts the next one.  Arrivals may be ``late``
+    seconds out of order: they wait until the watermark has passed them, so the
+    order of files and the cut of batches change nothing.  The state of a
+    cluster has its open burst and the arrivals of the last ``late`` seconds
+    and of one trigger, equal times counted: a long history is read in triggers
+    of few files.  Null times are dropped, a null cluster is one cluster.
+    """
+    second = 1_000_000
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, n, at, count = state.get if state.exists else (None, None, 0, [], [])
+        waiting = dict(zip(at, count, strict=True))
+        for r in rows:
+            for t, c in r["us"].value_counts().items():
+                waiting[int(t)] = waiting.get(int(t), 0) + int(c)
+        now_ms = max(state.getCurrentWatermarkMs(), 0)
+        now, out = now_ms * 1000, []
+
+        def due() -> int:
+            return min(last + gap * second, first + most * second)
+
+        def told() -> tuple:
+            return (key[0], first, last, n, "overdue" if first + most * second < last + gap * second else "quiet")
+
+        for t in sorted(t for t in waiting if t < now):
+            if n and t >= due():
+                out.append(told())
+                n = 0
+            first, last, n = (t if not n else first), t, n + waiting.pop(t)
+        if n and due() < now:
+            out.append(told())
+            first, last, n = None, None, 0
+        if n or waiting:
+            at = sorted(waiting)
+            state.update((first, last, n, at, [waiting[t] for t in at]))
+            state.setTimeoutTimestamp(max((due() if n else at[0]) // 1000, now_ms + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["cluster", "first_us", "last_us", "n", "reason"]).astype({"cluster": "Int64"})
+
+    timed = arrivals.where("at IS NOT NULL").select(F.col("cluster").cast("long").alias("cluster"), "at").withWatermark("at", f"{late} seconds").select("cluster", "at", F.unix_micros("at").alias("us"))
+    return timed.groupBy("cluster").applyInPandasWithState(step, FLUSHES, "first long, last long, n long, at array<long>, count array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def hand_off(stream: DataFrame, keys: list[str], take: Callable[[DataFrame], DataFrame], place: str) -> None:
+    """Land new rows once and hand them to ``take``, which returns the ``_hash`` of what it took; the rest is offered again with the next batch.
+
+    ``place`` has, by batch, ``landed`` (all rows, one of each content of
+    ``keys``), ``handed`` and ``pending`` (hashes).  A batch that is run again
+    after a crash overwrites its own parts and reads those of earlier batches
+    only, so rows are landed once; a crash between ``take`` and the end of its
+    batch offers that batch's rows again, with the same hashes.  If ``take``
+    raises, the stream stops and a restart goes on with the same batch.
+    A null in a key is a value.  Runs over what is there now.
+    """
+    spark = stream.sparkSession
+    whole = f"_batch long, {stream.schema.toDDL()}, _hash string"
+
+    def earlier(part: str, schema: str, batch: int) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{place}/{part}").where(F.col("_batch") < batch)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def write(rows: DataFrame, part: str, batch: int) -> DataFrame:
+        to = str(PurePosixPath(part) / f"_batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{place}/{to}")
+        return spark.read.schema(rows.schema).parquet(f"{place}/{to}")
+
+    def one(rows: DataFrame, batch: int) -> None:
+        content = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+        fresh = rows.withColumn("_hash", content).dropDuplicates(["_hash"]).join(earlier("landed", whole, batch).select("_hash"), "_hash", "left_anti").select(*rows.columns, "_hash")
+        landed = write(fresh, "landed", batch)
+        before = earlier("pending", "_batch long, _hash string", batch)
+        last = before.agg(F.max("_batch")).collect()[0][0]
+        left_over = before.where(F.col("_batch") == last).select("_hash")
+        again = earlier("landed", whole, batch).join(left_over, "_hash", "left_semi").select(*landed.columns)
+        offered = landed.unionByName(again)
+        handed = write(take(offered).select("_hash").distinct(), "handed", batch)
+        write(offered.select("_hash").join(handed, "_hash", "left_anti"), "pending", batch)
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def handed_rows(spark: SparkSession, place: str) -> DataFrame:
+    """All landed rows with ``status``: ``queued`` or ``pending``."""
+    landed, handed = (spark.read.parquet(f"{place}/{part}").drop("_batch") for part in ("landed", "handed"))
+    return landed.join(handed.select("_hash", F.lit("queued").alias("_s")).distinct(), "_hash", "left").withColumn("status", F.coalesce("_s", F.lit("pending"))).drop("_s", "_hash")
+
+
 CHANGES = "user_id long, event_type string, event_id long, from_value long, to_value long"
 
 
