@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +75,19 @@ QUOTE_BLOCK = r"(?im)(?:-{10} forwarded message -{10}|-----original message-----
 SUBJECT_CONFIDENCE, BODY_CONFIDENCE, QUOTED_CONFIDENCE, DIGEST_CONFIDENCE = 0.98, 0.90, 0.55, 0.5
 DIGEST_FROM, QUOTED_WEIGHT = 3, 0.5
 
+#: How sure other places of a number are, what is inherited or corrected, from where a label is trusted, phrases that take a message out of a case.
+CARD_CONFIDENCE, BOT_CONFIDENCE, TRANSCRIPT_CONFIDENCE, NUMERIC_CONFIDENCE = 0.95, 0.7, 0.7, 0.8
+INHERITED_CONFIDENCE, BOT_INHERITED_CONFIDENCE, CORRECTED_CONFIDENCE, NEGATIVE_CONFIDENCE = 0.85, 0.6, 0.8, 0.7
+TRUSTED_LABEL = 0.6
+DISSOCIATION = ("different issue", "different problem", "unrelated", "not related", "not this ticket", "separate problem", "separate issue", "wrong incident", "wrong ticket")
+#: Bare numbers that may be tickets, digits as they are spoken, and from how many on single characters are a number spelt out.
+NUMERIC = (
+    r"#(\d{2,10})\b",
+    r"(?i)\b(?:ticket|case|incident|request|sr)\b[\s:.#]*(?:no\.?|number|num\.?)?[\s:.#]*(\d{2,10})\b",
+)
+SPOKEN = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0"}
+LEAST_SPELT = 5
+
 #: What a thread says to nobody's use, where a message starts, and what tells that a line has substance.
 BOILERPLATE_LINE = r"(?i)^(?:(?:hi|hello|dear|greetings)\b|good\s+(?:morning|afternoon|evening)|thanks?\b|thank\s+you|warm\s+regards|kind\s+regards|best\s+regards|regards\b|cheers\b|sincerely\b|from:|sent:|to:|cc:|subject:|date:|>|-{3,}|_{3,}|={3,}|\*{3,}|disclaimer\b|confidential(?:ity)?\b|this\s+e?-?mail)"
 MESSAGE_START = r"(?i)^(?:from:|on\s[^\n]+wrote:|-{3,}\s*(?:original|forwarded)\s+message)"
@@ -168,3 +185,46 @@ def ticket_mentions(body: Column) -> Column:
     fresh = F.array_distinct(F.regexp_extract_all(F.array_join(F.filter(lines_of(head), lambda x: ~x.rlike(QUOTED_LINE)), "\n"), F.lit(TICKET), 0))
     every = F.array_distinct(F.regexp_extract_all(body, F.lit(TICKET), 0))
     return F.transform(every, lambda t: F.struct(t.alias("token"), (~F.array_contains(fresh, t)).alias("quoted")))
+
+
+_ONE = rf"\b(?:[A-Za-z]|\d|{'|'.join(SPOKEN)})\b"
+_SPELT = re.compile(rf"{_ONE}(?:[\s.-]+{_ONE}){{{LEAST_SPELT - 1},}}", re.IGNORECASE)
+
+
+def joined(spelt: str) -> str:
+    return "".join(SPOKEN.get(c.lower(), c.upper()) for c in re.split(r"[\s.-]+", spelt))
+
+
+def unspelt(text: Column) -> Column:
+    """Compatibility characters folded (NFKC), five or more single characters or spoken digits in a row as one word; null stays null."""
+
+    @F.arrow_udf("string")
+    def folded(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in rows:
+            yield pa.array([None if x is None else _SPELT.sub(lambda m: joined(m.group()), unicodedata.normalize("NFKC", x)) for x in col.to_pylist()], pa.string())
+
+    return folded(text)
+
+
+def places(title: Column, body: Column, cards: Column) -> Column:
+    """array<struct<rank, location, token>> of every ticket number of a message; a number may stand in several."""
+    at = lambda rank, name, tokens: F.transform(tokens, lambda t: F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("location"), t.alias("token")))
+    every = lambda text, rule, group: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), group)
+    found = ticket_mentions(F.coalesce(body, F.lit("")))
+    of = lambda quoted: F.transform(F.filter(found, lambda m: m["quoted"] == quoted), lambda m: m["token"])
+    both = F.concat_ws("\n", title, body)
+    in_cards = F.flatten(F.transform(F.coalesce(cards, F.array().cast("array<string>")), lambda c: every(c, TICKET, 0)))
+    numeric = F.concat(*(every(both, rule, 1) for rule in NUMERIC))
+    return F.array_distinct(F.concat(at(0, "bot_card", in_cards), at(1, "subject", every(title, TICKET, 0)), at(2, "body", of(False)), at(3, "quoted_body", of(True)), at(4, "transcript_normalized", every(unspelt(body), TICKET, 0)), at(5, "numeric_candidate", numeric)))
+
+
+def dissociates(label: Column, sure: Column, title: Column, body: Column) -> Column:
+    """The label says so, or none is trusted and a phrase does."""
+    text = F.lower(F.concat_ws("\n", body, title))
+    phrase = reduce(lambda a, p: a | text.contains(p), DISSOCIATION, F.lit(False))
+    untrusted = label.isNull() | (label == "unclassified") | (F.coalesce(sure, F.lit(0.0)) < TRUSTED_LABEL)
+    return F.coalesce(label == "dissociation", F.lit(False)) | (untrusted & phrase)
+
+
+def corrects(label: Column, sure: Column) -> Column:
+    return F.coalesce((label == "correction") & (sure >= TRUSTED_LABEL), F.lit(False))
