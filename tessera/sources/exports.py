@@ -28,7 +28,11 @@ def read_exports(spark: SparkSession, path: str, kind: str, stream: bool = False
     and are dropped; a number inside text ("12 crashes/min") stays text.
     """
     reader = (spark.readStream if stream else spark.read).schema(SCHEMAS[kind]).option("multiLine", True).option("mode", "PERMISSIVE")
-    raw = reader.json(path)
+    return evidence(reader.json(path), kind)
+
+
+def evidence(raw: DataFrame, kind: str) -> DataFrame:
+    """The rows of parsed exports of one kind."""
     if kind == "ticket":
         rows = raw.where("ticket_id IS NOT NULL").select(*_row(kind, F.col("ticket_id"), F.col("created_at"), F.col("user.name"), F.concat_ws("\n", "issue", "description", "resolution")))
     elif kind == "chat":
