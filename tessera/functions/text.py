@@ -107,6 +107,11 @@ HTTP_5XX = r"(?i)\b(?:HTTP|status(?:\s+code)?)[\s:]*([5]\d\d)\b"
 LOG_LEVEL = r"(?:^|[\s\[])(?:ERROR|FATAL|SEVERE)(?:[\]\s:]|$)"
 
 
+def ascii_classes(rule: str) -> str:
+    """A rule whose word bounds and blanks are those of ASCII, as in the SQL engine; Java's ``\\b`` takes accented letters for word characters and its ``\\s`` has the vertical tab."""
+    return rule.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))").replace(r"\s", r"[\t\n\f\r ]")
+
+
 def redact(text: Column) -> Column:
     """Every rule in turn, so a later one sees what earlier ones left."""
     return reduce(lambda t, rule: F.regexp_replace(t, F.lit(rule[1]), F.lit(f"[REDACTED:{rule[0]}]")), REDACTION_RULES, text)
@@ -121,9 +126,14 @@ def redaction_counts(text: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] > 0))
 
 
+def trimmed(text: Column) -> Column:
+    """Without the blanks of any script at both ends, as the SQL engine trims."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def normalize_error_line(line: Column) -> Column:
-    squeezed = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.left(F.trim(reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), ERROR_NORMALIZERS, squeezed)), F.lit(500))
+    squeezed = trimmed(F.regexp_replace(line, ascii_classes(r"\s+"), " "))
+    return F.left(trimmed(reduce(lambda t, rule: F.regexp_replace(t, ascii_classes(rule[0]), rule[1]), ERROR_NORMALIZERS, squeezed)), F.lit(500))
 
 
 def error_type(line: Column) -> Column:
