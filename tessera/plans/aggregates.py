@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import safe_ratio, trust_level, wilson_lower
+from tessera.operators.followers import followers
 from tessera.plans.registry import load, query
 
 
@@ -274,14 +275,10 @@ def fix_outcomes_by_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fleet_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct incidents on the same item within seven days after a change, and the first of them."""
-    week = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (7 * 86_400_000_000)).alias("week")
-    events = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", _k().alias("k"), week)
-    # An incident within seven days stands in the change's week or in the next one.
-    s = events.where("event_type = 'signup'").withColumn("week", F.explode(F.array("week", F.col("week") + 1))).alias("s")
-    e = events.where("event_type = 'error'").alias("e")
-    pairs = s.join(e, (F.col("s.k") == F.col("e.k")) & (F.col("s.week") == F.col("e.week")) & (F.col("e.ts") > F.col("s.ts")) & (F.col("e.ts") <= F.col("s.ts") + F.expr("INTERVAL 7 DAY"))).select(F.col("s.user_id").alias("change_id"), F.col("e.user_id").alias("incident")).distinct()
-    groups = pairs.groupBy("change_id").agg(F.count("*").alias("incidents"), F.min("incident").alias("first_incident"), F.sum("incident").alias("checksum"))
-    return groups.where("incidents >= 3").select("change_id", "incidents", "first_incident", "checksum")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at")
+    events = load(spark, sf_dir, "events").select("user_id", "event_type", micros, _k().alias("k")).where("k IS NOT NULL AND at IS NOT NULL")
+    one = lambda kind: events.where(F.col("event_type") == kind).select(F.col("user_id").alias("id"), "k", "at")
+    return followers(one("signup"), one("error"), 7 * 86_400_000_000).where("n >= 3").select(F.col("id").alias("change_id"), F.col("n").alias("incidents"), F.col("first").alias("first_incident"), F.col("total").alias("checksum"))
 
 
 _SEVERITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
