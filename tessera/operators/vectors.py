@@ -35,6 +35,8 @@ from tessera.operators.graph import saved
 SAMPLE, MOST_CELLS, BLOCK, QUERY_BLOCK = 20_000, 1024, 512, 4096
 #: Most tasks that pack blocks.
 MOST_RANGES = 20_000
+#: Vectors of one space that are compared in one task with as many others, about.
+RUN = 16_384
 PASSES = 8
 #: Slack for bounds on angles, which are computed in double precision.
 SLACK = 1e-6
@@ -42,11 +44,12 @@ SLACK = 1e-6
 
 @dataclass
 class VectorIndex:
-    """``blocks(cell, space, ids, vectors)``; ``centres`` (as long as the vectors are) and ``radii`` by cell."""
+    """``blocks(cell, space, ids, vectors)``; ``centres`` (as long as the vectors are) and ``radii`` by cell; whether an id may be ``repeated``."""
 
     blocks: DataFrame
     centres: np.ndarray
     radii: np.ndarray
+    repeated: bool = True
 
 
 def _units(rows: list) -> np.ndarray:
@@ -110,6 +113,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMP
 
     placed = saved(rows.withColumn("at", cell_of("embedding")).select("id", "space", "embedding", F.col("at.cell").alias("cell"), F.col("at.angle").alias("angle")))
     sizes = placed.groupBy("cell").agg(F.max("angle").alias("radius")).collect()  # one row a cell
+    repeated = bool(placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
     radii = np.zeros(len(centres))
     for r in sizes:
         radii[r["cell"]] = r["radius"]
@@ -135,7 +139,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMP
         if ids:
             yield block()
 
-    return VectorIndex(saved(dealt.mapInArrow(pack, "cell int, space string, ids binary, vectors binary")), centres, radii)
+    return VectorIndex(saved(dealt.mapInArrow(pack, "cell int, space string, ids binary, vectors binary")), centres, radii, repeated)
 
 
 def _block(batch: pa.RecordBatch, row: int, ids: int, vectors: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,36 +214,75 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exac
     return found if found is not None else index.blocks.sparkSession.createDataFrame([], "query long, id long, distance double, rank int")
 
 
+def _grouped(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks with ``part``, and ``space, part, cells``: the blocks of a space in runs of about ``RUN`` vectors, in the order of their cells.
+
+    One small row a block is ordered for that; the vectors stay where they are.
+    """
+    size = blocks.select("space", "cell", F.xxhash64("ids").alias("h"), (F.length("ids") / 8).cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("space").orderBy("cell", "h").rowsBetween(Window.unboundedPreceding, -1))
+    placed = size.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / RUN).cast("int")).select("space", "cell", "h", "part").distinct()
+    named = blocks.withColumn("h", F.xxhash64("ids")).alias("b").join(placed.alias("p"), F.col("b.space").eqNullSafe(F.col("p.space")) & (F.col("b.cell") == F.col("p.cell")) & (F.col("b.h") == F.col("p.h")))
+    return named.select("b.space", "b.cell", "b.h", "b.ids", "b.vectors", "p.part"), placed.groupBy("space", "part").agg(F.collect_set("cell").alias("cells"))
+
+
 def near_pairs(index: VectorIndex, most: float, other: VectorIndex | None = None) -> DataFrame:
     """``a, b, distance``: all pairs of one space that are nearer than ``most``; with ``other``, a is of the index and b of the other.
 
-    Without it a < b.  Blocks that could hold a pair meet in a join by space
-    and cell, and only hits leave the task.
+    Without it a < b.  The blocks of a space go in runs of about ``RUN``
+    vectors, and two runs meet in one task if a cell of the one may hold a
+    vector near one of a cell of the other; so a vector is sent once for each
+    run that it meets, not for each cell.  Only hits leave the task, and are
+    shuffled only if an id is repeated.
     """
     angle = float(_angle(np.array(1 - most)))
     second = other or index
+    alone = other is None
     apart = _angle(index.centres @ second.centres.T)
-    meet = np.argwhere(apart <= index.radii[:, None] + second.radii[None, :] + angle + SLACK)
     spark = index.blocks.sparkSession
-    pairs = spark.createDataFrame([(int(x), int(y)) for x, y in meet if other is not None or x <= y], "cell int, other int")  # at most MOST_CELLS squared
-    left = index.blocks.select("cell", "space", F.col("ids").alias("i"), F.col("vectors").alias("v"), F.xxhash64("ids").alias("h"))
-    right = second.blocks.select(F.col("cell").alias("other"), F.col("space").alias("s"), F.col("ids").alias("j"), F.col("vectors").alias("w"), F.xxhash64("ids").alias("g"))
-    joined = left.join(pairs, "cell").join(right, "other").where(F.col("space").eqNullSafe(F.col("s")))
-    alone = other is None
-    if alone:
-        joined = joined.where((F.col("cell") < F.col("other")) | (F.col("h") <= F.col("g")))
+    meet = apart <= index.radii[:, None] + second.radii[None, :] + angle + SLACK
+    sent = spark.sparkContext.broadcast(meet)  # at most MOST_CELLS squared
+    left, runs = _grouped(index.blocks)
+    right, others = (left, runs) if alone else _grouped(second.blocks)
+
+    @F.arrow_udf("boolean")
+    def may_meet(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([bool(sent.value[np.ix_(p, q)].any()) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+
+    x, y = runs.select("space", F.col("part").alias("x"), F.col("cells").alias("p")), others.select(F.col("space").alias("s"), F.col("part").alias("y"), F.col("cells").alias("q"))
+    task = saved(x.join(y, F.col("space").eqNullSafe(F.col("s")) & (F.col("x") <= F.col("y") if alone else F.lit(True))).where(may_meet("p", "q")).select("space", "x", "y").withColumn("task", F.monotonically_increasing_id()))
+    at = lambda rows, run, side: rows.alias("b").join(task.alias("t"), F.col("b.space").eqNullSafe(F.col("t.space")) & (F.col("b.part") == F.col(f"t.{run}"))).select("t.task", F.lit(side).alias("side"), "b.cell", "b.ids", "b.vectors", (F.col("t.x") == F.col("t.y")).alias("same"), "b.h")
+    rows = at(left, "x", 0)
+    rows = rows.unionByName(at(right, "y", 1).where("NOT same") if alone else at(right, "y", 1))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
         for b in batches:
             for row in range(b.num_rows):
-                i, v = _block(b, row, 0, 1)
-                j, w = _block(b, row, 2, 3)
-                distance = np.round(1 - v @ w.T, 9) + 0.0
-                x, y = np.nonzero(distance < most)
-                a, c, d = i[x], j[y], distance[x, y]
-                if alone:
-                    keep = a != c
-                    a, c, d = np.minimum(a, c)[keep], np.maximum(a, c)[keep], d[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d)], ["a", "b", "distance"])
-
-    return joined.select("i", "v", "j", "w").mapInArrow(compare, "a long, b long, distance double").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+                at, second, cell, same = (b.column(k)[row].as_py() for k in (0, 1, 2, 5))
+                j, w = _block(b, row, 3, 4)
+                if at != task:
+                    task, held = at, []
+                within = alone and same
+                if not second:
+                    held.append((cell, j, w))  # with the block itself, where a run meets itself
+                    if not within:
+                        continue
+                for c, i, v in held:
+                    if not sent.value[c, cell]:
+                        continue
+                    cosine = v @ w.T
+                    near = cosine > 1 - most - 1e-8  # few are rounded
+                    x, y = np.nonzero(np.triu(near, 1) if within and i is j else near)
+                    a, c2, d = i[x], j[y], np.round(1 - cosine[x, y], 9) + 0.0
+                    keep = d < most
+                    if alone:
+                        keep &= a != c2
+                        a, c2 = np.minimum(a, c2), np.maximum(a, c2)
+                    a, c2, d = a[keep], c2[keep], d[keep]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c2), pa.array(d)], ["a", "b", "distance"])
+
+    dealt = rows.repartition("task").sortWithinPartitions("task", "side", "cell", "h").select("task", "side", "cell", "ids", "vectors", "same")
+    hits = dealt.mapInArrow(compare, "a long, b long, distance double")
+    return hits.groupBy("a", "b").agg(F.min("distance").alias("distance")) if index.repeated or second.repeated else hits
