@@ -67,6 +67,54 @@ def shared_evidence(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left_semi")
 
 
+def _lead_at_once(rows: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``lead_clusters`` where every near member is accepted.
+
+    Then who leads does not depend on the names of clusters.  A row can only
+    lead if no member of an old cluster and no lesser row is near it.  Of two
+    such rows the lesser one, if it leads, keeps the other from leading where
+    it takes a row that is near the other; these few pairs are gone through in
+    rounds.  A row that a leader could take goes to the least of those.  All
+    others join: which members are nearest is then settled, and the least
+    name among them is passed on until no name changes.
+    """
+    pairs = saved(pairs.where(F.col("distance") < PATTERN_DISTANCE).select("a", "b", "distance"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    before = saved(known.where(F.col("distance") < PATTERN_DISTANCE).select(F.col("id").alias("a"), F.col("cluster").cast("string").alias("cluster"), "distance"))
+    ids = rows.select("id").distinct()
+    waiting = before.select("a").unionByName(pairs.select(F.greatest("a", "b").alias("a"))).distinct()
+    free = saved(ids.join(waiting.withColumnRenamed("a", "id"), "id", "left_anti"))
+    around = both.join(free.withColumnRenamed("id", "a"), "a", "left_semi")
+    takes, sees = around.where(F.col("distance") < GROUP_DISTANCE).select(F.col("a").alias("low"), "b"), around.select(F.col("a").alias("id"), "b")
+    bars = saved(takes.join(sees, "b").where("low < id").select("low", "id").distinct())
+    leaders, open_rows = free.join(bars, "id", "left_anti"), saved(bars.select("id").distinct())
+    leaders = saved(leaders)
+    while open_rows.limit(1).count():
+        barred = bars.join(leaders.withColumnRenamed("id", "low"), "low", "left_semi").select("id").distinct()
+        left = open_rows.join(barred, "id", "left_anti")
+        waits = bars.join(left.withColumnRenamed("id", "low"), "low", "left_semi").select("id").distinct()
+        left = saved(left)
+        ready = left.join(waits, "id", "left_anti")
+        leaders, open_rows = saved(leaders.unionByName(ready)), saved(left.join(waits, "id", "left_semi"))
+
+    grouped = both.where(F.col("distance") < GROUP_DISTANCE).join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    settled = saved(leaders.select("id", F.col("id").alias("leader"), F.lit("leader").alias("how")).unionByName(grouped.select("id", "leader", F.lit("grouped").alias("how"))))
+    joining = saved(ids.join(settled.select("id"), "id", "left_anti"))
+    # A lesser row has been placed, a greater one if a lesser leader has taken it.
+    seen = both.join(joining.withColumnRenamed("id", "a"), "a", "left_semi").join(settled.select(F.col("id").alias("b"), "leader"), "b", "left").where((F.col("b") < F.col("a")) | (F.col("leader") < F.col("a")))
+    ways = seen.select("a", "b", F.col("leader").cast("string").alias("cluster"), "distance").unionByName(before.join(joining.withColumnRenamed("id", "a"), "a", "left_semi").select("a", F.lit(None).cast(ids.schema["id"].dataType).alias("b"), "cluster", "distance"))
+    ways = saved(ways)
+    nearest = saved(ways.join(ways.groupBy("a").agg(F.min("distance").alias("least")), "a").where(F.col("distance") == F.col("least")).select("a", "b", "cluster"))
+    names = saved(nearest.groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster")))
+    steps = saved(nearest.where("cluster IS NULL").select("a", "b"))
+    changed = names.where("cluster IS NOT NULL")
+    while changed.limit(1).count():
+        told = steps.join(changed.select(F.col("id").alias("b"), F.col("cluster").alias("told")), "b").groupBy(F.col("a").alias("id")).agg(F.min("told").alias("told"))
+        after = saved(names.join(told, "id", "left").select("id", F.least("cluster", "told").alias("cluster"), F.coalesce((F.col("told") < F.col("cluster")) | (F.col("told").isNotNull() & F.col("cluster").isNull()), F.lit(False)).alias("new")))
+        names, changed = after.select("id", "cluster"), after.where("new").select("id", "cluster")
+    return settled.select("id", F.col("leader").cast("string").alias("cluster"), "how").unionByName(names.select("id", "cluster", F.lit("joined").alias("how")))
+
+
 def lead_clusters(rows: DataFrame, pairs: DataFrame, known: DataFrame, accept: Column | None = None) -> DataFrame:
     """``id, cluster, how``: the pass of leaders over ``rows(id)`` in order of id.
 
@@ -81,9 +129,12 @@ def lead_clusters(rows: DataFrame, pairs: DataFrame, known: DataFrame, accept: C
     than ``GROUP_DISTANCE``.  Rows that a leader took are members for all that come later.
 
     The step of a row looks at rows near it, and at what led them there, so
-    it waits for lesser open ids within two pairs only.  Cluster names are
+    it waits for lesser open ids within two pairs only; without ``accept`` it
+    does not even wait for those (``_lead_at_once``).  Cluster names are
     strings; new ones are the leader's id.
     """
+    if accept is None:
+        return _lead_at_once(rows, pairs, known)
     both = saved(pairs.select("a", "b", "distance").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).where(F.col("distance") < PATTERN_DISTANCE))
     before = saved(known.where(F.col("distance") < PATTERN_DISTANCE).select(F.col("id").alias("a"), F.col("cluster").cast("string").alias("cluster"), "distance"))
     open_rows = saved(rows.select("id").distinct())

@@ -138,3 +138,32 @@ def test_leaders_equal_the_sequential_pass(spark):
         ).collect()
         assert len(got) == n
         assert {x.id: (x.cluster, x.how) for x in got} == leaders_one_by_one(at, near, known)
+
+
+def test_members_of_a_pattern_do_not_wait_for_each_other(spark, monkeypatch):
+    """Forty rows near each other and a pattern took forty rounds; now the rounds do not grow with them."""
+    from tessera.operators import merging as M
+
+    steps = []
+    monkeypatch.setattr(M, "saved", lambda df, saved=M.saved: steps.append(1) or saved(df))
+    r = random.Random(2)
+    near = {(i, j): r.choice((0.0, 0.1, 0.2, 0.28)) for i in range(40) for j in range(i + 1, 40)}
+    known = {i: [("p1", 0.2), ("p2", 0.1 if i % 7 == 0 else 0.2)] for i in range(40)}
+    got = lead_clusters(
+        spark.range(40), spark.createDataFrame([(a, b, x) for (a, b), x in near.items()], "a long, b long, distance double"),
+        spark.createDataFrame([(i, c, x) for i, seen in known.items() for c, x in seen], "id long, cluster string, distance double"),
+    ).collect()
+    assert {x.id: (x.cluster, x.how) for x in got} == leaders_one_by_one(range(40), near, known)
+    assert len(steps) < 25
+
+
+def test_accepting_all_gives_what_waiting_gives(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    at = {i: (r.random() * 3, r.random() * 3) for i in r.sample(range(1000), 70)}
+    d = lambda p, q: round(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 / 2, 1)
+    near = [(i, j, d(at[i], at[j])) for i in at for j in at if i < j]
+    known = [(i, f"p{k}", d(at[i], p)) for i in at for k, p in enumerate([(0.1, 0.1), (2.9, 2.8)])]
+    tables = (spark.createDataFrame([(i,) for i in at], "id long"), spark.createDataFrame(near, "a long, b long, distance double"), spark.createDataFrame(known, "id long, cluster string, distance double"))
+    assert sorted(map(tuple, lead_clusters(*tables).collect())) == sorted(map(tuple, lead_clusters(*tables, accept=F.lit(True)).collect()))
