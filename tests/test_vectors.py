@@ -167,3 +167,16 @@ def test_accepting_all_gives_what_waiting_gives(spark):
     known = [(i, f"p{k}", d(at[i], p)) for i in at for k, p in enumerate([(0.1, 0.1), (2.9, 2.8)])]
     tables = (spark.createDataFrame([(i,) for i in at], "id long"), spark.createDataFrame(near, "a long, b long, distance double"), spark.createDataFrame(known, "id long, cluster string, distance double"))
     assert sorted(map(tuple, lead_clusters(*tables).collect())) == sorted(map(tuple, lead_clusters(*tables, accept=F.lit(True)).collect()))
+
+
+def test_pairs_are_shuffled_only_where_an_id_is_repeated(spark, monkeypatch):
+    """In runs of a few blocks too the pairs are those of all distances, once each, and no aggregation follows where ids are unique."""
+    monkeypatch.setattr(V, "RUN", 70)
+    rows = sample(300, 8, 9, spaces=("x", None))
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    d = distances(rows)
+    once = V.near_pairs(V.build_index(spark.createDataFrame(rows, SCHEMA)), 0.2)
+    assert sorted((x.a, x.b) for x in once.collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300) if rows[i][1] == rows[j][1] and d[i, j] < 0.2]
+    twice = V.near_pairs(V.build_index(spark.createDataFrame([*rows, rows[7]], SCHEMA)), 0.2)
+    assert aggregates(twice) == aggregates(once) + 1
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
