@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import identity as I
+from tessera.operators.graph import saved
 
 #: Names or mentions of one hot gram that meet in one task.
 BLOCK = 4096
@@ -17,14 +21,61 @@ def _grams_of(sets: DataFrame, column: str) -> DataFrame:
     return sets.select("kind", "name", F.explode(column).alias("gram"))
 
 
-def _met(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
-    """``left(kind, gram, ...)`` joined with ``right(kind, gram, ...)``; a gram with more than ``block`` rows on a side is dealt over blocks on both."""
+def _best_of(asked: pa.Table, held: pa.Table, most: int) -> pa.Table:
+    """``kind, name, known, similarity``: the ``most`` nearest of ``held`` for each row of ``asked``.
+
+    Those above the threshold, or, where a row has a ``word``, those that contain it.
+    Counts of common trigrams come from lists of the names that have each, so no pair becomes a row.
+    """
+    held = held.take(pa.array(np.argsort(np.array(held["known"].to_pylist(), object), kind="stable")))
+    known, sets, asking = held["known"].combine_chunks(), held["known_grams"].combine_chunks(), asked["grams"].combine_chunks()
+    sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
+    coded = sets.flatten().dictionary_encode()
+    by = np.argsort(coded.indices.to_numpy(), kind="stable")
+    names = np.repeat(np.arange(len(sizes)), sizes)[by]
+    lists = np.split(names, np.cumsum(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))[:-1])
+    ends = np.append(0, np.cumsum(pc.list_value_length(asking).to_numpy(zero_copy_only=False)))
+    codes = pc.fill_null(pc.index_in(asking.flatten(), value_set=coded.dictionary), -1).to_numpy()
+    rows, places, likeness, holding = [], [], [], {}
+    for k, word in enumerate(asked["word"].to_pylist()):
+        met = [lists[c] for c in codes[ends[k] : ends[k + 1]] if c >= 0]
+        common = np.bincount(np.concatenate(met), minlength=len(sizes)) if met else np.zeros(len(sizes), np.int64)
+        whole = sizes + (ends[k + 1] - ends[k]) - common
+        if word is None:
+            at = np.flatnonzero(I.NEAR_OF * common > I.NEAR_PARTS * whole)
+        else:
+            if word not in holding:
+                holding[word] = np.flatnonzero(pc.match_substring(known, word).to_numpy(zero_copy_only=False))
+            at = holding[word]
+        near = common[at] / np.maximum(whole[at], 1)
+        if len(at) > most:
+            fit = near >= np.partition(near, -most)[-most]
+            at, near = at[fit], near[fit]
+        first = np.lexsort((at, -near))[:most]
+        rows.append(np.full(len(first), k))
+        places.append(at[first])
+        likeness.append(near[first])
+    rows, places = pa.array(np.concatenate(rows)), pa.array(np.concatenate(places).astype(np.int64))
+    return pa.table({"kind": asked["kind"].take(rows), "name": asked["name"].take(rows), "known": known.take(places), "similarity": pa.array(np.concatenate(likeness))})
+
+
+def _met(left: DataFrame, right: DataFrame, most: int, block: int) -> DataFrame:
+    """The nearest ``known`` of ``right(kind, gram, known, known_grams)`` for each of ``left(kind, gram, name, grams, word)``, ``most`` of every gram and block.
+
+    A gram with more than ``block`` rows on a side is dealt over blocks on both, and each pair of blocks is one group.
+    """
     asked, held = left.groupBy("kind", "gram").agg(F.count("*").alias("asked")), right.groupBy("kind", "gram").agg(F.count("*").alias("held"))
     both = asked.join(held, ["kind", "gram"]).select("kind", "gram", F.ceil(F.col("asked") / block).alias("y_of"), F.ceil(F.col("held") / block).alias("x_of"))
     places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asking = left.join(both, ["kind", "gram"]).withColumn("y", F.pmod(F.xxhash64("name"), F.col("y_of"))).withColumn("x", places("x_of")).drop("x_of", "y_of")
     holding = right.join(both, ["kind", "gram"]).withColumn("x", F.pmod(F.xxhash64("known"), F.col("x_of"))).withColumn("y", places("y_of")).drop("x_of", "y_of")
-    return asking.join(holding, ["kind", "gram", "x", "y"])
+    empty = pa.table({"kind": pa.array([], pa.string()), "name": pa.array([], pa.string()), "known": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _best_of(a, b, most) if a.num_rows and b.num_rows else empty
+
+    by = ["kind", "gram", "x", "y"]
+    return asking.groupBy(*by).cogroup(holding.groupBy(*by)).applyInArrow(best, "kind string, name string, known string, similarity double")
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -45,30 +96,33 @@ def near_names(mentions: DataFrame, known: DataFrame, most: int = I.MOST_CANDIDA
     empty names have no row; repeated rows count once.
 
     Both arms are exact.  Equal names are one row.  Pairs over the similarity
-    share one of the rarest trigrams of both names, so only those are joined; a
-    word is looked up by its rarest inner trigram.
+    share one of the rarest trigrams of both names, so only those meet; a word
+    is looked up by its rarest inner trigram, and only for names that have
+    less than ``most`` identities over the similarity, as those come first.
     """
     distinct = lambda df: df.where("name <> ''").select("kind", "name").distinct().withColumn("grams", I.trigrams(F.col("name")))
-    asked = distinct(mentions)
-    held = known.where("name <> ''").groupBy("kind", "name").agg(F.slice(F.array_sort(F.collect_set("identity")), 1, most).alias("identities")).withColumn("grams", I.trigrams(F.col("name")))
+    asked = saved(distinct(mentions))
+    held = saved(known.where("name <> ''").groupBy("kind", "name").agg(F.slice(F.array_sort(F.collect_set("identity")), 1, most).alias("identities")).withColumn("grams", I.trigrams(F.col("name"))))
+    sets = held.select("kind", F.col("name").alias("known"), F.col("grams").alias("known_grams"))
     frequency = _grams_of(held, "grams").groupBy("kind", "gram").agg(F.count("*").alias("df"))
 
-    ask = _prefixes(asked, frequency).join(asked, ["kind", "name"])
-    hold = _prefixes(held, frequency).join(held.select("kind", "name", "grams"), ["kind", "name"]).select("kind", "gram", F.col("name").alias("known"), F.col("grams").alias("known_grams"))
-    common = F.size(F.array_intersect("grams", "known_grams"))
-    similar = _met(ask, hold, block).where(I.NEAR_OF * common > I.NEAR_PARTS * (F.size("grams") + F.size("known_grams") - common)).select("kind", "name", "known")
+    ask = _prefixes(asked, frequency).join(asked, ["kind", "name"]).withColumn("word", F.lit(None).cast("string"))
+    hold = _prefixes(held, frequency).withColumnRenamed("name", "known").join(sets, ["kind", "known"])
+    place = F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.desc("similarity"), "known"))
+    best = lambda pairs: pairs.distinct().withColumn("place", place).where(F.col("place") <= most).drop("place")
+    similar = saved(best(_met(ask, hold, most, block)))
+    offered = similar.join(held.select("kind", F.col("name").alias("known"), F.size("identities").alias("n")), ["kind", "known"]).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    few = asked.join(offered.where(F.col("n") >= most), ["kind", "name"], "left_anti")
 
     inner = _grams_of(held.withColumn("inner", I.inner_trigrams(F.col("name"))), "inner")
     rare = inner.groupBy("kind", "gram").agg(F.count("*").alias("df"))
-    words = asked.select("kind", "name", F.explode(I.longest_words(F.col("name"))).alias("word"))
-    looked = words.select("kind", "name", "word", F.explode(I.inner_trigrams(F.col("word"))).alias("gram")).join(rare, ["kind", "gram"], "left").groupBy("kind", "name", "word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"))
-    containing = _met(looked.where("r.df > 0").select("kind", "name", "word", "r.gram"), inner.select("kind", "gram", F.col("name").alias("known")), block).where(F.col("known").contains(F.col("word"))).select("kind", "name", "known")
-
-    pairs = similar.unionByName(containing).distinct().join(asked, ["kind", "name"]).join(held.select("kind", F.col("name").alias("known"), "identities", F.col("grams").alias("known_grams")), ["kind", "known"])
-    scored = pairs.select("kind", "name", "known", F.explode("identities").alias("identity"), (common / F.greatest(F.size("grams") + F.size("known_grams") - common, F.lit(1))).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.desc("similarity"), "known", "identity"))
-    best = scored.withColumn("place", place).where(F.col("place") <= most)
-    return best.groupBy("kind", "name").agg(F.array_sort(F.collect_list(F.struct("place", "identity", "known", "similarity"))).alias("c")).select(
+    words = few.select("kind", "name", "grams", F.explode(I.longest_words(F.col("name"))).alias("word"))
+    looked = words.select("kind", "name", "word", "grams", F.explode(I.inner_trigrams(F.col("word"))).alias("gram")).join(rare, ["kind", "gram"], "left").groupBy("kind", "name", "word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"), F.first("grams").alias("grams"))
+    containing = _met(looked.where("r.df > 0").select("kind", "r.gram", "name", "grams", "word"), inner.withColumnRenamed("name", "known").join(sets, ["kind", "known"]), most, block)
+
+    scored = best(similar.unionByName(containing)).join(held.select("kind", F.col("name").alias("known"), "identities"), ["kind", "known"]).select("kind", "name", "known", F.explode("identities").alias("identity"), "similarity")
+    placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.desc("similarity"), "known", "identity"))).where(F.col("place") <= most)
+    return placed.groupBy("kind", "name").agg(F.array_sort(F.collect_list(F.struct("place", "identity", "known", "similarity"))).alias("c")).select(
         "kind", "name", F.transform("c", lambda x: F.struct(x["identity"].alias("identity"), x["known"].alias("name"), x["similarity"].alias("similarity"))).alias("candidates")
     )
 

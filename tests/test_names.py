@@ -103,3 +103,11 @@ def test_adjudicator_is_a_parameter(spark):
 def test_normalised_names(spark):
     row = spark.createDataFrame([(" Ana  LIM\t", "a_bc%def.,- ghij the")], "a string, b string").select(I.normalised(F.col("a")), I.longest_words(F.col("b"))).collect()[0]
     assert tuple(row) == ("ana lim", ["ghij", "def", "the"])
+
+
+def test_names_of_one_hot_word_make_no_row_for_each_pair(spark):
+    names = [f"gate {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    side = lambda name, grams: spark.createDataFrame([("d", "gat", n) for n in names], f"kind string, gram string, {name} string").withColumn(grams, I.trigrams(F.col(name)))
+    sets, held = side("name", "grams"), side("known", "known_grams")
+    assert N._met(sets.withColumn("word", F.lit(None).cast("string")), held, most=5, block=N.BLOCK).count() == 5 * len(names)
+    assert N._met(sets.withColumn("word", F.lit("gate")), held, most=5, block=N.BLOCK).count() == 5 * len(names)
