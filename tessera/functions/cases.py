@@ -32,17 +32,22 @@ OTHER_TRAIT, SAME_CLASS, RELATED_CLASS, OUTSIDE_CLASS = 0.05, 0.10, 0.05, 0.05
 LEVEL_FLOORS = {"exact_ci": 0.95, "same_model_and_configuration": 0.90}
 CONFIGURATION, COMPONENT = ("os_version", "os_build", "bios_package"), ("component", "wifi_adapter", "failing_component", "driver_version", "software_version", "policy_version")
 
+#: The same matches: no run is given back that is followed by a character it can't hold.
+_POSSESSIVE = IDENTIFIER.replace("[A-Za-z0-9._%+-]+@", "[A-Za-z0-9._%+-]++@").replace(r"[A-Za-z]*\d", r"[A-Za-z]*+\d").replace("|[A-Za-z0-9]+(?:", "|[A-Za-z0-9]++(?:")
+
 
 def identifiers(text: Column) -> Column:
     """The first eight identifier-shaped tokens in the order of the text, each once whatever its case."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0), lambda t: F.regexp_replace(t, r"^[._-]+|[._-]+$", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_POSSESSIVE), 0), lambda t: F.regexp_replace(t, r"^[._-]+|[._-]+$", ""))
     good = F.filter(found, lambda t: (F.length(t) >= 3) & ~F.upper(t).isin(*IDENTIFIER_STOPWORDS) & t.rlike("[A-Za-z]"))
-    return F.slice(_first_by_case(good), 1, MOST_IDENTIFIERS)
+    none = F.array().cast("array<string>")
 
+    def add(kept: Column, t: Column) -> Column:
+        fresh = (F.size(kept["low"]) < MOST_IDENTIFIERS) & ~F.array_contains(kept["low"], F.lower(t))
+        return F.when(fresh, F.struct(F.concat(kept["low"], F.array(F.lower(t))).alias("low"), F.concat(kept["own"], F.array(t)).alias("own"))).otherwise(kept)
 
-def _first_by_case(tokens: Column) -> Column:
-    low = F.transform(tokens, F.lower)
-    return F.filter(tokens, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    # One pass: in a lambda that names the list again, the whole text would be searched for each of its tokens.
+    return F.aggregate(good, F.struct(none.alias("low"), none.alias("own")), add, lambda kept: kept["own"])
 
 
 def lexical_terms(symptom: Column, entities: Column) -> Column:
