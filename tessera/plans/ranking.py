@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import count_terms, count_tokens
 from tessera.functions.vector import cosine_distance
+from tessera.operators.graph import saved
 from tessera.operators.merging import LEAST_COSINE, PATTERN_DISTANCE, lead_clusters, retire_duplicates, shared_evidence
 from tessera.operators.ranking import fused_score, isotonic, margin_and_abstain, mmr, reciprocal_rank_fusion
 from tessera.operators.vectors import build_index, near_pairs, search
@@ -117,7 +118,8 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = docs.select(F.col("doc_id").alias("id"), count_terms(F.col("text"), QUERY_TERMS).alias("hits"), count_tokens(F.col("text")).alias("words")).where("hits > 0")
     lexical = _arm(counted.select("id", F.round(F.col("hits") / (F.col("words") + 10.0), 9).alias("score")).where("score > 0"), "lexical", 1.0, 200)
     vector = _arm(distances(load(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), (-F.round("distance", 9)).alias("score")), "vector", 1.0, 200)
-    fused = reciprocal_rank_fusion(lexical.unionByName(vector))
+    # At most 200 rows an arm: kept, as each further use would go through all texts and vectors again.
+    fused = saved(reciprocal_rank_fusion(saved(lexical.unionByName(vector))))
     labels = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # At most 200 ids an arm: they go to the tables, not the tables to them.
     best = F.broadcast(fused)
@@ -130,7 +132,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g21_abstaining_rank")
 def abstaining_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with margin and abstention: empty when the first is not clearly first."""
-    scored = hybrid_rank(spark, sf_dir).select("id", "score")
+    scored = saved(hybrid_rank(spark, sf_dir).select("id", "score"))
     return margin_and_abstain(scored, 10)
 
 
