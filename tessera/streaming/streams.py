@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -166,14 +167,15 @@ def state_changes(events: DataFrame) -> DataFrame:
 
     def diff(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        seen = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, value in zip(seen["event_id"], seen["k"], strict=True):
-            if value != last:
-                out.append((key[0], key[1], event_id, last, value))
-            last = int(value)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "event_type", "event_id", "from_value", "to_value"]).astype({"from_value": "Int64", "to_value": "Int64"})
+        # Most groups are small, so frames are built once and nothing is sorted or cast by pandas.
+        ts, ids, null, value = (np.concatenate(x) for x in zip(*((r["ts"].to_numpy(), r["event_id"].to_numpy(), r["k"].isna().to_numpy(), r["k"].to_numpy()) for r in rows), strict=True))
+        order = np.lexsort((ids, ts))
+        ids, null, value = ids[order], null[order], np.where(null, 0, value)[order].astype("int64")
+        was_null, was = np.append(last is None, null[:-1]), np.append(last or 0, value[:-1])
+        new = (null != was_null) | (value != was)
+        state.update((None if null[-1] else int(value[-1]),))
+        same = lambda x, kind: np.full(new.sum(), x, kind)
+        yield pd.DataFrame({"user_id": same(key[0], "int64"), "event_type": same(key[1], object), "event_id": ids[new], "from_value": pd.arrays.IntegerArray(was[new], was_null[new]), "to_value": pd.arrays.IntegerArray(value[new], null[new])}, copy=False)
 
     keyed = events.select("user_id", "event_type", "event_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return keyed.groupBy("user_id", "event_type").applyInPandasWithState(diff, CHANGES, "last long", "append", GroupStateTimeout.NoTimeout)
