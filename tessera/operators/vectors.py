@@ -286,3 +286,50 @@ def near_pairs(index: VectorIndex, most: float, other: VectorIndex | None = None
     dealt = rows.repartition("task").sortWithinPartitions("task", "side", "cell", "h").select("task", "side", "cell", "ids", "vectors", "same")
     hits = dealt.mapInArrow(compare, "a long, b long, distance double")
     return hits.groupBy("a", "b").agg(F.min("distance").alias("distance")) if index.repeated or second.repeated else hits
+
+
+def nearest_of_label(vectors: DataFrame, k: int, run: int = RUN) -> DataFrame:
+    """``query, id, distance``: of ``vectors(id, label, embedding, asks)`` the k nearest not asking ones of the label of each that asks, ties by id; distances to 6 digits.
+
+    The vectors of a label go in runs of about ``run``, an eighth of it where
+    they ask; two runs meet in one task as matrices, which gives the k nearest
+    of each query, so no pair becomes a row.  A vector that is null, has no
+    length or a length of its own is compared by columns; a distance that is no number or unknown comes last.
+    """
+    length = F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double") * x)
+    rows = vectors.where(F.col("label").isNotNull() & F.col("asks").isNotNull()).withColumns({"norm": F.sqrt(length), "size": F.size("embedding")})
+    usual = rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    fits = F.coalesce((F.col("size") == (usual["size"] if usual else 0)) & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    held = saved(rows.withColumn("fits", fits))
+    counts = held.where("fits").groupBy("label").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
+    runs = counts.select("label", F.greatest(F.lit(1), F.ceil(F.col("q") * 8 / run)).cast("int").alias("qs"), F.greatest(F.lit(1), F.ceil(F.col("m") / run)).cast("int").alias("ms"))
+    of = lambda many: F.pmod(F.xxhash64("id", "embedding"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    fit = held.where("fits").join(runs, "label")
+    asking = fit.where("asks").select("label", of("qs").alias("x"), every("ms").alias("y"), "id", "embedding")
+    asked = fit.where("NOT asks").select(F.col("label").alias("l"), of("ms").alias("run"), every("qs").alias("met"), F.col("id").alias("i"), F.col("embedding").alias("v"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, w, i, v = left["id"].to_numpy(), _units(left["embedding"].to_pylist()) if len(left) else None, right["i"].to_numpy(), _units(right["v"].to_pylist()) if len(right) else None
+        who, what, far = [], [], []
+        for a in range(0, len(q) if len(i) else 0, BLOCK):
+            distance = np.round(1 - w[a : a + BLOCK] @ v.T, 6) + 0.0  # no -0.0
+            for j, d in enumerate(distance):
+                near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                near = near[np.lexsort((i[near], d[near]))][:k]
+                who.append(np.full(len(near), q[a + j]))
+                what.append(i[near])
+                far.append(d[near])
+        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
+        return pa.table({"query": cat(who, pa.int64()), "id": cat(what, pa.int64()), "distance": cat(far, pa.float64())})
+
+    found = asking.groupBy("label", "x", "y").cogroup(asked.groupBy("l", "met", "run")).applyInArrow(compare, "query long, id long, distance double")
+    dot = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda n, x: n + x)
+    norms = F.col("a.norm") * F.col("b.norm")
+    side = lambda asks, name: held.where(F.col("asks") == asks).alias(name)
+    odd = side(True, "a").join(side(False, "b"), (F.col("a.label") == F.col("b.label")) & ~(F.col("a.fits") & F.col("b.fits")))
+    odd = odd.select(F.col("a.id").alias("query"), F.col("b.id").alias("id"), F.round(1 - F.coalesce(F.try_divide(dot, F.nullif(norms, F.lit(0.0))), F.when(norms == 0, F.lit(float("nan")))), 6).alias("distance"))
+    if held.where("NOT fits").limit(1).count():
+        found = found.unionByName(odd)
+    order = Window.partitionBy("query").orderBy(F.asc_nulls_last("distance"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cases as K
 from tessera.functions import text as T
+from tessera.operators.graph import saved
 from tessera.operators.references import heal, newest, resolve
 from tessera.operators.selection import select_connected
+from tessera.operators.vectors import nearest_of_label
 from tessera.plans.content import literal_fragments
 from tessera.plans.registry import ORACLE_SQL, load, query
 
@@ -275,17 +277,14 @@ def contradiction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles of its own subject, without the pairs that an earlier scan has
     seen, and only those that share enough words.  500 is the scan's budget.
     """
-    v = load(spark, sf_dir, "embeddings")
-    unit = v.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double") * x)))
-    steps, articles = unit.where("vec_id % 10 = 3").alias("a"), unit.where("vec_id % 10 <> 3").alias("b")
-    dot = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda n, x: n + x)
-    pairs = steps.join(articles, F.col("a.label") == F.col("b.label")).select(F.col("a.vec_id").alias("step"), F.col("b.vec_id").alias("article"), F.round(1 - dot / (F.col("a.norm") * F.col("b.norm")), 6).alias("distance"))
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("step").orderBy("distance", "article"))).where("rn <= 20")
-    fresh = near.where((F.col("step") + F.col("article")) % 4 != 0)
-    words = load(spark, sf_dir, "documents").select("doc_id", F.filter(T.tokens(F.col("text")), lambda w: F.length(w) > 3).alias("w"))
+    near = nearest_of_label(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding", (F.col("vec_id") % 10 == 3).alias("asks")), 20)
+    fresh = saved(near.select(F.col("query").alias("step"), F.col("id").alias("article"), "distance").where((F.col("step") + F.col("article")) % 4 != 0))
+    # Only texts that a pair names are cut into words.
+    named = fresh.select(F.explode(F.array("step", "article")).alias("doc_id")).distinct()
+    words = load(spark, sf_dir, "documents").join(named, "doc_id", "left_semi").select("doc_id", F.filter(T.tokens(F.col("text")), lambda w: F.length(w) > 3).alias("w"))
     both = fresh.join(words.select(F.col("doc_id").alias("step"), F.col("w").alias("x")), "step").join(words.select(F.col("doc_id").alias("article"), F.col("w").alias("y")), "article")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where((shared >= 2) | ((shared == 1) & (F.least(F.size("x"), F.size("y")) <= 3))).select("step", "article", "distance").orderBy("distance", "step", "article").limit(500)
+    return both.where((shared >= 2) | ((shared == 1) & (F.least(F.size("x"), F.size("y")) <= 3))).select("step", "article", "distance").orderBy(F.asc_nulls_last("distance"), "step", "article").limit(500)
 
 
 @query(
