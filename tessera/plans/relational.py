@@ -236,9 +236,9 @@ def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_partkey) >= 2""",
 )
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = sets.alias("a"), sets.alias("b")
-    return a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey"))).groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
+    from tessera.operators.dedup import overlaps
+
+    return overlaps(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item")))
 
 
 @query(
