@@ -187,9 +187,10 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
        GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, low, high LIMIT 200""",
 )
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    a, b = seen.alias("a"), seen.alias("b")
-    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey"))).groupBy(F.col("a.l_suppkey").alias("low"), F.col("b.l_suppkey").alias("high")).agg(F.count("*").alias("n"))
+    # The pairs of an order come from its own list, one element after another, so nothing is joined.
+    lists = load(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s")).where(F.size("s") > 1)
+    each = lists.select("s", F.posexplode("s").alias("i", "low")).select("low", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("high"))
+    pairs = each.groupBy("low", "high").agg(F.count("*").alias("n"))
     return pairs.where("n >= 3").withColumn("confidence", F.round(F.least(0.3 + 0.1 * (F.col("n") - 3), F.lit(0.7)), 4)).orderBy(F.desc("n"), "low", "high").limit(200)
 
 
