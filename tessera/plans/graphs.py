@@ -13,9 +13,10 @@ from tessera.plans.registry import load, query
 _EDGES = "SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst, round(0.2 + (l_partkey % 8) / 10.0, 2) AS weight FROM lineitem"
 
 
-def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supply_edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    return lines.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.round(0.2 + (F.col("l_partkey") % 8) / 10.0, 2).alias("weight")).distinct()
+    edges = lines.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.round(0.2 + (F.col("l_partkey") % 8) / 10.0, 2).alias("weight"))
+    return edges.distinct() if once else edges
 
 
 @query(
