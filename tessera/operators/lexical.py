@@ -22,6 +22,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ BLOCK_DOCS, FIRST_BLOCKS = 2048, 4
 #: Weight of an occurrence over the sum of all 1 / j^2, and the occurrences that count.
 UNIT, MOST_OCCURRENCES = 0.1 / 1.64493406685, 255
 TERM = "[a-z0-9]+"
+#: Terms that go to every task at most; more are joined, for which all words are shuffled.
+SENT_TERMS = 200_000
 
 
 def text_terms(text: Column) -> Column:
@@ -50,7 +55,8 @@ def build_postings(docs: DataFrame, only: DataFrame | None = None, block_docs: i
     blocks = max(1, -(-docs.count() // (block_docs or BLOCK_DOCS)))
     words = docs.select("id", F.explode(text_terms(F.col("text"))).alias("term"))
     if only is not None:
-        words = words.join(only.select("term").distinct(), "term", "left_semi")
+        asked = only.select("term").distinct()
+        words = words.join(F.broadcast(asked) if asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS else asked, "term", "left_semi")
     counted = words.groupBy("id", "term").agg(F.count("*").alias("n")).select("id", "term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), occurrence_weight(F.col("n")).alias("weight"))
     return saved(counted.groupBy("term", "block").agg(F.max("weight").alias("most"), F.collect_list(F.struct("id", "weight")).alias("postings")))
 
@@ -61,6 +67,44 @@ def _scored(postings: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFra
     return rows.select("query", F.explode("postings").alias("p")).groupBy("query", "p.id").agg(F.round(F.sum("p.weight"), 9).alias("raw"), F.count("*").alias("found"))
 
 
+def _best_of_blocks(postings: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, every: bool) -> DataFrame:
+    """``query, id, raw`` of the k best documents of each of ``blocks(query, block)``; a block's postings meet its queries in one group, so no posting becomes a row."""
+    visits = blocks.join(asked, "query").select(F.col("block").alias("at"), "query", F.col("term").alias("t"))
+    query, document = asked.schema["query"].dataType, postings.schema["postings"].dataType.elementType["id"].dataType
+    schema = f"query {query.simpleString()}, id {document.simpleString()}, raw double"
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks().sort_by([("query", "ascending"), ("t", "ascending")])
+        lists = left["postings"].combine_chunks() if len(left) else pa.array([], left.schema.field("postings").type)
+        ids, weights = lists.flatten().field("id"), lists.flatten().field("weight").to_numpy(zero_copy_only=False)
+        known = pc.unique(ids).take(pc.sort_indices(pc.unique(ids)))
+        place = pc.index_in(ids, known).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)) if len(lists) else np.zeros(0, np.int64)
+        of = {t: slice(a, z) for t, a, z in zip(left["term"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)} if len(lists) else {}
+        wanted: dict = {}
+        for q, t in zip(right["query"].to_pylist(), right["t"].to_pylist(), strict=True):
+            wanted.setdefault(q, []).append(t)
+        who, what, raws = [], [], []
+        for q, terms in wanted.items():
+            raw, found = np.zeros(len(known)), np.zeros(len(known), np.int64)
+            for at in (of[t] for t in terms if t in of):
+                raw[place[at]] += weights[at]  # a list names a document once
+                found[place[at]] += 1
+            raw = np.round(raw, 9)
+            some = np.flatnonzero(found == len(terms) if every else found > 0)
+            if len(some) > k:
+                some = some[raw[some] >= np.partition(raw[some], len(some) - k)[len(some) - k]]
+            some = some[np.argsort(-raw[some], kind="stable")][:k]  # ids ascend
+            who += [q] * len(some)
+            what.append(some)
+            raws.append(raw[some])
+        at = np.concatenate(what) if what else np.zeros(0, np.int64)
+        return pa.table({"query": pa.array(who, right.schema.field("query").type), "id": known.take(pa.array(at, pa.int64())), "raw": np.concatenate(raws) if raws else np.zeros(0)})
+
+    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi").select("block", "term", "postings")
+    return wanted.groupBy("block").cogroup(visits.groupBy("at")).applyInArrow(score, schema)
+
+
 def search_postings(postings: DataFrame, queries: DataFrame, k: int, every: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``query, id, score, rank``: the k best documents of each of ``queries(query, term)``, ties by id.
 
@@ -80,11 +124,12 @@ def search_postings(postings: DataFrame, queries: DataFrame, k: int, every: bool
         return saved(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
     def scored(blocks: DataFrame) -> DataFrame:
+        if keep is None:
+            return _best_of_blocks(postings, asked, blocks.select("query", "block"), k, every)
         rows = _scored(postings, asked, blocks.select("query", "block"))
         if every:
             rows = rows.join(sizes, "query").where(F.col("found") == F.col("terms"))
-        rows = rows.select("query", "id", "raw")
-        return keep(rows).select("query", "id", "raw") if keep else rows
+        return keep(rows.select("query", "id", "raw")).select("query", "id", "raw")
 
     first = top(scored(bounds.where(F.col("turn") <= FIRST_BLOCKS)))
     bar = first.where(F.col("rank") == k).select("query", F.col("raw").alias("bar"))
