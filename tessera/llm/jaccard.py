@@ -13,9 +13,11 @@ likeness of ``percent`` / 100 or more.  The join is exact.  What it skips:
    sets of different components; all other pairs of blocks are skipped
    unread.  Inside a pair of blocks the same bounds hold for each pair of
    sets, then a bit-parity bound on the symmetric difference.
-3. *Components as answers.*  The lists are gone through twice: first for the
-   nearest pair of any two components, which is compared exactly and merges
-   most components that link; then for all pairs of components still apart.
+3. *Components as answers.*  The lists are gone through twice: first for a
+   least spanning forest of the components, whose pairs are compared exactly
+   and merge most components that link; then for all pairs of components still
+   apart.  A task's forest has fewer pairs than the task has components, so a
+   group of near copies in many components doesn't give the square of them.
 4. *Answers of a highly similar set.*  Sets that share one of their ``probes``
    least shingle hashes are compared with the first set of that hash; a set
    that links has the linked set as its representative and goes into its
@@ -69,7 +71,7 @@ HOT_LEAST, HOT_MEANS = 20_000, 8
 PACK_ENTRIES = 150_000
 #: Pairs of one set that are compared in one group; tasks over which the lists of one least set are dealt; pairs that a task remembers.
 GROUP_PAIRS, LEAD_TASKS, REMEMBERED_PAIRS = 500, 8, 200_000
-#: Pairs of one batch that are laid out before they are folded.
+#: Pairs that are laid out before they are folded.
 FOUND_PAIRS = 50_000
 
 
@@ -97,6 +99,11 @@ def odd_buckets(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _differing(odd: np.ndarray) -> np.ndarray:
+    """About how many shingles two sets differ in whose ``PARITY_BITS`` differ in ``odd`` buckets; many, where the bits are full."""
+    return -PARITY_BITS / 2 * np.log(np.maximum(1 - 2 * odd / PARITY_BITS, 1e-3))
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many first shingles of a set of n must be indexed."""
     return n - -(-percent * n // 100) + 1
@@ -234,7 +241,12 @@ def exact_overlaps(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFr
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` whose sizes fit and whose parity bits differ in no more buckets than linked sets can."""
+    """``pairs(a, b)`` whose sizes fit and whose parity bits differ in no more buckets than linked sets can.
+
+    The wide bits of sets that are in no pair are not shuffled.
+    """
+    pairs = held(pairs.select("a", "b"))
+    sets = _wanted(sets.select("sid", "n", "wide"), pairs.select(F.explode(F.array("a", "b")).alias("sid")))
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
@@ -468,7 +480,8 @@ def _blocks(entries: DataFrame) -> DataFrame:
 def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """Pairs ``a, b`` of different ``comps(id, comp)`` that share a list and pass sizes, positions and parity.
 
-    With ``best``, of all pairs of the same two components only the nearest one by parity that a task finds.
+    With ``best``, each task gives only a least spanning forest of what it finds: pairs, the nearest by parity first, that
+    tie components together which no nearer pairs tie.  These are fewer than the components that the task meets.
     """
     known = sets.select("sid", "parity").join(comps.withColumnRenamed("id", "sid"), "sid")
     opened = blocks.where("open").drop("comp").join(comps.withColumnRenamed("id", "sid"), "sid")
@@ -484,19 +497,15 @@ def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool
     rows = dealt.join(known, "sid").select("x", "y", "side", "n", "pos", "sid", "comp", "parity", "lead")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, nearest = None, set(), {}
+        held, seen, tree = None, set(), np.zeros((0, 5), np.int64)
 
         def absorb(found: list, new: set) -> None:
-            """Pairs as rows (components, distance, sets): the nearest of two components is kept, or each that is not known goes to ``new``."""
-            rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-            if best:
-                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-                first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))[: len(rows)]
-                for c, d, odd, a, b in rows[first].tolist():
-                    if odd < nearest.get((c, d), (1_000_001,))[0]:
-                        nearest[c, d] = (odd, a, b)
-            else:
-                fresh = set(map(tuple, np.unique(rows[:, 3:], axis=0).tolist())) - seen
+            """Pairs as rows (distance, components, sets) join the task's forest, or each that is not known goes to ``new``."""
+            nonlocal tree
+            if best and found:
+                tree = _forest(np.concatenate((tree, *found)))
+            elif found:
+                fresh = set(map(tuple, np.unique(np.concatenate(found)[:, 3:], axis=0).tolist())) - seen
                 seen.update(fresh)
                 new |= fresh
 
@@ -518,24 +527,40 @@ def _list_pairs(blocks: DataFrame, comps: DataFrame, sets: DataFrame, best: bool
                 fit = (100 + PERCENT) * odd <= (100 - PERCENT) * (n[i] + n[j])
                 i, j, odd = i[fit], j[fit], odd[fit]
                 a, b = sid[i], sid[j]
-                found.append(np.column_stack((np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), 1_000_000 * odd // (n[i] + n[j]), np.minimum(a, b), np.maximum(a, b))))
+                apart = (1_000_000 * _differing(odd) / (n[i] + n[j])).astype(np.int64)
+                found.append(np.column_stack((apart, np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), np.minimum(a, b), np.maximum(a, b))))
                 size += len(i)
                 if size > FOUND_PAIRS:  # many pairs are folded before more are made
                     absorb(found, new)
                     found, size = [], 0
             absorb(found, new)
-            if len(nearest) > REMEMBERED_PAIRS:
-                new |= {x[1:] for x in nearest.values()}
-                nearest.clear()
             if len(seen) > REMEMBERED_PAIRS:
                 seen.clear()
             yield _pair_batch(new)
-        yield _pair_batch({x[1:] for x in nearest.values()})
+        yield _pair_batch(set(map(tuple, tree[:, 3:].tolist())))
 
     dealt_to = F.pmod(F.xxhash64("x", "y"), F.lit(LEAD_TASKS))
     return rows.repartition("lead", dealt_to).sortWithinPartitions("x", "y", "n").drop("lead").mapInArrow(find, "a long, b long").distinct()
 
 
+def _forest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (distance, component, component, set, set) a least spanning forest of the components; equal distances by the other columns."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    _, first = np.unique(rows[:, 1:3], axis=0, return_index=True)  # the nearest of the same two
+    rows, above, kept = rows[np.sort(first)], {}, []
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    for k, (c, d) in enumerate(rows[:, 1:3].tolist()):
+        if (x := top(c)) != (y := top(d)):
+            above[x] = y
+            kept.append(k)
+    return rows[kept]
+
+
 def _pair_batch(pairs: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -585,8 +610,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     names = sets.select(F.col("lo").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"), "sid", "n").join(comps.withColumnRenamed("id", "sid"), "sid")
     entries = _index(docs, shingle_order(docs), ranges).join(names, "name").select("token", "sid", "comp", "n", "pos")
     blocks = _blocks(entries)
-    # First the nearest pair of any two components, which merges most of those that link; then all pairs that are left.
-    nearest = held(_list_pairs(blocks, comps, sets, best=True))
+    # First the nearest pairs that tie components together, which merges most of those that link; then all pairs that are left.
+    nearest = held(plausible(_list_pairs(blocks, comps, sets, best=True), sets).select("a", "b"))
     links = linked.select("a", "b")
     if not is_empty(nearest):
         links = held(links.unionByName(exact_overlaps(docs, nearest, sets).where("linked").select("a", "b")))

@@ -140,6 +140,33 @@ def test_parity_is_a_lower_bound():
         assert J.odd_buckets(J.parity_bits(a, x), J.parity_bits(b, y)) <= apart
 
 
+def test_many_components_give_a_forest_and_not_all_their_pairs(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(J, "LEAD_TASKS", 1)
+    words, rows = prose(4, 200).split(), []
+    for k in range(40):
+        other = list(words)
+        other[5 * k] = f"new{k}"
+        rows.append((k, " ".join(other), "en", "a"))
+    docs = docs_of(rows).select("doc_id", "text")
+    sets = J.numbered_sets(J.profiles(docs))
+    apart = sets.selectExpr("sid AS id", "sid AS comp")
+    names = sets.selectExpr(f"lo & {(1 << J.NAME_BITS) - 1} AS name", "sid", "n", "sid AS comp")
+    entries = J._index(docs, J.shingle_order(docs), 1).join(names, "name").select("token", "sid", "comp", "n", "pos")
+    blocks = J._blocks(entries)
+    assert J._list_pairs(blocks, apart, sets, best=False).count() == 40 * 39 // 2
+    pairs = J._list_pairs(blocks, apart, sets, best=True)
+    assert 39 <= pairs.count() < 200
+    assert J.components(apart.select("id"), pairs).select("comp").distinct().count() == 1
+
+
+def test_forest_takes_the_nearest_pairs():
+    import numpy as np
+
+    rows = np.array([[5, 1, 2, 10, 20], [1, 2, 3, 20, 30], [9, 1, 3, 10, 30], [2, 1, 2, 11, 20], [7, 8, 9, 80, 90]])
+    assert J._forest(rows).tolist() == [[1, 2, 3, 20, 30], [2, 1, 2, 11, 20], [7, 8, 9, 80, 90]]
+    assert len(J._forest(rows[:0])) == 0
+
+
 def test_small_tables_are_held_in_few_partitions(spark):
     from tessera.llm.common import FEW_PARTITIONS, HELD_ROWS, held
 
